@@ -10,7 +10,8 @@ around documents alone would put nearly every text on every boundary. Two kinds
    and documents with more empty slices than the slack also meet each other in regions of empty slices.
    Within a region the distances to 64 further reference sets (counts of shingles by hash) bound the difference of two
    sets from below; pairs beyond the bound are dropped, and what hangs together goes on as one region.
-2. Documents. A region of more than LEAF sets chooses up to PIVOTS of them. Each member computes its distances to them:
+2. Documents. A region of more than LEAF sets chooses up to PIVOTS of them (twice as many in each further round, up to
+   MOST_PIVOTS). Each member computes its distances to them:
    within the threshold it is linked, and all linked through pivots are settled against each other. Members form Voronoi
    regions around their nearest pivots; those that aren't settled are replicated to each region j with
    d(x, pivot j) <= d(x, nearest) + 2 r, which by the triangle inequality meets all partners. Regions join recursively;
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from docloom.llm.common import WordHash, connected_components, materialize, mix, roots, shingles, sized_join, starts_of, texts, whole_groups
 
-LEAF, SIG_LEAF, PIVOTS, BUCKETS = 64, 128, 16, 64
+LEAF, SIG_LEAF, PIVOTS, MOST_PIVOTS, BUCKETS = 64, 128, 64, 512, 64
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -227,7 +228,7 @@ def _pivot_round(num: int, den: int):
                 p = s + int((kind[s:e] == 0).sum())
                 if p == s or p == e:
                     continue
-                pivots = rep[s:p]
+                pivots, seen = rep[s:p], set()
                 size = np.array([len(x) for x in sets[s:p]])
                 flat, owner = np.concatenate(sets[s:p]), np.repeat(np.arange(p - s), size)
                 for i in range(p, e):
@@ -241,7 +242,9 @@ def _pivot_round(num: int, den: int):
                     out["set"].append(sets[i].tobytes())
                     out["active"].append(bool(active[i]))
                     out["pivot"].append(bool((pivots == rep[i]).any()))
-                    out["links"].append(pivots[(den * both >= num * union)].tolist())
+                    mine = np.sort(pivots[den * both >= num * union]).tolist()
+                    out["links"].append([x for x in mine if x == mine[0] or (mine[0], x) not in seen])
+                    seen.update((mine[0], x) for x in mine)
                     out["home"].append(pivots[home])
                     out["near"].append(pivots[near].tolist())
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()))
@@ -250,6 +253,24 @@ def _pivot_round(num: int, den: int):
     return run
 
 
+def _bulk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (cell, low, k, others) sorted by cell: the pivots (cell, low) of each cell's largest component."""
+    for t in whole_groups(batches, "cell"):
+        cell, low, k, others = (t.column(c).to_pylist() for c in ("cell", "low", "k", "others"))
+        out_cell, out_low = [], []
+        starts = starts_of(t.column("cell").to_numpy())
+        for s, e in zip(starts[:-1], starts[1:], strict=True):
+            index = {x: i for i, x in enumerate(sorted({*low[s:e], *(y for x in others[s:e] for y in x)}))}
+            a = np.array([index[low[i]] for i in range(s, e) for _ in others[i]])
+            b = np.array([index[y] for x in others[s:e] for y in x])
+            root = roots(len(index), a, b)
+            mine = root[[index[x] for x in low[s:e]]]
+            most = np.bincount(mine, k[s:e]).argmax()
+            out_cell += [cell[s]] * int((mine == most).sum())
+            out_low += [x for x, r in zip(low[s:e], mine, strict=True) if r == most]
+        yield _arrow(bcell=np.array(out_cell, np.int64), blow=np.array(out_low, np.int64))
+
+
 def _leaf(cells: DataFrame, num: int, den: int) -> DataFrame:
     return cells.select("cell", "rep", "set").repartition("cell").sortWithinPartitions("cell", "rep").mapInArrow(_leaf_links(num, den), "a long, b long")
 
@@ -267,28 +288,26 @@ def _big_cells(cells: DataFrame, num: int, den: int) -> list[DataFrame]:
         big = cells.where(F.col("members") > LEAF)
         if n.where(F.col("members") > LEAF).isEmpty():
             return found
-        h = F.xxhash64(F.lit(turn), "rep")
-        pivots = big.where("active").groupBy("cell", F.pmod(h, F.lit(PIVOTS)).alias("k")).agg(F.min_by(F.struct("rep", "set"), h).alias("p"), F.max("members").alias("members"))
-        blocks = F.ceil(F.col("members") / LEAF).cast("int")
+        h, many = F.xxhash64(F.lit(turn), "rep"), min(MOST_PIVOTS, PIVOTS << turn)
+        pivots = big.where("active").groupBy("cell", F.pmod(h, F.lit(many)).alias("k")).agg(F.min_by(F.struct("rep", "set"), h).alias("p"), F.max("members").alias("members"))
+        blocks = F.ceil(F.col("members") / max(LEAF, many)).cast("int")
         pivots = pivots.select("cell", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(0).alias("kind"), "p.rep", "p.set", F.lit(True).alias("active"))
         members = big.select("cell", F.pmod(F.xxhash64("rep", F.lit(1)), blocks).cast("int").alias("block"), F.lit(1).alias("kind"), "rep", "set", "active")
         rows = pivots.unionByName(members).withColumn("group", F.xxhash64("cell", "block"))
         rows = rows.repartition("group").sortWithinPartitions("group", "kind", "rep")
         done = materialize(rows.mapInArrow(_pivot_round(num, den), _ROUND))
-        linked = done.where(F.size("links") > 0).select("cell", "rep", F.array_min("links").alias("low"), "links", "active")
-        between = linked.select("cell", F.col("low").alias("a"), F.explode("links").alias("b")).distinct()  # pivots only
-        found.append(materialize(linked.select(F.col("rep").alias("a"), F.col("low").alias("b")).union(between.select("a", "b")).where("a <> b")))
-        comps = connected_components(between.select("a", "b"))
-        low = sized_join(linked.select("cell", "rep", "low"), comps, F.col("low") == F.col("node"), "left").select("cell", "rep", F.coalesce("component", "low").alias("comp"))
-        bulk = low.groupBy("cell", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("cell").agg(F.max_by("comp", F.struct("k", "comp")).alias("bulk"))
-        low, bulk = materialize(low), materialize(bulk.select(F.col("cell").alias("bcell"), "bulk"))
-        state = done.join(low.select(F.col("cell").alias("lcell"), F.col("rep").alias("lrep"), "comp"), (F.col("cell") == F.col("lcell")) & (F.col("rep") == F.col("lrep")), "left")
-        state = sized_join(state, bulk, F.col("cell") == F.col("bcell"), "left").where("not pivot")
-        open_ = F.col("active") & ~F.coalesce(F.col("comp") == F.col("bulk"), F.lit(False))
+        linked = done.where(F.size("links") > 0).select("cell", "rep", F.array_min("links").alias("low"), "links")
+        pairs = linked.select("cell", "low", F.explode("links").alias("b")).groupBy("cell", "low", "b").agg(F.count(F.lit(1)).alias("k"))  # pivots only
+        pairs = materialize(pairs.groupBy("cell", "low").agg(F.max("k").alias("k"), F.collect_list("b").alias("others")))  # at most MOST_PIVOTS for each cell
+        found.append(materialize(linked.select(F.col("rep").alias("a"), F.col("low").alias("b")).union(pairs.select(F.col("low").alias("a"), F.explode("others").alias("b"))).where("a <> b")))
+        bulk = materialize(pairs.repartition("cell").sortWithinPartitions("cell").mapInArrow(_bulk, "bcell long, blow long"))
+        low = F.array_min("links")
+        state = sized_join(done.where("not pivot"), bulk, (F.col("cell") == F.col("bcell")) & (low == F.col("blow")), "left")
+        open_ = F.col("active") & F.col("blow").isNull()
         state = materialize(state.select("cell", "rep", "set", open_.alias("active"), "home", "near"))
-        # regions are split only where the windows don't copy more than half of the rows
+        # regions are split only where the windows copy few rows
         grow = state.groupBy("cell").agg(F.count(F.lit(1)).alias("k"), F.sum(F.when(F.col("active"), F.size("near")).otherwise(1)).alias("copies"), F.max("active").alias("open"))
-        grow = materialize(grow.where("open").select(F.col("cell").alias("gcell"), (2 * F.col("copies") <= 3 * F.col("k")).alias("split")))
+        grow = materialize(grow.where("open").select(F.col("cell").alias("gcell"), (10 * F.col("copies") <= 11 * F.col("k")).alias("split")))
         state = sized_join(state, grow, F.col("cell") == F.col("gcell"))
         goes = F.when(~F.col("split"), F.array(F.lit(0).cast("long"))).when(F.col("active"), F.array_union(F.array("home"), "near")).otherwise(F.array("home"))
         cells = state.select("cell", "rep", "set", "active", F.explode(goes).alias("to")).select(F.xxhash64("cell", "to").alias("cell"), "rep", "set", "active")
