@@ -185,3 +185,21 @@ def shingles(text: bytes, width: int, cache: WordHash) -> np.ndarray:
     for i in range(k):
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + w[i : len(w) - k + 1 + i])
     return np.unique(h)
+
+
+class Recent(dict):
+    """A cache in two generations: what was used since the last turn of generations outlives the next. Holds up to 2 * most."""
+
+    def __init__(self, make, most: int):
+        super().__init__()
+        self.make, self.most, self.old = make, most, {}
+
+    def __missing__(self, key):
+        value = self.old.pop(key, None)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+        return value

@@ -16,7 +16,9 @@ each other by content. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -26,34 +28,63 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.llm.common import materialize, mix, sized_join, texts
+from docloom.llm.common import Recent, materialize, sized_join, texts
 
-MIN_CHUNK, MAX_CHUNK, MASK, DIGEST = 128, 4096, np.uint64(511), 16
+MIN_CHUNK, MAX_CHUNK, TOP, DIGEST = 128, 4096, np.uint64(2**55), 16
 FAN = 1024
 MOST_UNITS = 300_000
 
 
-class WordEncoder(dict):
-    """Packed ids of white-space separated units: a tokenizer whose pre-tokens never hold white space gives the same."""
+#: Text in which the tokenizer's pattern and normal form are those of PIECE and lower().
+PLAIN = re.compile("[\\t-\\r -~À-ÖØ-öø-ÿŒœ]*")
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿœ]+")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters by which byte-level models name bytes: printable Latin-1 stays, the others follow from U+0100."""
+    out, n = {}, 256
+    for b in range(256):
+        if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174:
+            out[b] = chr(b)
+        else:
+            out[b] = chr(n)
+            n += 1
+    return out
+
+
+class WordEncoder:
+    """Ids of a tokenizer whose pre-tokens hold no white space.
+
+    Texts of ASCII and common Latin letters are cut by PIECE, and the model merges each piece once. Others are cut at
+    white space into units for the whole tokenizer; texts that may hold a special token aren't cut.
+    """
 
     def __init__(self, path: str):
-        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 65_536:
             raise ValueError("ids above 65535 are not supported")
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.units, self.pieces = Recent(self._whole, MOST_UNITS // 8), Recent(self._piece, MOST_UNITS)
 
-    def __missing__(self, unit: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(unit.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u2").tobytes()
-        if len(unit) <= 64:
-            if len(self) >= MOST_UNITS:
-                self.clear()
-            self[unit] = ids
-        return ids
+    def _whole(self, text: bytes) -> bytes:
+        return np.array(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u2").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        named = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+        return array("H", [t.id for t in self.model.tokenize(named)]).tobytes()
 
     def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+        if b"<|" in text:
+            return self._whole(text)
+        said = text.decode("utf-8", "replace")
+        if PLAIN.fullmatch(said):
+            parts, kept = PIECE.findall(said.lower()), self.pieces
+        else:
+            parts, kept = text.lower().split(), self.units
+        short = len(text) <= 64 * len(parts)  # else too long to be kept
+        return b"".join(map(kept.__getitem__ if short else kept.make, parts))
 
 
 @cache
@@ -69,18 +100,20 @@ def encoder(path: str | None) -> WordEncoder:
     return WordEncoder(path)
 
 
+_ROLL = np.random.default_rng(10).integers(0, 2**64, 65_536, np.uint64)
+
+
 def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of an id stream."""
+    """Ends of the chunks of an id stream: where the top nine bits of a hash of the last four ids are zero."""
     n = len(ids)
     if n <= MIN_CHUNK:
         return [n] if n else []
-    g = mix(ids.astype(np.uint64) + np.uint64(1))
+    g = _ROLL[ids]
     h = g.copy()
     for i, m in ((1, 3), (2, 5), (3, 7)):
         h[i:] += g[:-i] * np.uint64(m)
-    marks = np.flatnonzero((mix(h) & MASK) == 0) + 1
     out, at = [], 0
-    for m in [*marks.tolist(), n]:
+    for m in [*(np.flatnonzero(h < TOP) + 1).tolist(), n]:
         while m - at > MAX_CHUNK:
             at += MAX_CHUNK
             out.append(at)
@@ -106,21 +139,23 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
         enc, z = encoder(tokenizer), zstandard.ZstdCompressor(1, write_content_size=True)
         for b in batches:
-            total, chunks = [], []
+            total, ends, names, size, payload = [], [0], [], [], []
             for t in texts(b.column(1)):
-                raw = enc.encode(t) + end
-                ids, at, own = np.frombuffer(raw, "<u2"), 0, []
-                for e in cuts(ids):
+                raw, at = enc.encode(t) + end, 0
+                for e in cuts(np.frombuffer(raw, "<u2")):
                     piece = raw[2 * at : 2 * e]
-                    own.append({"digest": digest(piece), "n": e - at, "payload": z.compress(piece)})
+                    names.append(digest(piece))
+                    size.append(e - at)
+                    payload.append(z.compress(piece))
                     at = e
-                total.append(len(ids))
-                chunks.append(own)
-            kind = pa.list_(pa.struct([("digest", pa.binary()), ("n", pa.int32()), ("payload", pa.binary())]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), pa.array(chunks, kind)], names=["doc_id", "n_tokens", "chunks"])
-
-    staged = materialize(d.mapInArrow(run, "doc_id long, n_tokens long, chunks array<struct<digest: binary, n: int, payload: binary>>"))
-    recipes = staged.select("doc_id", "n_tokens", F.size("chunks").alias("n_chunks"), F.expr("unhex(array_join(transform(chunks.digest, x -> hex(x)), ''))").alias("digests"))
+                total.append(at)
+                ends.append(len(names))
+            chunk = pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(size, pa.int32()), pa.array(payload, pa.binary())], ["digest", "n", "payload"])
+            own = pa.array([b"".join(names[i:j]) for i, j in zip(ends, ends[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(total, pa.int64()), own, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), chunk)], names=["doc_id", "n_tokens", "digests", "chunks"])
+
+    staged = materialize(d.mapInArrow(run, "doc_id long, n_tokens long, digests binary, chunks array<struct<digest: binary, n: int, payload: binary>>"))
+    recipes = staged.select("doc_id", "n_tokens", F.floor(F.octet_length("digests") / DIGEST).cast("int").alias("n_chunks"), "digests")
     order = [F.col("doc_id").asc_nulls_first(), F.col("digests")]
     recipes = recipes.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     at = F.monotonically_increasing_id()
@@ -208,16 +243,15 @@ def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-@cache
-def _shift(n: int) -> int:
-    """x to the power 8 n."""
-    out, p = 1 << 31, 1 << 23  # 1 and x^8
-    while n:
-        if n & 1:
-            out = int(_times(out, p))
-        p = int(_times(p, p))
-        n >>= 1
-    return out
+def _shifts(size: np.ndarray) -> np.ndarray:
+    """x to the power 8 n for each size n."""
+    each, back = np.unique(size, return_inverse=True)
+    out, p = np.full(len(each), 1 << 31, np.uint64), np.full(1, 1 << 23, np.uint64)  # 1 and x^8
+    while each.any():
+        odd = each & 1 > 0
+        out[odd] = _times(out[odd], p)
+        p, each = _times(p, p), each >> 1
+    return out[back]
 
 
 def joined_crc(crc: np.ndarray, size: np.ndarray, doc: np.ndarray, docs: int) -> np.ndarray:
@@ -227,11 +261,10 @@ def joined_crc(crc: np.ndarray, size: np.ndarray, doc: np.ndarray, docs: int) ->
         return out
     first = np.concatenate([[0], np.flatnonzero(doc[1:] != doc[:-1]) + 1])
     length = np.diff(np.append(first, len(doc)))
+    shifts = _shifts(np.asarray(size, np.int64))
     for k in range(int(length.max())):
-        live = length > k
-        at = first[live] + k
-        by = np.fromiter((_shift(int(x)) for x in size[at]), np.uint64, len(at))
-        out[doc[at]] = _times(out[doc[at]], by) ^ crc[at].astype(np.uint64)
+        at = first[length > k] + k
+        out[doc[at]] = _times(out[doc[at]], shifts[at]) ^ crc[at].astype(np.uint64)
     return out
 
 
