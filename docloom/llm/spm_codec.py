@@ -21,26 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docloom.llm.common import Recent
+
 MARK = "▁"
 CUT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
-MOST_UNITS, MOST_PAIRS, LONG_UNIT = 300_000, 500_000, 64
+MOST_UNITS, MOST_PAIRS, LONG_UNIT = 200_000, 1_000_000, 64
 _codecs: dict[str, Codec] = {}
 
 
-class _Units(dict):
-    def __init__(self, codec: Codec, prefix: str):
-        super().__init__()
-        self.codec, self.prefix = codec, prefix
-
-    def __missing__(self, unit: str) -> bytes:
-        ids = self.codec.pack(self.codec.encode_unit(self.prefix + unit))
-        if len(unit) <= LONG_UNIT:
-            if len(self) >= MOST_UNITS:
-                self.clear()
-            self[unit] = ids
-        return ids
-
-
 class Codec:
     """Encoder and decoder of a SentencePiece BPE model with byte fallback, the identity normalizer and a dummy prefix."""
 
@@ -67,13 +55,15 @@ class Codec:
         if any("\n" in p or MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("pieces that span words or lines aren't supported")
         # a piece that its own merges don't give is never an encoding's token
-        self.tokens = {p for p in self.id if len(p) == 1 or self.merge(p) == [p]}
+        self.piece = {i: p for p, i in self.id.items()}
         self.automaton = ahocorasick.Automaton()
-        for p in self.tokens:
-            self.automaton.add_word(p, p)
+        for p, i in self.id.items():
+            if len(p) == 1 or self.merge(p) == [p]:
+                self.automaton.add_word(p, (len(p), i))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.marked, self.plain = _Units(self, MARK), _Units(self, "")
+        self.pairs: dict[int, bool] = {}
+        self.marked = Recent(lambda u: self.pack(self.encode_unit(MARK + u)), MOST_UNITS)
+        self.plain = Recent(lambda u: self.pack(self.encode_unit(u)), MOST_UNITS)
 
     def merge(self, text: str) -> list[str]:
         """The merges as defined, for short texts: best score first, then leftmost."""
@@ -89,37 +79,36 @@ class Codec:
             s[at : at + 2] = [s[at] + s[at + 1]]
         return s
 
-    def compatible(self, a: str, b: str) -> bool:
-        ok = self.pairs.get((a, b))
-        if ok is None:
-            if len(self.pairs) >= MOST_PAIRS:
-                self.pairs.clear()
-            ok = self.pairs[a, b] = self.merge(a + b) == [a, b]
+    def compatible(self, a: int, b: int) -> bool:
+        """Whether the merges of two tokens' concatenation give the two."""
+        x, y = self.piece[a], self.piece[b]
+        if len(self.pairs) >= MOST_PAIRS:
+            self.pairs.clear()
+        ok = self.pairs[a << 32 | b] = self.merge(x + y) == [x, y]
         return ok
 
     def encode_unit(self, unit: str) -> list[int]:
         n = len(unit)
-        last: list[str | None] = [None] * (n + 1)
-        ends: list[list[str]] = [[] for _ in range(n)]
-        for e, p in self.automaton.iter(unit):
-            ends[e].append(p)
-        for e in range(n):
-            for p in sorted(ends[e], key=len, reverse=True):
-                at = e + 1 - len(p)
-                if at == 0 or self.compatible(last[at], p):
-                    last[e + 1] = p
-                    break
-            else:
-                last[e + 1] = unit[e]  # outside the vocabulary: it merges with nothing
+        last, width, known = [-1] * (n + 1), [1] * (n + 1), self.pairs.get
+        for e, (k, i) in self.automaton.iter(unit):  # of one end, the longest first
+            e += 1
+            if last[e] < 0:
+                at = e - k
+                if at:
+                    before = last[at]
+                    if before >= 0:  # else a character outside the vocabulary, which merges with nothing
+                        ok = known(before << 32 | i)
+                        if not (self.compatible(before, i) if ok is None else ok):
+                            continue
+                last[e], width[e] = i, k
         out: list[int] = []
         while n:
-            p = last[n]
-            n -= len(p)
-            i = self.id.get(p)
-            if i is None:
-                out += [self.byte_id[x] for x in reversed(p.encode())]
+            i = last[n]
+            if i < 0:
+                out += [self.byte_id[x] for x in reversed(unit[n - 1].encode())]
             else:
                 out.append(i)
+            n -= width[n]
         return out[::-1]
 
     @staticmethod
@@ -131,6 +120,8 @@ class Codec:
         if not text:
             return self.pack([self.bos, self.eos])
         marked, plain = self.marked.__getitem__, self.plain.__getitem__
+        if len(text) > LONG_UNIT * (text.count(" ") + text.count("\n") + 1):  # units too long to be kept
+            marked, plain = self.marked.make, self.plain.make
         out, nl = [self.pack([self.bos])], self.plain["\n"]
         for k, line in enumerate(text.replace(MARK, " ").split("\n")):
             if k:
