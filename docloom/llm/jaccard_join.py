@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WordHash, connected_components, materialize, mix, roots, shingles, sized_join, starts_of, texts, whole_groups
+from docloom.llm.common import BROADCAST_ROWS, WordHash, connected_components, materialize, mix, roots, shingles, sized_join, starts_of, texts, whole_groups
 
 LEAF, SIG_LEAF, PIVOTS, MOST_PIVOTS, BUCKETS = 64, 128, 64, 512, 64
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -324,13 +324,15 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: in
     # one representative for each set; hot sets are reduced before the shuffle
     classes = materialize(usable.groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep")))
     mine = F.struct("h1", "h2", "n")
-    reps = sized_join(usable, classes.select(F.col("rep"), F.struct("h1", "h2", "n").alias("c")), (F.col("doc") == F.col("rep")) & (mine == F.col("c")))
-    reps = materialize(reps.select("rep", "n", "vec", "sigs").dropDuplicates(["rep", "n", "vec"]))
-    each = reps.select("rep", F.explode("sigs").alias("sig"))
+    mine_only = sized_join(usable, classes.select(F.col("rep"), F.struct("h1", "h2", "n").alias("c")), (F.col("doc") == F.col("rep")) & (mine == F.col("c")))
+    reps = materialize(mine_only.select("rep", "n", "vec").distinct())
+    each = mine_only.select("rep", F.explode("sigs").alias("sig"))
     shared = materialize(each.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("low")).where("k > 1").select(F.col("sig").alias("s"), "k", "low"))
-    each = materialize(sized_join(each, shared, F.col("sig") == F.col("s")).select("sig", "rep", "k", "low"))
+    # most regions hold one set only: they go before anything else is joined; one long a row is broadcast
+    each = materialize(sized_join(each, shared.select("s"), F.col("sig") == F.col("s"), "left_semi", 2 * BROADCAST_ROWS))
+    each = materialize(each.join(shared, F.col("sig") == F.col("s")).select("sig", "rep", "k", "low"))
     few = each.where(F.col("k") <= SIG_LEAF).select("sig", F.col("rep").alias("r"))
-    few = few.join(reps.select("rep", "n", "vec"), F.col("r") == F.col("rep")).select("sig", "rep", "n", "vec")
+    few = few.join(reps, F.col("r") == F.col("rep")).select("sig", "rep", "n", "vec")
     few = few.repartition("sig").sortWithinPartitions("sig", "rep").mapInArrow(_region_links(num, den), "a long, b long")
     many = each.where(F.col("k") > SIG_LEAF).select(F.col("rep").alias("a"), F.col("low").alias("b")).where("a <> b")
     regions = connected_components(few.union(many))

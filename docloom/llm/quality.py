@@ -143,11 +143,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def score(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, score_col: str = "score") -> DataFrame:
     """keep's columns (the id alone if None) with the score, whose name must not be among them."""
     keep = [id_col] if keep is None else keep
-    d = docs.select(*keep, F.coalesce(F.col(text_col), F.lit("")).alias("text to score"))
+    own = text_col not in keep
+    d = docs.select(*keep, F.col(text_col).alias("text to score")) if own else docs.select(*keep)
+    at, width = len(keep) if own else keep.index(text_col), len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = model.score(features(texts(b.column(b.num_columns - 1))))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=[*b.schema.names[:-1], score_col])
+            for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
+                s = model.score(features(texts(part.column(at))))
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(s, pa.float64())], names=[*part.schema.names[:width], score_col])
 
-    return d.mapInArrow(run, StructType([*d.schema.fields[:-1], StructField(score_col, DoubleType())]))
+    return d.mapInArrow(run, StructType([*d.schema.fields[:width], StructField(score_col, DoubleType())]))
