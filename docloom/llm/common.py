@@ -49,6 +49,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that materialize() wrote, once all that is read from it has been written."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if path.startswith(scratch_dir(df.sparkSession)) or scratch_dir(df.sparkSession).split(":", 1)[-1].lstrip("/") in path:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """Whether df has at most so many rows; meant for written tables, whose counts are in the files' footers."""
     return df.count() <= rows

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BROADCAST_ROWS, WordHash, connected_components, materialize, mix, roots, shingles, sized_join, starts_of, texts, whole_groups
+from docloom.llm.common import BROADCAST_ROWS, WordHash, connected_components, discard, materialize, mix, roots, shingles, sized_join, starts_of, texts, whole_groups
 
 LEAF, SIG_LEAF, PIVOTS, MOST_PIVOTS, BUCKETS = 64, 128, 64, 512, 64
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -319,17 +319,19 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: in
     if not 0 < num <= den:
         raise ValueError("the similarity must be above 0 and at most 1")
     d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    s = materialize(sketch(d, width, num, den))
+    full = materialize(sketch(d, width, num, den))
+    s = materialize(full.select("doc", "n", "h1", "h2"))
     usable = s.where("n > 0 and doc is not null")
     # one representative for each set; hot sets are reduced before the shuffle
     classes = materialize(usable.groupBy("h1", "h2", "n").agg(F.min("doc").alias("rep")))
     mine = F.struct("h1", "h2", "n")
-    mine_only = sized_join(usable, classes.select(F.col("rep"), F.struct("h1", "h2", "n").alias("c")), (F.col("doc") == F.col("rep")) & (mine == F.col("c")))
+    mine_only = sized_join(full.where("n > 0 and doc is not null"), classes.select(F.col("rep"), F.struct("h1", "h2", "n").alias("c")), (F.col("doc") == F.col("rep")) & (mine == F.col("c")))
     reps = materialize(mine_only.select("rep", "n", "vec").distinct())
     each = mine_only.select("rep", F.explode("sigs").alias("sig"))
     shared = materialize(each.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("low")).where("k > 1").select(F.col("sig").alias("s"), "k", "low"))
     # most regions hold one set only: they go before anything else is joined; one long a row is broadcast
     each = materialize(sized_join(each, shared.select("s"), F.col("sig") == F.col("s"), "left_semi", 2 * BROADCAST_ROWS))
+    discard(full)  # nothing that follows reads it
     each = materialize(each.join(shared, F.col("sig") == F.col("s")).select("sig", "rep", "k", "low"))
     few = each.where(F.col("k") <= SIG_LEAF).select("sig", F.col("rep").alias("r"))
     few = few.join(reps, F.col("r") == F.col("rep")).select("sig", "rep", "n", "vec")
@@ -344,9 +346,13 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: in
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([shingles(t, width, cache_).tobytes() for t in texts(b.column(3))], pa.binary())], names=["cell", "rep", "members", "set"])
 
-    cells = sized_join(d.where("doc is not null"), regions, F.col("doc") == F.col("rep")).select("cell", "rep", "members", "text").mapInArrow(whole, "cell long, rep long, members long, set binary")
-    cells = materialize(cells.where(F.octet_length("set") > 0))
-    links = [_leaf(cells.where(F.col("members") <= LEAF), num, den), *_big_cells(cells.where(F.col("members") > LEAF).select("cell", "rep", "set"), num, den)]
+    def cells(of: str) -> DataFrame:
+        rows = sized_join(d.where("doc is not null"), regions.where(of), F.col("doc") == F.col("rep")).select("cell", "rep", "members", "text")
+        return rows.mapInArrow(whole, "cell long, rep long, members long, set binary").where(F.octet_length("set") > 0)
+
+    links = [materialize(_leaf(cells(f"members <= {LEAF}"), num, den))]
+    if not sizes.where(F.col("members") > LEAF).isEmpty():
+        links += _big_cells(materialize(cells(f"members > {LEAF}").select("cell", "rep", "set")), num, den)
     every = links[0]
     for x in links[1:]:
         every = every.union(x)
