@@ -18,6 +18,8 @@ WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows up to which a table of ids and small fields may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Spark's own setting for the removal of a query's shuffle files when it ends.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 _scratch: dict[str, str] = {}
 
@@ -42,10 +44,19 @@ def _remove(ref, path: str) -> None:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes df to a shared Parquet table and reads it: cuts the lineage and survives lost executors."""
+    """Writes df to a shared Parquet table and reads it: cuts the lineage and survives lost executors.
+
+    The write's shuffle files go with its end, not with the driver's next garbage collection: nobody reads them again,
+    and a chain of written tables would otherwise keep those of all its steps on the executors' disks.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
