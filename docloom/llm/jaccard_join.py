@@ -276,26 +276,35 @@ def _leaf(cells: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _big_cells(cells: DataFrame, num: int, den: int) -> list[DataFrame]:
-    """Links within cells (cell, rep, set) of more than LEAF sets, round by round."""
-    cells, found, turn = cells.withColumn("active", F.lit(True)), [], 0
+    """Links within cells, a written table (cell, rep, set, active) of sets, round by round.
+
+    Tables with sets are deleted as soon as what is read from them has been written.
+    """
+    found, turn = [], 0
     while True:
         n = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("members"), F.max("active").alias("open")).where("open")
         n = materialize(n.select(F.col("cell").alias("c"), "members"))
         if n.isEmpty():
             return found
-        cells = materialize(sized_join(cells, n, F.col("cell") == F.col("c")).drop("c"))
+        was, cells = cells, materialize(sized_join(cells, n, F.col("cell") == F.col("c")).drop("c"))
+        discard(was)
         found.append(materialize(_leaf(cells.where(F.col("members") <= LEAF), num, den)))
         big = cells.where(F.col("members") > LEAF)
         if n.where(F.col("members") > LEAF).isEmpty():
+            discard(cells)
             return found
         h, many = F.xxhash64(F.lit(turn), "rep"), min(MOST_PIVOTS, PIVOTS << turn)
-        pivots = big.where("active").groupBy("cell", F.pmod(h, F.lit(many)).alias("k")).agg(F.min_by(F.struct("rep", "set"), h).alias("p"), F.max("members").alias("members"))
-        blocks = F.ceil(F.col("members") / max(LEAF, many)).cast("int")
-        pivots = pivots.select("cell", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(0).alias("kind"), "p.rep", "p.set", F.lit(True).alias("active"))
+        # chosen by id, so that no sets are shuffled for it; a block has more members than pivots, so that few are copied
+        chosen = big.where("active").groupBy("cell", F.pmod(h, F.lit(many)).alias("k")).agg(F.min_by("rep", h).alias("rep"))
+        chosen = materialize(chosen.select(F.col("cell").alias("pcell"), F.col("rep").alias("prep")))
+        pivots = sized_join(big.where("active"), chosen, (F.col("cell") == F.col("pcell")) & (F.col("rep") == F.col("prep")), "left_semi")
+        blocks = F.ceil(F.col("members") / max(4 * LEAF, min(2 * many, MOST_PIVOTS))).cast("int")
+        pivots = pivots.select("cell", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(0).alias("kind"), "rep", "set", F.lit(True).alias("active"))
         members = big.select("cell", F.pmod(F.xxhash64("rep", F.lit(1)), blocks).cast("int").alias("block"), F.lit(1).alias("kind"), "rep", "set", "active")
         rows = pivots.unionByName(members).withColumn("group", F.xxhash64("cell", "block"))
         rows = rows.repartition("group").sortWithinPartitions("group", "kind", "rep")
         done = materialize(rows.mapInArrow(_pivot_round(num, den), _ROUND))
+        discard(cells)
         linked = done.where(F.size("links") > 0).select("cell", "rep", F.array_min("links").alias("low"), "links")
         pairs = linked.select("cell", "low", F.explode("links").alias("b")).groupBy("cell", "low", "b").agg(F.count(F.lit(1)).alias("k"))  # pivots only
         pairs = materialize(pairs.groupBy("cell", "low").agg(F.max("k").alias("k"), F.collect_list("b").alias("others")))  # at most MOST_PIVOTS for each cell
@@ -305,13 +314,15 @@ def _big_cells(cells: DataFrame, num: int, den: int) -> list[DataFrame]:
         state = sized_join(done.where("not pivot"), bulk, (F.col("cell") == F.col("bcell")) & (low == F.col("blow")), "left")
         open_ = F.col("active") & F.col("blow").isNull()
         state = materialize(state.select("cell", "rep", "set", open_.alias("active"), "home", "near"))
+        discard(done)
         # regions are split only where the windows copy few rows
         grow = state.groupBy("cell").agg(F.count(F.lit(1)).alias("k"), F.sum(F.when(F.col("active"), F.size("near")).otherwise(1)).alias("copies"), F.max("active").alias("open"))
         grow = materialize(grow.where("open").select(F.col("cell").alias("gcell"), (10 * F.col("copies") <= 11 * F.col("k")).alias("split")))
-        state = sized_join(state, grow, F.col("cell") == F.col("gcell"))
+        was, state = state, sized_join(state, grow, F.col("cell") == F.col("gcell"))
         goes = F.when(~F.col("split"), F.array(F.lit(0).cast("long"))).when(F.col("active"), F.array_union(F.array("home"), "near")).otherwise(F.array("home"))
         cells = state.select("cell", "rep", "set", "active", F.explode(goes).alias("to")).select(F.xxhash64("cell", "to").alias("cell"), "rep", "set", "active")
         cells, turn = materialize(cells), turn + 1
+        discard(was)
 
 
 def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -352,7 +363,7 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: in
 
     links = [materialize(_leaf(cells(f"members <= {LEAF}"), num, den))]
     if not sizes.where(F.col("members") > LEAF).isEmpty():
-        links += _big_cells(materialize(cells(f"members > {LEAF}").select("cell", "rep", "set")), num, den)
+        links += _big_cells(materialize(cells(f"members > {LEAF}").select("cell", "rep", "set", F.lit(True).alias("active"))), num, den)
     every = links[0]
     for x in links[1:]:
         every = every.union(x)
