@@ -12,10 +12,11 @@ around documents alone would put nearly every text on every boundary. Two kinds
    sets from below; pairs beyond the bound are dropped, and what hangs together goes on as one region.
 2. Documents. A region of more than LEAF sets chooses up to PIVOTS of them (twice as many in each further round, up to
    MOST_PIVOTS). Each member computes its distances to them:
-   within the threshold it is linked, and all linked through pivots are settled against each other. Members form Voronoi
-   regions around their nearest pivots; those that aren't settled are replicated to each region j with
-   d(x, pivot j) <= d(x, nearest) + 2 r, which by the triangle inequality meets all partners. Regions join recursively;
-   pivots leave, so each round has fewer unsettled sets. Regions up to LEAF compare all pairs.
+   within the threshold it is linked, and all known to hang together carry one tag; only sets of equal tags are settled
+   against each other. Members form Voronoi regions around their nearest pivots; those without the region's most frequent
+   tag are replicated to each region j with d(x, pivot j) <= d(x, nearest) + 2 r, which by the triangle inequality meets
+   all partners of other tags. Regions join recursively, until they hold one tag; pivots come from the other tags than
+   the most frequent one and leave, so each round has fewer of those. Regions up to LEAF compare all pairs.
 
 Equal sets are one class throughout. No list of pairs is made: tasks return spanning links. A row's set comes from its
 whole text; null or blank texts have the empty set and link with nothing. Rows that share a doc_id are one document
@@ -211,18 +212,17 @@ def _leaf_links(num: int, den: int):
     return run
 
 
-_ROUND = "cell long, rep long, set binary, active boolean, pivot boolean, links array<long>, home long, near array<long>"
+_ROUND = "cell long, rep long, set binary, tag long, pivot boolean, links array<long>, home long, near array<long>"
 
 
 def _pivot_round(num: int, den: int):
-    """Of (cell, block, kind, rep, set, active) sorted by cell, block and kind (0: the pivots): each member's links to pivots, its region and its windows."""
+    """Of (cell, block, kind, rep, set, tag) sorted by cell, block and kind (0: the pivots): each member's links to pivots, its region and its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in whole_groups(batches, "group", 500):
-            group, cell, kind, rep = (t.column(k).to_numpy() for k in ("group", "cell", "kind", "rep"))
-            active = np.array(t.column("active").to_pylist(), bool)
+            group, cell, kind, rep, tag = (t.column(k).to_numpy() for k in ("group", "cell", "kind", "rep", "tag"))
             sets = _sets(t.column("set"))
-            out: dict[str, list] = {k: [] for k in ("cell", "rep", "set", "active", "pivot", "links", "home", "near")}
+            out: dict[str, list] = {k: [] for k in ("cell", "rep", "set", "tag", "pivot", "links", "home", "near")}
             starts = starts_of(group)
             for s, e in zip(starts[:-1], starts[1:], strict=True):
                 p = s + int((kind[s:e] == 0).sum())
@@ -240,35 +240,34 @@ def _pivot_round(num: int, den: int):
                     out["cell"].append(cell[i])
                     out["rep"].append(rep[i])
                     out["set"].append(sets[i].tobytes())
-                    out["active"].append(bool(active[i]))
+                    out["tag"].append(tag[i])
                     out["pivot"].append(bool((pivots == rep[i]).any()))
                     mine = np.sort(pivots[den * both >= num * union]).tolist()
                     out["links"].append([x for x in mine if x == mine[0] or (mine[0], x) not in seen])
                     seen.update((mine[0], x) for x in mine)
                     out["home"].append(pivots[home])
                     out["near"].append(pivots[near].tolist())
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()))
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.int64(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], names=list(out))
 
     return run
 
 
-def _bulk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (cell, low, k, others) sorted by cell: the pivots (cell, low) of each cell's largest component."""
+def _tags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (cell, low, others) sorted by cell: the tag of each pivot and each former tag (tcell, node, new), the smallest of its component."""
     for t in whole_groups(batches, "cell"):
-        cell, low, k, others = (t.column(c).to_pylist() for c in ("cell", "low", "k", "others"))
-        out_cell, out_low = [], []
+        cell, low, others = (t.column(c).to_pylist() for c in ("cell", "low", "others"))
+        out_cell, out_node, out_new = [], [], []
         starts = starts_of(t.column("cell").to_numpy())
         for s, e in zip(starts[:-1], starts[1:], strict=True):
-            index = {x: i for i, x in enumerate(sorted({*low[s:e], *(y for x in others[s:e] for y in x)}))}
+            nodes = sorted({*low[s:e], *(y for x in others[s:e] for y in x)})
+            index = {x: i for i, x in enumerate(nodes)}
             a = np.array([index[low[i]] for i in range(s, e) for _ in others[i]])
             b = np.array([index[y] for x in others[s:e] for y in x])
-            root = roots(len(index), a, b)
-            mine = root[[index[x] for x in low[s:e]]]
-            most = np.bincount(mine, k[s:e]).argmax()
-            out_cell += [cell[s]] * int((mine == most).sum())
-            out_low += [x for x, r in zip(low[s:e], mine, strict=True) if r == most]
-        yield _arrow(bcell=np.array(out_cell, np.int64), blow=np.array(out_low, np.int64))
+            out_cell += [cell[s]] * len(nodes)
+            out_node += nodes
+            out_new += [nodes[r] for r in roots(len(nodes), a, b)]
+        yield _arrow(tcell=np.array(out_cell, np.int64), node=np.array(out_node, np.int64), new=np.array(out_new, np.int64))
 
 
 def _leaf(cells: DataFrame, num: int, den: int) -> DataFrame:
@@ -276,14 +275,16 @@ def _leaf(cells: DataFrame, num: int, den: int) -> DataFrame:
 
 
 def _big_cells(cells: DataFrame, num: int, den: int) -> list[DataFrame]:
-    """Links within cells, a written table (cell, rep, set, active) of sets, round by round.
+    """Links within cells, a written table (cell, rep, set, tag) of sets, round by round.
 
+    A tag is the id of a set of the same component: at first a set's own, later that of a pivot, which has left the cell.
     Tables with sets are deleted as soon as what is read from them has been written.
     """
     found, turn = [], 0
     while True:
-        n = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("members"), F.max("active").alias("open")).where("open")
-        n = materialize(n.select(F.col("cell").alias("c"), "members"))
+        n = cells.groupBy("cell", "tag").agg(F.count(F.lit(1)).alias("k"))
+        n = n.groupBy("cell").agg(F.sum("k").alias("members"), F.max("k").alias("most"), F.max_by("tag", F.struct("k", "tag")).alias("top")).where("most < members")
+        n = materialize(n.select(F.col("cell").alias("c"), "members", "top"))
         if n.isEmpty():
             return found
         was, cells = cells, materialize(sized_join(cells, n, F.col("cell") == F.col("c")).drop("c"))
@@ -295,32 +296,34 @@ def _big_cells(cells: DataFrame, num: int, den: int) -> list[DataFrame]:
             return found
         h, many = F.xxhash64(F.lit(turn), "rep"), min(MOST_PIVOTS, PIVOTS << turn)
         # chosen by id, so that no sets are shuffled for it; a block has more members than pivots, so that few are copied
-        chosen = big.where("active").groupBy("cell", F.pmod(h, F.lit(many)).alias("k")).agg(F.min_by("rep", h).alias("rep"))
+        chosen = big.where("tag <> top").groupBy("cell", F.pmod(h, F.lit(many)).alias("k")).agg(F.min_by("rep", h).alias("rep"))
         chosen = materialize(chosen.select(F.col("cell").alias("pcell"), F.col("rep").alias("prep")))
-        pivots = sized_join(big.where("active"), chosen, (F.col("cell") == F.col("pcell")) & (F.col("rep") == F.col("prep")), "left_semi")
+        pivots = sized_join(big.where("tag <> top"), chosen, (F.col("cell") == F.col("pcell")) & (F.col("rep") == F.col("prep")), "left_semi")
         blocks = F.ceil(F.col("members") / max(4 * LEAF, min(2 * many, MOST_PIVOTS))).cast("int")
-        pivots = pivots.select("cell", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(0).alias("kind"), "rep", "set", F.lit(True).alias("active"))
-        members = big.select("cell", F.pmod(F.xxhash64("rep", F.lit(1)), blocks).cast("int").alias("block"), F.lit(1).alias("kind"), "rep", "set", "active")
+        pivots = pivots.select("cell", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(0).alias("kind"), "rep", "set", "tag")
+        members = big.select("cell", F.pmod(F.xxhash64("rep", F.lit(1)), blocks).cast("int").alias("block"), F.lit(1).alias("kind"), "rep", "set", "tag")
         rows = pivots.unionByName(members).withColumn("group", F.xxhash64("cell", "block"))
         rows = rows.repartition("group").sortWithinPartitions("group", "kind", "rep")
         done = materialize(rows.mapInArrow(_pivot_round(num, den), _ROUND))
         discard(cells)
-        linked = done.where(F.size("links") > 0).select("cell", "rep", F.array_min("links").alias("low"), "links")
-        pairs = linked.select("cell", "low", F.explode("links").alias("b")).groupBy("cell", "low", "b").agg(F.count(F.lit(1)).alias("k"))  # pivots only
-        pairs = materialize(pairs.groupBy("cell", "low").agg(F.max("k").alias("k"), F.collect_list("b").alias("others")))  # at most MOST_PIVOTS for each cell
+        linked = done.where(F.size("links") > 0).select("cell", "rep", "tag", F.array_min("links").alias("low"), "links")
+        ends = F.when(F.col("tag") == F.col("rep"), F.col("links")).otherwise(F.array_append("links", F.col("tag")))  # pivots and former tags only
+        pairs = linked.select("cell", "low", F.explode(ends).alias("b")).distinct()
+        pairs = materialize(pairs.groupBy("cell", "low").agg(F.collect_list("b").alias("others")))  # at most as many as pivots so far
         found.append(materialize(linked.select(F.col("rep").alias("a"), F.col("low").alias("b")).union(pairs.select(F.col("low").alias("a"), F.explode("others").alias("b"))).where("a <> b")))
-        bulk = materialize(pairs.repartition("cell").sortWithinPartitions("cell").mapInArrow(_bulk, "bcell long, blow long"))
-        low = F.array_min("links")
-        state = sized_join(done.where("not pivot"), bulk, (F.col("cell") == F.col("bcell")) & (low == F.col("blow")), "left")
-        open_ = F.col("active") & F.col("blow").isNull()
-        state = materialize(state.select("cell", "rep", "set", open_.alias("active"), "home", "near"))
+        tags = materialize(pairs.repartition("cell").sortWithinPartitions("cell").mapInArrow(_tags, "tcell long, node long, new long"))
+        known = F.coalesce(F.array_min("links"), "tag")
+        state = sized_join(done.where("not pivot"), tags, (F.col("cell") == F.col("tcell")) & (known == F.col("node")), "left")
+        state = materialize(state.select("cell", "rep", "set", F.coalesce("new", "tag").alias("tag"), "home", "near"))
         discard(done)
         # regions are split only where the windows copy few rows
-        grow = state.groupBy("cell").agg(F.count(F.lit(1)).alias("k"), F.sum(F.when(F.col("active"), F.size("near")).otherwise(1)).alias("copies"), F.max("active").alias("open"))
-        grow = materialize(grow.where("open").select(F.col("cell").alias("gcell"), (10 * F.col("copies") <= 11 * F.col("k")).alias("split")))
+        grow = state.groupBy("cell", "tag").agg(F.count(F.lit(1)).alias("k"), F.sum(F.size("near")).alias("copies"))
+        grow = grow.groupBy("cell").agg(F.sum("k").alias("members"), F.sum("copies").alias("copies"), F.max(F.struct("k", "tag", "copies")).alias("top"))
+        copies = F.col("copies") - F.col("top.copies") + F.col("top.k")
+        grow = materialize(grow.where("top.k < members").select(F.col("cell").alias("gcell"), F.col("top.tag").alias("gtop"), (10 * copies <= 11 * F.col("members")).alias("split")))
         was, state = state, sized_join(state, grow, F.col("cell") == F.col("gcell"))
-        goes = F.when(~F.col("split"), F.array(F.lit(0).cast("long"))).when(F.col("active"), F.array_union(F.array("home"), "near")).otherwise(F.array("home"))
-        cells = state.select("cell", "rep", "set", "active", F.explode(goes).alias("to")).select(F.xxhash64("cell", "to").alias("cell"), "rep", "set", "active")
+        goes = F.when(~F.col("split"), F.array(F.lit(0).cast("long"))).when(F.col("tag") != F.col("gtop"), F.array_union(F.array("home"), "near")).otherwise(F.array("home"))
+        cells = state.select("cell", "rep", "set", "tag", F.explode(goes).alias("to")).select(F.xxhash64("cell", "to").alias("cell"), "rep", "set", "tag")
         cells, turn = materialize(cells), turn + 1
         discard(was)
 
@@ -363,7 +366,7 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: in
 
     links = [materialize(_leaf(cells(f"members <= {LEAF}"), num, den))]
     if not sizes.where(F.col("members") > LEAF).isEmpty():
-        links += _big_cells(materialize(cells(f"members > {LEAF}").select("cell", "rep", "set", F.lit(True).alias("active"))), num, den)
+        links += _big_cells(materialize(cells(f"members > {LEAF}").select("cell", "rep", "set", F.col("rep").alias("tag"))), num, den)
     every = links[0]
     for x in links[1:]:
         every = every.union(x)

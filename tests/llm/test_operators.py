@@ -134,6 +134,28 @@ def test_jaccard_regions_by_pivots(spark, num, monkeypatch):
     assert sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got) == brute(out, num, 100, 3)
 
 
+def test_jaccard_families_joined_by_one_pair(spark, monkeypatch):
+    """Two large families whose only link is a pair that isn't likely to hold a pivot."""
+    monkeypatch.setattr(jaccard_join, "LEAF", 8)
+    monkeypatch.setattr(jaccard_join, "SIG_LEAF", 4)
+    monkeypatch.setattr(jaccard_join, "PIVOTS", 4)
+    rng = random.Random(12)
+    out = []
+    for t in range(3):
+        both = [f"c{t}x{i}" for i in range(88)]
+        own = [[f"{side}{t}x{i}" for i in range(12)] for side in "ab"]
+        for side in (0, 1):
+            for k in range(70):
+                w = both + own[side]
+                for j in rng.sample(range(88), rng.randint(1, 2)):
+                    w[j] = f"e{rng.randrange(10**9)}"
+                if k == 0:  # one word of the other family, and no edit
+                    w = both + own[side][:11] + [own[1 - side][0]]
+                out.append((len(out), " ".join(w), "s"))
+    got = sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in jaccard_join.jaccard_components(frame(spark, out), 80, 100, 1).collect())
+    assert got == brute(out, 80, 100, 1) and len({x.rsplit(",")[-1] for x in got}) == 3
+
+
 def test_signatures_lose_no_pair():
     rng = np.random.default_rng(3)
     for num in (50, 80, 90, 95):
