@@ -1,9 +1,11 @@
 """Secret scan: three fixed patterns, and a token-efficiency test that finds random strings the patterns miss.
 
-A candidate is a run of at least MIN_RUN characters of base64, hex or identifier alphabets with letters and digits. Text
+A candidate is a run of at least MIN_RUN characters of base64, hex or identifier alphabets with a letter. Text
 that a tokenizer knows packs several characters into a token; random text doesn't. A run of fewer than ``max_ratio``
 characters a token is a span of kind "random", unless it overlaps a span of a pattern or is a known kind of public
-string: a digest (32, 40, 56, 64, 96 or 128 hex digits), a UUID, a number, or words joined by separators or case.
+string: a digest (32, 40, 56, 64, 96 or 128 hex digits), a UUID, a number, or words joined by separators or case. Each
+word must itself have as many characters a token (or one or two letters in one token), and so must all of them together;
+digits, up to four, end a word or stand between separators.
 
 Spans are code points, end exclusive, of the whole match. Null and empty texts have none; rows are independent, so that
 repeated ones repeat; other columns are not read. Each text is scanned whole.
@@ -30,7 +32,7 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile(r"(?i:[0-9a-f]+)")
 DIGEST_SIZES = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"(?i:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})")
-WORDS = re.compile(r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|[0-9]{1,4}|[_/=+-])+")
+WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+|[_/=+-]+")
 
 
 @cache
@@ -52,18 +54,36 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out + [(m.start(), 2, m.end()) for m in HEX.finditer(text)])
 
 
-def known(run: str) -> bool:
+def identifier(run: str, max_ratio: float, enc) -> bool:
+    """Whether it is made of real words that separators or changes of case join."""
+    last, letters, tokens = "", 0, 0
+    for part in WORDS.findall(run):
+        if part.isdigit():
+            if len(part) > 4:
+                return False
+        elif part.isalpha():
+            if last.isdigit() and not part.istitle():  # a digit joins nothing
+                return False
+            n = min(len(enc.encode_ordinary(x)) for x in (part, f" {part.lower()}"))
+            if len(part) < max_ratio * n and (n > 1 or len(part) > 2):
+                return False
+            letters, tokens = letters + len(part), tokens + n
+        last = part
+    return letters >= max_ratio * tokens
+
+
+def known(run: str, max_ratio: float, enc) -> bool:
     """Whether it is a digest, a UUID, a number or an identifier made of words."""
-    return bool((DIGEST.fullmatch(run) and len(run) in DIGEST_SIZES) or UUID.fullmatch(run) or run.isdigit() or WORDS.fullmatch(run))
+    return bool((DIGEST.fullmatch(run) and len(run) in DIGEST_SIZES) or UUID.fullmatch(run) or run.isdigit() or identifier(run, max_ratio, enc))
 
 
 def random_spans(text: str, base: list[tuple[int, int, int]], max_ratio: float, enc) -> list[tuple[int, int, int]]:
     out = []
     for m in RUN.finditer(text):
         run, s, e = m[0], *m.span()
-        if run.isalpha() or not any(c.isdigit() for c in run) or not any(c.isalpha() for c in run) or any(a < e and s < b for a, _, b in base) or known(run):
+        if not any(c.isalpha() for c in run) or any(a < e and s < b for a, _, b in base):
             continue
-        if len(run) < max_ratio * len(enc.encode_ordinary(run)):
+        if len(run) < max_ratio * len(enc.encode_ordinary(run)) and not known(run, max_ratio, enc):
             out.append((s, 3, e))
     return out
 

@@ -187,6 +187,17 @@ def test_secrets(spark):
     assert secrets.scan_secrets(frame(spark, [])).count() == 0
 
 
+def test_secrets_of_one_case_or_without_digits():
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    for alphabet in (lower + "0123456789", upper + "0123456789", upper + "234567", lower + upper, lower + upper + "0123456789"):
+        for n in (20, 24, 32):
+            rng = random.Random(n)
+            keys = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(300)]
+            assert sum(not secrets.scan(f"a {k} b")[1] for k in keys) <= 3, (alphabet, n)
+    for name in ("someLongIdentifierNameHere", "get_user_by_id_or_name_2", "HTTPServerConnectionPool", "src/main/java/com/example/Foo", "base64EncodeToString2Bytes", "2024-01-15/2024-02-15", "-" * 40):
+        assert not secrets.scan(f"a {name} b")[1], name
+
+
 def test_hex_and_access_patterns_agree_with_the_plain_ones():
     rng = random.Random(4)
     for _ in range(300):
