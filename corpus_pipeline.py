@@ -38,8 +38,9 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids)."""
-    return spm_codec.encode_documents(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids")
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids, position): the place in the mixture, by the files that the stage before wrote."""
+    d = pfair_mix.written_places(docs, "docloom place")
+    return spm_codec.encode_documents(d, place_col="docloom place").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "position")
 
 
 STAGES = [("quality classifier", quality_stage), ("line dedup", line_stage), ("n-gram Jaccard join", near_stage), ("mixing sources", mix_stage), ("SentencePiece encoding", encode_stage)]

@@ -154,9 +154,9 @@ def codec(path: str | None = None) -> Codec:
     return _codecs[path]
 
 
-def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, with_ids: bool = True) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256), and with_ids also the packed ids and the decoded text."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, with_ids: bool = True, place_col: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256), and with_ids also the packed ids and the decoded text, and a place_col as position."""
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.col(place_col).cast("long").alias("position")] if place_col else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
@@ -167,6 +167,8 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
                 cols, names = [*cols, pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], [*names, "ids", "decoded"]
+            if place_col:
+                cols, names = [*cols, b.column(2)], [*names, "position"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return d.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_ids)
+    return d.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_ids + ", position long" * bool(place_col))

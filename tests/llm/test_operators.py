@@ -413,6 +413,26 @@ def test_components(spark):
     assert got == {x: find(x) for x in comp if any(x in e and e[0] != e[1] for e in edges)}
 
 
+def test_pipeline_keeps_the_order_of_the_mixture(spark):
+    """Files of very different sizes, which a reader doesn't return in the order they were written."""
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    sources = ["src0", "src1", "src2", None]
+    docs = frame(spark, [(i, "word " * rng.choice([1, 3, 400 if i % 7 == 0 else 2]), sources[i % 4]) for i in range(1200)])
+    mixed = common.materialize(corpus_pipeline.mix_stage(spark, docs, ""))
+    got = corpus_pipeline.encode_stage(spark, mixed, "").collect()
+    want = {r.doc_id: r.position for r in pfair_mix.mix_sources(docs, corpus_pipeline.WEIGHTS, 2).collect()}
+    assert len(mixed.inputFiles()) > 1 and {r.doc_id: r.position for r in got} == want
+    weight = [corpus_pipeline.WEIGHTS.get(s, 2) for s in sources]
+    order = [i for i, _ in sorted(want.items(), key=lambda x: x[1])]
+    for t in range(32, 400, 32):  # while no source runs out
+        for s in range(4):
+            assert abs(sum(i % 4 == s for i in order[:t]) - t * weight[s] / sum(weight)) < 33
+    empty = common.materialize(corpus_pipeline.mix_stage(spark, docs.limit(0), ""))
+    assert corpus_pipeline.encode_stage(spark, empty, "").count() == 0
+
+
 def test_pipeline(spark, rows, tmp_path):
     import corpus_pipeline
 
