@@ -367,6 +367,20 @@ def test_pfair(spark, rows):
     assert pfair_mix.mix_sources(frame(spark, []), {}).count() == 0
 
 
+def test_pfair_with_more_sources_than_are_scheduled(spark, rows, monkeypatch):
+    want = {(r.doc_id, r.source): r.position for r in pfair_mix.mix_sources(frame(spark, rows), {"hot": 3, None: 2}, block_rows=2).collect()}
+    monkeypatch.setattr(pfair_mix, "MAX_SOURCES", 20)
+    assert want == {(r.doc_id, r.source): r.position for r in pfair_mix.mix_sources(frame(spark, rows), {"hot": 3, None: 2}, block_rows=2).collect()}
+    host = lambda i: "src0" if i < 400 else None if i < 500 else f"host{i % 60}"
+    many = [(i, "x", host(i)) for i in range(1100)] + [(2000 + i, "x", "host7") for i in range(200)]
+    got = sorted((r.position, r.source) for r in pfair_mix.mix_sources(frame(spark, many), {"src0": 60}, block_rows=4).collect())
+    assert [p for p, _ in got] == list(range(1300)) and sum(s == "host7" for _, s in got) == 210
+    for t in range(4, 760, 4):  # sixty hosts and null weigh 61 of 121
+        assert abs(sum(s == "src0" for _, s in got[:t]) - t * 60 / 121) < 5
+    seen = [s for _, s in got if s != "src0"]
+    assert len(set(seen[:61])) == 61 and set(map(seen[:610].count, set(seen))) == {10}
+
+
 def test_token_store(spark, rows, tmp_path):
     import public_tokenizers
     from tokenizers import Tokenizer
