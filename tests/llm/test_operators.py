@@ -121,6 +121,8 @@ def test_jaccard_regions_by_pivots(spark, num, monkeypatch):
     monkeypatch.setattr(jaccard_join, "LEAF", 8)
     monkeypatch.setattr(jaccard_join, "SIG_LEAF", 4)
     monkeypatch.setattr(jaccard_join, "PIVOTS", 4)
+    monkeypatch.setattr(jaccard_join, "LEAST_PIVOTS", 4)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
     rng = random.Random(num)
     out = []
     for g in range(4):
@@ -139,6 +141,8 @@ def test_jaccard_families_joined_by_one_pair(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "LEAF", 8)
     monkeypatch.setattr(jaccard_join, "SIG_LEAF", 4)
     monkeypatch.setattr(jaccard_join, "PIVOTS", 4)
+    monkeypatch.setattr(jaccard_join, "LEAST_PIVOTS", 4)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
     rng = random.Random(12)
     out = []
     for t in range(3):
@@ -166,11 +170,55 @@ def test_signatures_lose_no_pair():
             y = np.unique(np.concatenate([x[rng.random(len(x)) < rng.choice([0.9, 0.95, 1])], rng.integers(0, 2**63, rng.integers(0, 5)).astype(np.uint64)]))
             both = len(np.intersect1d(x, y))
             if len(y) and 100 * both >= num * (len(x) + len(y) - both) and both < max(len(x), len(y)):
-                assert len(np.intersect1d(jaccard_join.signatures(x, p), jaccard_join.signatures(y, p))), (num, len(x), len(y))
-                d = np.abs(np.frombuffer(jaccard_join.buckets(x), np.uint8).astype(int) - np.frombuffer(jaccard_join.buckets(y), np.uint8)).sum()
+                rank = lambda sig: common.mix(sig ^ np.uint64(salt))  # noqa: E731  # any one order of all regions
+                for salt in range(4):
+                    rarest = [[v[np.argsort(rank(v))][: len(v) - k] for k, v in jaccard_join.signatures(z, p)] for z in (x, y)]
+                    assert len(np.intersect1d(*map(np.concatenate, rarest))), (num, len(x), len(y))
+                d = jaccard_join._apart([jaccard_join.buckets(x), jaccard_join.buckets(y)], np.array([0]), np.array([1]))[0]
                 assert d <= p.differ(len(x), len(y))
 
 
+def test_counts_of_sets_of_unlike_sizes():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 2**64, n, np.uint64)) for n in (5, 1000, 1100, 5000, 40_000)]
+    sets += [np.unique(np.concatenate([s[: len(s) // 2], s[-1:]])) for s in sets]
+    i, j = np.triu_indices(len(sets), 1)
+    bounds = jaccard_join._apart([jaccard_join.buckets(s) for s in sets], i, j)
+    assert all(b <= len(np.setxor1d(sets[a], sets[c])) for b, a, c in zip(bounds, i, j))
+    assert bounds[(i == 3) & (j == 4)][0] > 30_000
+
+
+@pytest.mark.parametrize(("na", "nb", "universe", "most"), [(5, 7, 50, 20), (60, 80, 400, 100), (150, 90, 3000, 200)])
+def test_overlaps(na, nb, universe, most):
+    rng = np.random.default_rng(na)
+    u = rng.integers(0, 2**64, universe, np.uint64)
+    a = [np.unique(rng.choice(u, rng.integers(0, most))) for _ in range(na)]
+    b = [np.unique(np.concatenate([rng.choice(u[: universe // 3], rng.integers(0, most)), rng.integers(0, 2**64, 5, np.uint64)])) for _ in range(nb)]
+    assert (jaccard_join.overlaps(a, b) == [[len(np.intersect1d(x, y)) for y in b] for x in a]).all()
+
+
+def test_jaccard_one_large_group(spark):
+    """Near copies of one text, few of them linked directly, with the sizes of production."""
+    rng = random.Random(30)
+    base, out = [f"w{i}" for i in range(60)], []
+    for i in range(3000):
+        w = list(base)
+        for _ in range(rng.choice((1, 1, 2, 3))):
+            w[rng.randrange(60)] = f"e{rng.randrange(10**9)}"
+        out.append((i, " ".join(w), "s"))
+    sets = [common.shingles(t.encode(), 2, common.WordHash()) for _, t, _ in out]
+    names, at = np.unique(np.concatenate(sets), return_inverse=True)
+    m = np.zeros((len(sets), len(names)), np.float32)
+    m[np.repeat(np.arange(len(sets)), list(map(len, sets))), at] = 1
+    m = m[:, m.sum(0) > 1]
+    size = np.array(list(map(len, sets)))
+    both = m @ m.T
+    a, b = np.nonzero(np.triu(100 * both >= 90 * (size[:, None] + size - both), 1))
+    want = common.roots(len(sets), a, b)
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(frame(spark, out), 90, 100, 2).collect()}
+    assert [got[i] for i in range(3000)] == want.tolist() and 1 < len(set(want.tolist())) < 3000
+
+
 def test_secrets(spark):
     rng = random.Random(2)
     key = "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(40))
