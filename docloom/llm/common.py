@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: ASCII white space: space and U+0009 to U+000D.
@@ -18,6 +18,8 @@ WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows up to which a table of ids and small fields may be broadcast; beyond it joins shuffle.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of its fields up to which such a table may be broadcast.
+BROADCAST_BYTES = 32 * 2**20
 #: Spark's own setting for the removal of a query's shuffle files when it ends.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -25,10 +27,13 @@ _scratch: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """This session's folder below ``spark.checkpoint.dir``; a folder of our own only where that is unset."""
+    """This session's folder below ``spark.checkpoint.dir``; a folder of our own where that is unset in a local session, an error on a cluster."""
     app = spark.sparkContext.applicationId
     if app not in _scratch:
-        base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='docloom-')}"
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = base or f"file://{tempfile.mkdtemp(prefix='docloom-')}"
         _scratch[app] = f"{base.rstrip('/')}/docloom-{uuid.uuid4().hex}"
         atexit.register(_remove, weakref.ref(spark), _scratch[app])
     return _scratch[app]
@@ -69,12 +74,22 @@ def discard(df: DataFrame) -> None:
 
 
 def small_enough(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """Whether df has at most so many rows; meant for written tables, whose counts are in the files' footers."""
-    return df.count() <= rows
+    """Whether df has at most so many rows and BROADCAST_BYTES; meant for written tables, which are read for it once more.
+
+    Fields of fixed width count 8 bytes; texts, binaries and arrays are added up.
+    """
+    wide = [f for f in df.schema.fields if f.dataType.typeName() in ("string", "binary", "array", "map", "struct", "variant")]
+    fixed = 8 * (len(df.columns) - len(wide))
+    if not wide:
+        return df.count() <= min(rows, BROADCAST_BYTES // max(1, fixed))
+    size = {"string": F.octet_length, "binary": F.octet_length}
+    own = sum((F.coalesce(size.get(f.dataType.typeName(), lambda c: F.octet_length(F.to_json(F.struct(c))))(column(f.name)), F.lit(0)) for f in wide), F.lit(fixed))
+    n, b = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(own), F.lit(0))).first()
+    return n <= rows and b <= BROADCAST_BYTES
 
 
 def sized_join(big: DataFrame, small: DataFrame, on, how: str = "inner", rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Joins; broadcasts ``small`` only where its counted rows are within the bound, else shuffles."""
+    """Joins; broadcasts ``small`` only where its counted rows and bytes are within the bounds, else shuffles."""
     return big.join(F.broadcast(small) if small_enough(small, rows) else small, on, how)
 
 
@@ -140,31 +155,46 @@ def hot_keys(df: DataFrame, key: str, share: float, items: int) -> list:
     return [x["item"] for x in row["k"] or [] if x["count"] > share * row["n"]]
 
 
-def _sums(df: DataFrame) -> tuple:
-    return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _pointed(low: DataFrame) -> DataFrame:
+    """low (node, parent) with each node's root in place of its parent: pointers double until none moves."""
+    while True:
+        up = low.select(F.col("node").alias("n"), F.col("parent").alias("p"))
+        far = sized_join(low, up.where("n <> p"), F.col("parent") == F.col("n"), "left")
+        low = materialize(far.select("node", F.coalesce("p", "parent").alias("parent"), F.col("p").isNotNull().alias("moved")))
+        if low.where("moved").isEmpty():
+            return low.drop("moved")
+        low = low.drop("moved")
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of edges (a, b), longs; a component is its smallest node.
 
-    Alternates large-star and small-star steps, so that a chain of n links takes O(log n) rounds. The minima are
-    aggregated before the shuffle and written, so that a node with very many links meets them in a join that
-    adaptive execution splits.
+    Each round points every node at its smallest neighbour, follows pointers to their roots by doubling, and replaces the
+    ends of the edges by roots; edges within a root go. Minima are aggregated before the shuffle; ends meet their roots in
+    joins that broadcast up to a counted bound, and that adaptive execution splits beyond.
     """
-    e = materialize(edges.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    was = _sums(e)
-    while was[0]:
-        both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = materialize(both.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = materialize(both.join(low, both.a == low.u).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        low = materialize(large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m")))
-        e = materialize(large.join(low, large.a == low.u).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.a", "x.b").where("a <> b").distinct())
-        now = _sums(e)
-        if now == was:
-            break
-        was = now
-    low = e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
-    return materialize(low.union(e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()).groupBy("node").agg(F.min("component").alias("component")))
+    told = lambda d: materialize(d.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = told(edges.where("a is not null and b is not null"))
+    steps = []
+    while not e.isEmpty():
+        both = e.select(F.col("a").alias("node"), F.col("b").alias("v")).union(e.select("b", "a"))
+        low = materialize(both.groupBy("node").agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("parent")))
+        steps.append(_pointed(low))
+        to = lambda c: steps[-1].where("node <> parent").select(F.col("node").alias(f"{c} node"), F.col("parent").alias(f"{c} root"))
+        e = sized_join(sized_join(e, to("a"), F.col("a") == F.col("a node"), "left"), to("b"), F.col("b") == F.col("b node"), "left")
+        e = told(e.select(F.coalesce("a root", "a").alias("a"), F.coalesce("b root", "b").alias("b")))
+    if not steps:
+        return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    out = steps[0]
+    for s in steps[1:]:  # a root of one round is a node of the next
+        s = s.where("node <> parent").select(F.col("node").alias("n"), F.col("parent").alias("p"))
+        out = sized_join(out, s, F.col("parent") == F.col("n"), "left").select("node", F.coalesce("p", "parent").alias("parent"))
+    return materialize(out.select("node", F.col("parent").alias("component")))
+
+
+def column(name: str) -> Column:
+    """A column by its whole name, dots and back quotes included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def mix(x: np.ndarray) -> np.ndarray:

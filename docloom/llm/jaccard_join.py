@@ -340,7 +340,7 @@ def _tags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _tasks(df: DataFrame) -> int:
     """Partitions of a shuffle whose work isn't in proportion to its bytes: a stated number isn't coalesced."""
-    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _leaf(cells: DataFrame, num: int, den: int) -> DataFrame:
@@ -380,7 +380,8 @@ def _big_cells(ids: DataFrame, sets: DataFrame, num: int, den: int) -> list[Data
         if per.isEmpty():
             return found
         ids = materialize(sized_join(ids, per, F.col("cell") == F.col("c")).withColumn("top", F.col("tag") == F.col("toptag")).drop("c", "most", "toptag"))
-        found.append(materialize(_leaf(_with_sets(ids.where(small), sets), num, den)))
+        if not per.where(small).isEmpty():
+            found.append(materialize(_leaf(_with_sets(ids.where(small), sets), num, den)))
         big = ids.where(~small)
         if per.where(~small).isEmpty():
             return found
@@ -415,8 +416,11 @@ def _big_cells(ids: DataFrame, sets: DataFrame, num: int, den: int) -> list[Data
         work = materialize(work.groupBy(F.col("cell").alias("wcell")).agg(F.sum(F.col("k") * F.col("o")).alias("work")))
         # regions of at most half the work; each round halves it, or ends in blocks
         gain = materialize(sized_join(work, tops, F.col("wcell") == F.col("gcell")).select("wcell", (2 * F.col("work") <= F.col("members") * F.col("others")).alias("split")))
-        whole = sized_join(state, gain.where("not split"), F.col("cell") == F.col("wcell"), "left_semi")
-        found.append(materialize(_blocks(whole.select("cell", "rep", "top", "members", "others", "elements"), sets, num, den)))
+        if not gain.where("not split").isEmpty():
+            whole = sized_join(state, gain.where("not split"), F.col("cell") == F.col("wcell"), "left_semi")
+            found.append(materialize(_blocks(whole.select("cell", "rep", "top", "members", "others", "elements"), sets, num, den)))
+        if gain.where("split").isEmpty():
+            return found
         ids = sized_join(split, gain.where("split"), F.col("cell") == F.col("wcell"), "left_semi").select(F.xxhash64("cell", "to").alias("cell"), "rep", "tag", "n")
         ids = materialize(ids)
 
@@ -442,18 +446,23 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: in
     discard(full)  # nothing that follows reads it
     # of each step's regions the commonest go, as many as its spare; those that were of one set came first in the order
     rank = F.row_number().over(Window.partitionBy("rep", "step").orderBy(F.desc("k"), F.desc("sig")))
-    each = each.join(shared, F.col("sig") == F.col("s")).withColumn("nth", rank).where("nth > spare").select("sig", "rep", "k")
-    each = materialize(each.distinct())
-    left = materialize(each.groupBy(F.col("sig").alias("s")).agg(F.count(F.lit(1)).alias("left"), F.min("rep").alias("low")).where("left > 1"))
-    each = sized_join(each, left, F.col("sig") == F.col("s")).select("sig", "rep", "left", "low")
-    # regions of the same sets are one: near copies share hundreds
-    few = each.where(F.col("left") <= SIG_LEAF).groupBy("sig").agg(F.array_sort(F.collect_list("rep")).alias("reps")).select("reps").distinct()
+    each = sized_join(each, shared, F.col("sig") == F.col("s")).withColumn("nth", rank).where("nth > spare").select("sig", "rep", "k")
+    each = materialize(each)
+    members = lambda d: d.groupBy("sig").agg(F.array_sort(F.collect_set("rep")).alias("reps")).where(F.size("reps") > 1).select("reps")  # noqa: E731  # at most SIG_LEAF
+    few, many = members(each.where(F.col("k") <= SIG_LEAF)), None
+    hot = each.where(F.col("k") > SIG_LEAF)
+    if not hot.isEmpty():
+        left = materialize(hot.groupBy(F.col("sig").alias("s")).agg(F.count(F.lit(1)).alias("left"), F.min("rep").alias("low")))
+        hot = sized_join(hot, left, F.col("sig") == F.col("s"))
+        few = few.union(members(hot.where(F.col("left") <= SIG_LEAF)))
+        many = hot.where(F.col("left") > SIG_LEAF).select(F.col("rep").alias("a"), F.col("low").alias("b"))
+    few = few.distinct()  # regions of the same sets are one: near copies share hundreds
     few = few.select(F.xxhash64("reps").alias("region"), F.explode("reps").alias("r"))
-    few = few.join(reps, F.col("r") == F.col("rep")).select("region", "rep", "n", "vec")
+    few = sized_join(few, reps, F.col("r") == F.col("rep")).select("region", "rep", "n", "vec")
     few = few.repartition(_tasks(d), "region").sortWithinPartitions("region", "rep").mapInArrow(_region_links(num, den), "a long, b long")
-    many = each.where(F.col("left") > SIG_LEAF).select(F.col("rep").alias("a"), F.col("low").alias("b")).where("a <> b")
-    regions = connected_components(few.union(many))
-    regions = materialize(regions.join(reps.groupBy("rep").agg(F.max("n").alias("n")), F.col("node") == F.col("rep")).select(F.col("component").alias("cell"), "rep", "n"))
+    regions = connected_components(few if many is None else few.union(many))
+    regions = sized_join(regions, reps.select("rep", "n"), F.col("node") == F.col("rep")).groupBy(F.col("component").alias("cell"), "rep").agg(F.max("n").alias("n"))
+    regions = materialize(regions)
     sizes = materialize(regions.groupBy(F.col("cell").alias("c")).agg(F.count(F.lit(1)).alias("members"), F.sum("n").alias("elements")))
     small = (F.col("members") <= LEAF) & (F.col("elements") <= 2 * ELEMENTS)
     regions = materialize(sized_join(regions, sizes, F.col("cell") == F.col("c")).select("cell", "rep", "n", small.alias("small")))
@@ -475,14 +484,14 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: in
     for x in links[1:]:
         every = every.union(x)
     # documents of several rows tie their classes together
-    ties = usable.select("doc", "h1", "h2", "n").distinct().groupBy("doc").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    ties = materialize(usable.groupBy("doc").agg(F.min(mine).alias("first"), F.max(mine).alias("last")).where("first <> last").select("doc"))
     if not ties.isEmpty():
         own = classes.select(F.col("rep").alias("b"), mine.alias("c"))
         several = usable.join(ties.select(F.col("doc").alias("t")), F.col("doc") == F.col("t"), "left_semi")
         every = every.union(several.join(own, mine == F.col("c")).select(F.col("doc").alias("a"), "b"))
     comps = connected_components(every)
     classes = sized_join(classes, comps, F.col("rep") == F.col("node"), "left").select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("n").alias("gn"), F.coalesce("component", "rep").alias("component"))
-    out = s.select("doc", "n", "h1", "h2").join(materialize(classes), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("n") == F.col("gn")) & F.col("doc").isNotNull(), "left")
+    out = sized_join(s.select("doc", "n", "h1", "h2"), materialize(classes), (F.col("h1") == F.col("g1")) & (F.col("h2") == F.col("g2")) & (F.col("n") == F.col("gn")) & F.col("doc").isNotNull(), "left")
     return out.select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
 
