@@ -1,6 +1,7 @@
 """Document fingerprints by order MinHash.
 
-The units of a text are its words, or its characters where words are longer than MAX_WORD bytes on average. Each run of
+The units of a text are its words; a word of more than MAX_WORD bytes, as in scripts without spaces, is one unit for each
+of its characters. This holds word by word, so that a text and its edited text agree where they are equal. Each run of
 k units is numbered by its occurrence; each of m hash functions selects the two least numbered runs, keeps them in text
 order and hashes the pair. The share of equal positions of two fingerprints falls with their edit distance, also where
 runs only change places.
@@ -8,42 +9,51 @@ runs only change places.
 The next document of a row is the next row by descending doc_id (null last), then by descending text hash; after the
 last comes the first. Null texts are empty. Texts without units have the empty fingerprint, which is like itself (1)
 and unlike others (0). Other columns are not read. One shuffle deals texts by ranges of doc_id; each range also gets
-a copy of the next range's first row.
+a copy of the next range's first row. An id that fills more than one range, or null, is cut by the hash of its texts.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docloom.llm.common import WordHash, mix, word_hashes
 
-K_WORDS, K_CHARS, HASHES, MAX_WORD = 3, 8, 48, 24
+K, HASHES, MAX_WORD = 3, 48, 24
 _rng = np.random.default_rng(6)
 _MULT = _rng.integers(0, 2**63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
-def units(text: str, cache: WordHash) -> tuple[np.ndarray, int]:
-    """Hashes of the units and the length of a run."""
-    data = text.encode("utf-8", "surrogatepass")
-    words = data.split()
-    if len(data) > MAX_WORD * len(words):
-        return mix(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)), K_CHARS
-    return word_hashes(words, cache), K_WORDS
+def units(text: str, cache: WordHash) -> np.ndarray:
+    """Hashes of the units."""
+    words = text.encode("utf-8", "surrogatepass").split()
+    if not words or max(map(len, words)) <= MAX_WORD:
+        return word_hashes(words, cache)
+    out, short = [], []
+    for w in words:
+        if len(w) <= MAX_WORD:
+            short.append(w)
+            continue
+        if short:
+            out.append(word_hashes(short, cache))
+            short = []
+        out.append(mix(np.frombuffer(w.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)))
+    return np.concatenate([*out, word_hashes(short, cache)])
 
 
 def fingerprint(text: str, cache: WordHash) -> np.ndarray:
     """HASHES 32-bit values; none where the text has no units."""
-    u, k = units(text, cache)
+    u = units(text, cache)
     if not len(u):
         return np.zeros(0, np.uint32)
-    k = min(k, len(u))
+    k = min(K, len(u))
     h = np.full(len(u) - k + 1, k, np.uint64)
     for i in range(k):
         h = mix(h * _GOLD + u[i : len(u) - k + 1 + i])
@@ -79,6 +89,26 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - k] + following[:k]
 
 
+def _range(o: Column, row: Column, cuts: list[int]) -> Column:
+    """The range of a row from the cuts, ascending; range 0 holds the largest ids. A repeated cut is an id that is cut by row."""
+    each = sorted(set(cuts))
+    if not each:
+        return F.lit(0).cast("long")
+    step = max(1, int(len(each) ** 0.5))
+    # cuts at or below o: first among every step-th one, then among the step that follows it
+    k = F.size(F.filter(F.lit(each[::step]), lambda x: x <= o))
+    below = F.when(k == 0, 0).otherwise((k - 1) * step + F.size(F.filter(F.slice(F.lit(each), (k - 1) * step + 1, step), lambda x: x <= o)))
+    r = (F.lit(len(each)) - below).cast("long")
+    times = {v: n for v, n in Counter(cuts).items() if n > 1}
+    if not times:
+        return r
+    most = max(times.values()) + 1
+    parts = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in times.items() for x in kv)), o), F.lit(0)) + 1
+    # the row's place among all hashes, from 0 to 1, largest first
+    sub = F.least(F.floor((0.5 - row / F.lit(2.0**64)) * parts), parts - 1)
+    return r * most + F.greatest(sub, F.lit(0)).cast("long")
+
+
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ranges: int | None = None) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)."""
     spark = docs.sparkSession
@@ -87,15 +117,13 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     d = d.withColumn("o", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("row", F.xxhash64("text"))
     shares = [i / n for i in range(1, n)]
-    cuts = sorted(set(d.agg(F.percentile_approx("o", shares, 20 * n)).first()[0] or []))  # at most n
-    edges = F.lit(cuts) if cuts else F.array().cast("array<long>")
-    # range 0 holds the largest ids; the number of cuts at or above o, by width of a sorted constant array
-    d = d.withColumn("r", F.lit(len(cuts)) - F.when(F.col("o") < F.lit(cuts[0]), 0).otherwise(F.call_function("array_size", F.filter(edges, lambda x: x <= F.col("o")))) if cuts else F.lit(0))
+    cuts = sorted(d.agg(F.percentile_approx("o", shares, 20 * n)).first()[0] or [])  # at most n
+    d = d.withColumn("r", _range(F.col("o"), F.col("row"), cuts))
     heads = d.groupBy("r").agg(F.max(F.struct("o", "row")).alias("h")).collect()  # one for each range
     present = sorted(x["r"] for x in heads)
     before = {r: present[i - 1] for i, r in enumerate(present)}
     if heads:
-        h = spark.createDataFrame([(x["h"]["o"], x["h"]["row"], before[x["r"]]) for x in heads], "ho long, hrow long, hr int")
+        h = spark.createDataFrame([(x["h"]["o"], x["h"]["row"], before[x["r"]]) for x in heads], "ho long, hrow long, hr long")
         ghosts = d.join(F.broadcast(h), (F.col("o") == F.col("ho")) & (F.col("row") == F.col("hrow"))).select("doc_id", "text", "o", "row", F.col("hr").alias("r"), F.lit(1).alias("ghost"))
         d = d.withColumn("ghost", F.lit(0)).unionByName(ghosts)
     else:
