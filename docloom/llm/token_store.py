@@ -6,8 +6,9 @@ Layout below one folder, all Parquet:
   manifest/   level, part, node, hash: level 0 hashes a run of documents' recipes, each next one the runs below, one root
 
 A rolling hash over four ids cuts each document's ids into chunks of MIN_CHUNK to MAX_CHUNK, 512 more than the least on
-average, so that equal passages give equal chunks wherever they stand. Reading checks each chunk against its digest and
-can rebuild ids; verify() recomputes the manifest.
+average, so that equal passages give equal chunks wherever they stand. Reading recomputes the manifest from the recipes and
+compares the roots, follows each recipe through the chunks, and checks each chunk against its digest and each document's
+ids against the count in its recipe: a lost or altered file of any of the three ends the job. read_documents() rebuilds ids.
 
 Null texts are empty; an empty text has its end id alone. Rows with a null doc_id come first; rows of equal doc_id follow
 each other by content. Other columns are not read.
@@ -16,6 +17,7 @@ each other by content. Other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
 from array import array
@@ -37,6 +39,10 @@ MOST_UNITS = 300_000
 
 #: Text in which the tokenizer's pattern and normal form are those of PIECE and lower().
 PLAIN = re.compile("[\\t-\\r -~À-ÖØ-öø-ÿŒœ]*")
+#: The settings of a tokenizer file for which this holds.
+NORMAL = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
 PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿœ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿœ]+")
 
 
@@ -56,7 +62,8 @@ class WordEncoder:
     """Ids of a tokenizer whose pre-tokens hold no white space.
 
     Texts of ASCII and common Latin letters are cut by PIECE, and the model merges each piece once. Others are cut at
-    white space into units for the whole tokenizer; texts that may hold a special token aren't cut.
+    white space into units for the whole tokenizer; texts that may hold a special token aren't cut. No text is cut for a
+    file whose normalizer, pre-tokenizer, model or special tokens aren't those that the cuts rely on.
     """
 
     def __init__(self, path: str):
@@ -65,6 +72,12 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 65_536:
             raise ValueError("ids above 65535 are not supported")
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        self.cuts = told["normalizer"] == NORMAL and told["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [SPLIT, BYTES]} and not any(told[k] for k in ("truncation", "padding"))
+        self.cuts &= told["model"]["type"] == "BPE" and not told["model"].get("dropout") and all(t["content"].startswith("<|") for t in told["added_tokens"])
+        self.tokenizer.no_padding()
+        self.tokenizer.no_truncation()
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.units, self.pieces = Recent(self._whole, MOST_UNITS // 8), Recent(self._piece, MOST_UNITS)
 
@@ -76,7 +89,7 @@ class WordEncoder:
         return array("H", [t.id for t in self.model.tokenize(named)]).tobytes()
 
     def encode(self, text: bytes) -> bytes:
-        if b"<|" in text:
+        if not self.cuts or b"<|" in text:
             return self._whole(text)
         said = text.decode("utf-8", "replace")
         if PLAIN.fullmatch(said):
@@ -197,12 +210,21 @@ def manifest(recipes: DataFrame) -> DataFrame:
         level += 1
 
 
+def root(nodes: DataFrame) -> str | None:
+    """The one hash of a manifest's last level; None where there is no document."""
+    top = nodes.orderBy(F.desc("level")).first()
+    return top["hash"] if top else None
+
+
+def sound_recipes(spark: SparkSession, path: str) -> bool:
+    """Whether the recipes are those of the manifest."""
+    kept = spark.read.schema("level int, part int, node long, hash string").parquet(f"{path}/manifest")
+    return root(kept) == root(manifest(documents(spark, path)))
+
+
 def verify(spark: SparkSession, path: str) -> bool:
     """Whether the manifest is that of the recipes and each chunk has its digest."""
-    kept = spark.read.schema("level int, part int, node long, hash string").parquet(f"{path}/manifest")
-    made = manifest(documents(spark, path))
-    same = kept.exceptAll(made).isEmpty() and made.exceptAll(kept).isEmpty()
-    return same and chunk_sums(spark, path).where("not sound").isEmpty()
+    return sound_recipes(spark, path) and chunk_sums(spark, path).where("not sound").isEmpty()
 
 
 def raw_ids(payload: bytes, limit: int = 2 * MAX_CHUNK) -> bytes:
@@ -269,7 +291,13 @@ def joined_crc(crc: np.ndarray, size: np.ndarray, doc: np.ndarray, docs: int) ->
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files; a damaged chunk ends the job."""
+    """(doc_id, start, n_tokens, ids_crc32) of each document, from the files; damage to any of them ends the job.
+
+    The crc of a document is joined from those of its chunks in the order of its recipe, so that no ids are shuffled; it
+    is that of the ids which read_documents() rebuilds.
+    """
+    if not sound_recipes(spark, path):
+        raise ValueError("the recipes differ from the manifest")
     d = documents(spark, path)
     before, total = {}, 0
     for x in d.groupBy("part").agg(F.sum("n_tokens").alias("n")).orderBy("part").collect():  # one for each file range
@@ -277,12 +305,12 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
         total += x["n"]
     o = F.broadcast(spark.createDataFrame(list(before.items()), "bpart int, before long"))
     d = d.join(o, d.part == o.bpart).withColumn("start", F.col("before") + F.sum("n_tokens").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_tokens"))
-    d = d.select("part", "seq", "doc_id", "start", "n_chunks", "digests")
+    d = d.select("part", "seq", "doc_id", "start", "n_tokens", F.floor(F.octet_length("digests") / DIGEST).cast("int").alias("n_chunks"), "digests")
     each = d.select("part", "seq", "digests", F.explode(F.sequence(F.lit(0), F.col("n_chunks") - 1)).alias("k"))
     each = each.select("part", "seq", "k", F.substring("digests", F.col("k") * DIGEST + 1, F.lit(DIGEST)).alias("digest"))
     sums = chunk_sums(spark, path).select("digest", "n", F.when(F.col("sound"), F.col("crc")).otherwise(F.raise_error(F.lit("a chunk differs from its digest")).cast("long")).alias("crc"))
     each = sized_join(each, materialize(sums), "digest").groupBy("part", "seq").agg(F.array_sort(F.collect_list(F.struct("k", "n", "crc"))).alias("x"))
-    d = d.drop("digests").join(each, ["part", "seq"], "left").select("doc_id", "start", "n_chunks", "x")
+    d = d.drop("digests").join(each, ["part", "seq"], "left").select("doc_id", "start", "n_chunks", "x", "n_tokens")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -294,6 +322,8 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
             n, crc = f.field("n").to_numpy(), f.field("crc").to_numpy()
             doc = np.repeat(np.arange(b.num_rows), sizes)
             tokens = np.bincount(doc, n, b.num_rows).astype(np.int64)
+            if (tokens != b.column(4).to_numpy()).any():
+                raise ValueError("a recipe's count differs from its chunks")
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(tokens), pa.array(joined_crc(crc, 4 * n, doc, b.num_rows).astype(np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     return d.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
