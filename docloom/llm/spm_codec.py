@@ -54,6 +54,9 @@ class Codec:
                 self.id[p], self.score[p] = i, sp.get_score(i)
         if any("\n" in p or MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("pieces that span words or lines aren't supported")
+        probe = "\ufb01 \uff21  x "
+        if sp.normalize(probe) != (MARK + probe).replace(" ", MARK):
+            raise ValueError("only the identity normalizer with a dummy prefix is supported")
         # a piece that its own merges don't give is never an encoding's token
         self.piece = {i: p for p, i in self.id.items()}
         self.automaton = ahocorasick.Automaton()
@@ -64,6 +67,9 @@ class Codec:
         self.pairs: dict[int, bool] = {}
         self.marked = Recent(lambda u: self.pack(self.encode_unit(MARK + u)), MOST_UNITS)
         self.plain = Recent(lambda u: self.pack(self.encode_unit(u)), MOST_UNITS)
+        for text in (probe, "one two\n\n three  \u4f60\U0001f600", "\u2581a \u2581"):
+            if self.encode(text) != self.pack([self.bos, *sp.encode(text), self.eos]):
+                raise ValueError("the model doesn't encode by merges of best score")
 
     def merge(self, text: str) -> list[str]:
         """The merges as defined, for short texts: best score first, then leftmost."""
