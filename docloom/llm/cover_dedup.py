@@ -1,11 +1,15 @@
 """Embedding near-dedup by dual traversal of cover trees.
 
-Equal vectors of a label are first reduced to one with a count. Each label's vectors are hashed into blocks of about
-``block`` rows, and each pair of blocks is one task: a cover tree over each block (nested nets whose radii halve) and a
-traversal of node pairs, which drops pairs whose centres lie further apart than both covering radii and the threshold
-distance. Pairs that remain are decided by their cosine in double precision. A task returns sums and a spanning set of
-links, not pairs. The threshold join is exact; where vectors aren't clustered, no metric bound prunes, and its work grows
-with the square of a label's distinct vectors, shared evenly between tasks.
+Equal vectors of a label are first reduced to one with a count. The top level of a label's tree is a net of pivots, one for
+about half a block of vectors: each vector goes to the region of its nearest pivot, whose covering radius is the largest
+distance within. A vector also visits another region only if it could have a partner there: if its distance to that
+pivot is at most its own to its nearest pivot and twice the threshold distance, and at most the region's radius and the
+threshold distance. Each region (its residents, and visitors from regions of lower number) is joined by blocks: a cover
+tree over each block (nested nets whose radii halve) and a traversal of node pairs, which drops pairs whose centres lie
+further apart than both covering radii and the threshold distance. Pairs that remain are decided by their cosine in
+double precision. A task returns sums and a spanning set of links, not pairs. The threshold join is exact; where vectors
+aren't clustered, no metric bound prunes, and its work grows with the square of a label's distinct vectors, shared
+evenly between tasks.
 
 Vectors that are null, zero or hold null or non-finite components, or whose label or id is null, link with nothing, as do
 vectors of unlike length. Equal vectors under different ids link; rows that repeat an id count as vectors of their own.
@@ -23,6 +27,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import connected_components, materialize, roots, sized_join
 
 LEAF = 32
+MOST_PIVOTS = 4096
 
 
 class CoverTree:
@@ -104,6 +109,37 @@ def near_pairs(x: np.ndarray, y: np.ndarray, least: float) -> tuple[np.ndarray,
     return i[ok], j[ok]
 
 
+def _placed(big: DataFrame, block: int, reach: float, tasks: int) -> DataFrame:
+    """(label, dim, rep, copies, v, home, d, near) of vectors (label, dim, n, rep, copies, v): the nearest pivot, the distance to it, and the pivots of higher number whose regions may hold partners.
+
+    Pivots are chosen by hash, MOST_PIVOTS of a label at most, and go with each chunk of at least twice as many vectors.
+    """
+    h = F.xxhash64(F.lit("pivot"), "rep", "v")
+    many = F.least(F.lit(MOST_PIVOTS), F.greatest(F.lit(2), F.ceil(2 * F.col("n") / block))).cast("int")
+    pivots = big.groupBy("label", "dim", "n", F.pmod(h, many).alias("k")).agg(F.min_by(F.struct("rep", "v"), h).alias("p"))
+    chunks = F.ceil(F.col("n") / F.greatest(F.lit(1024), 2 * many)).cast("int")
+    kind = lambda k: F.lit(k).alias("kind")
+    p = materialize(pivots.select("label", "dim", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), kind(0), F.col("k").cast("long").alias("rep"), F.lit(0).cast("long").alias("copies"), "p.v"))
+    m = big.select("label", "dim", F.pmod(F.xxhash64(F.lit("chunk"), "rep", "v"), chunks).cast("int").alias("chunk"), kind(1), "rep", "copies", "v")
+
+    def run(key, g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values(["kind", "rep"], kind="stable")
+        n = int((g["kind"] == 0).sum())
+        x = np.array(g["v"].tolist(), float)
+        x /= np.sqrt((x * x).sum(1))[:, None]
+        out = g.iloc[n:]
+        d = distance(x[n:], x[:n])
+        at = d.argmin(1)
+        d0 = d[np.arange(len(d)), at]
+        number = g["rep"].to_numpy()[:n]
+        window = (d <= d0[:, None] + 2 * reach) & (number[None, :] > number[at][:, None])
+        near = [[{"j": int(number[k]), "d": float(row[k])} for k in np.flatnonzero(w)] for row, w in zip(d, window, strict=True)]
+        return pd.DataFrame({"label": out["label"], "dim": out["dim"], "rep": out["rep"], "copies": out["copies"], "v": out["v"], "home": number[at].astype(np.int32), "d": d0, "near": near})
+
+    rows = p.unionByName(m).repartition(tasks, "label", "dim", "chunk")
+    return rows.groupBy("label", "dim", "chunk").applyInPandas(run, "label string, dim int, rep long, copies long, v array<double>, home int, d double, near array<struct<j: int, d: double>>")
+
+
 def dedup_embeddings(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block: int = 1024) -> DataFrame:
     """(vec_id, n_links, component_id, kept): a row for each vector."""
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -114,14 +150,36 @@ def dedup_embeddings(vectors: DataFrame, least: float = 0.93, id_col: str = "vec
     classes = materialize(v.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
     sizes = classes.groupBy(F.col("label").alias("l"), F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
     c = sized_join(classes, materialize(sizes), (F.col("label") == F.col("l")) & (F.size("v") == F.col("dim")))
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    c = c.withColumn("i", F.pmod(F.xxhash64("rep", "v"), blocks).cast("int")).select("label", "dim", "rep", "copies", "v", "i", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("j"))
-    c = c.select("label", "dim", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), (F.col("i") > F.col("j")).alias("right"), "rep", "copies", "v")
+    reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * least))) + 1e-7
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    c = c.select("label", "dim", "n", "rep", "copies", "v")
+    big = c.where(F.col("n") > 2 * block)
+    homes = c.where(F.col("n") <= 2 * block).select("label", "dim", "rep", "copies", "v", F.lit(0).alias("home"))
+    visits = None
+    if not big.isEmpty():
+        placed = materialize(_placed(big, block, reach, tasks))
+        radius = materialize(placed.groupBy(F.col("label").alias("rl"), F.col("dim").alias("rd"), F.col("home").alias("rj")).agg(F.max("d").alias("radius")))
+        near = placed.select("label", "dim", "rep", "copies", "v", F.explode("near").alias("x")).select("label", "dim", "rep", "copies", "v", F.col("x.j").alias("home"), "x.d")
+        near = sized_join(near, radius, (F.col("label") == F.col("rl")) & (F.col("dim") == F.col("rd")) & (F.col("home") == F.col("rj")))
+        visits = near.where(F.col("d") <= F.col("radius") + reach).select("label", "dim", "rep", "copies", "v", "home")
+        homes = homes.unionByName(placed.select("label", "dim", "rep", "copies", "v", "home"))
+    every = homes.withColumn("guest", F.lit(0)) if visits is None else homes.withColumn("guest", F.lit(0)).unionByName(visits.withColumn("guest", F.lit(1)))
+    every = materialize(every)
+    size = materialize(every.groupBy(F.col("label").alias("sl"), F.col("dim").alias("sd"), F.col("home").alias("sh")).agg(F.count_if(F.col("guest") == 0).alias("own"), F.count_if(F.col("guest") == 1).alias("guests")))
+    own, guests = F.ceil(F.col("own") / block).cast("int"), F.ceil(F.col("guests") / block).cast("int")
+    j = sized_join(every, size, (F.col("label") == F.col("sl")) & (F.col("dim") == F.col("sd")) & (F.col("home") == F.col("sh"))).withColumn("i", F.pmod(F.xxhash64("rep", "v"), F.when(F.col("guest") == 1, guests).otherwise(own)).cast("int"))
+    upto = lambda k: F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
+    pair = lambda kind, lo, hi, right: F.struct(F.lit(kind).alias("kind"), lo.alias("lo"), hi.alias("hi"), right.alias("right"))
+    within = F.transform(upto(own), lambda k: pair(0, F.least("i", k), F.greatest("i", k), F.col("i") > k))
+    beside = F.transform(upto(guests), lambda k: pair(1, F.col("i"), k, F.lit(False)))
+    calls = F.transform(upto(own), lambda k: pair(1, k, F.col("i"), F.lit(True)))
+    j = j.select("label", "dim", "home", "rep", "copies", "v", F.explode(F.when(F.col("guest") == 1, calls).otherwise(F.concat(within, beside))).alias("t"))
+    j = j.select(F.xxhash64("label", "dim", "home", "t.kind", "t.lo", "t.hi").alias("group"), (F.col("t.kind") == 0).alias("inner"), (F.col("t.lo") == F.col("t.hi")).alias("one"), "t.right", "rep", "copies", "v")
 
     def run(key, g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["right", "rep"], kind="stable")
         x, copies, rep = np.array(g["v"].tolist(), float), g["copies"].to_numpy(), g["rep"].to_numpy()
-        same = key[2] == key[3]
+        same = bool(g["inner"].iloc[0]) and bool(g["one"].iloc[0])
         n = len(g) if same else int((~g["right"].to_numpy(bool)).sum())
         i, j = near_pairs(x[:n], x if same else x[n:], least)
         if same:
@@ -134,7 +192,7 @@ def dedup_embeddings(vectors: DataFrame, least: float = 0.93, id_col: str = "vec
         some = np.flatnonzero(links)
         return pd.DataFrame({"rep": rep[some], "links": links[some].astype(np.int64), "other": rep[roots(len(g), i, j)[some]]})
 
-    found = materialize(c.groupBy("label", "dim", "lo", "hi").applyInPandas(run, "rep long, links long, other long"))
+    found = materialize(j.repartition(tasks, "group").groupBy("group").applyInPandas(run, "rep long, links long, other long"))
     comps = connected_components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     per_class = sized_join(sized_join(classes, links.withColumnRenamed("rep", "lrep"), F.col("rep") == F.col("lrep"), "left"), comps, F.col("rep") == F.col("node"), "left")
