@@ -2,7 +2,8 @@
 
 A candidate is a run of at least MIN_RUN characters of base64, hex or identifier alphabets with a letter. Text
 that a tokenizer knows packs several characters into a token; random text doesn't. A run of fewer than ``max_ratio``
-characters a token is a span of kind "random", unless it overlaps a span of a pattern or is a known kind of public
+characters a token (SHORT_RATIO for runs below SHORT characters that could be one word: letters of one case, or with a
+capital) is a span of kind "random", unless it overlaps a span of a pattern or is a known kind of public
 string: a digest (32, 40, 56, 64, 96 or 128 hex digits), a UUID, a number, or words joined by separators or case. Each
 word must itself have as many characters a token (or one or two letters in one token), and so must all of them together;
 digits, up to four, end a word or stand between separators.
@@ -27,8 +28,8 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-MIN_RUN = 20
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+MIN_RUN, SHORT, SHORT_RATIO = 16, 20, 2.0
+RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
 DIGEST = re.compile(r"(?i:[0-9a-f]+)")
 DIGEST_SIZES = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"(?i:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})")
@@ -83,7 +84,9 @@ def random_spans(text: str, base: list[tuple[int, int, int]], max_ratio: float,
         run, s, e = m[0], *m.span()
         if not any(c.isalpha() for c in run) or any(a < e and s < b for a, _, b in base):
             continue
-        if len(run) < max_ratio * len(enc.encode_ordinary(run)) and not known(run, max_ratio, enc):
+        plain = len(run) < SHORT and run.isalpha() and (run[1:].islower() or run.isupper())
+        ratio = min(max_ratio, SHORT_RATIO) if plain else max_ratio
+        if len(run) < ratio * len(enc.encode_ordinary(run)) and not known(run, max_ratio, enc):
             out.append((s, 3, e))
     return out
 

@@ -242,6 +242,10 @@ def test_secrets_of_one_case_or_without_digits():
             rng = random.Random(n)
             keys = ["".join(rng.choice(alphabet) for _ in range(n)) for _ in range(300)]
             assert sum(not secrets.scan(f"a {k} b")[1] for k in keys) <= 3, (alphabet, n)
+    for alphabet, least in ((lower + "0123456789", 0.97), (lower + upper, 0.97), (upper, 0.93), (lower, 0.85), (lower + upper + "0123456789+/", 0.97)):
+        rng = random.Random(16)
+        keys = ["".join(rng.choice(alphabet) for _ in range(rng.randint(16, 19))) for _ in range(400)]
+        assert sum(bool(secrets.scan(f"a {k} b")[1]) for k in keys) >= least * 400, alphabet
     for name in ("someLongIdentifierNameHere", "get_user_by_id_or_name_2", "HTTPServerConnectionPool", "src/main/java/com/example/Foo", "base64EncodeToString2Bytes", "2024-01-15/2024-02-15", "-" * 40):
         assert not secrets.scan(f"a {name} b")[1], name
 
