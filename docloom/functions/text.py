@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -104,8 +105,42 @@ REDACTIONS = [
 ]
 
 
+#: What a text must hold for a pattern to find anything: a cheap test before it.
+HINTS = [("-----BEGIN",), ("sk-", "rk-", "pk-"), ("AKIA", "ASIA", "AROA", "AIDA"), ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "github_pat_"), ("xox",), ("AIza",), ("eyJ",), ("earer", "Basic", "Token")]
+
+
 def redact(text: Column, extra: list[str] = ()) -> Column:
-    """The text without secrets; further patterns come after the fixed ones."""
-    for pattern, by in [*REDACTIONS, *((p, "[redacted]") for p in extra)]:
-        text = F.regexp_replace(text, F.lit(pattern), F.lit(by))
+    """The text without secrets; further patterns come after the fixed ones. A pattern runs only on texts that hold a part of what it needs."""
+    noun = "(?i)key|token|secret|passw|passphrase|credential|authorization|aws_"
+
+    def step(i: int, pattern: str, by: str):
+        def run(t: Column) -> Column:
+            done = F.regexp_replace(t, F.lit(pattern), F.lit(by))
+            if i < len(HINTS):
+                return F.when(reduce(Column.__or__, (F.contains(t, F.lit(h)) for h in HINTS[i])), done).otherwise(t)
+            if i < len(REDACTIONS):
+                return F.when(F.contains(t, F.lit('"' if i == len(HINTS) else "=")) & t.rlike(noun), done).otherwise(t)
+            return done
+
+        return run
+
+    for i, (pattern, by) in enumerate([*REDACTIONS, *((p, "[redacted]") for p in extra)]):
+        text = F.get(F.transform(F.array(text), step(i, pattern, by)), F.lit(0))  # the text is bound once for each step
     return text
+
+
+def numbered_slugs(rows: DataFrame, key: str) -> DataFrame:
+    """(key, slug): repeats of a slug get -1, -2 and so on, in order of the key.
+
+    A slug that very many rows have fills no single task: rows are range-partitioned by slug and key, numbered within
+    partitions, and moved on by what earlier partitions hold of their slug (one row for each slug and partition).
+    """
+    from docloom.plans.lineage import cut
+
+    d = cut(rows.repartitionByRange("slug", key).withColumn("part", F.spark_partition_id()))
+    w = Window.partitionBy("part", "slug").orderBy(key)
+    per = d.groupBy("slug", "part").agg(F.count(F.lit(1)).alias("k"))
+    before = F.coalesce(F.sum("k").over(Window.partitionBy("slug").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = per.select("slug", "part", before.alias("before"))
+    n = d.withColumn("n", F.row_number().over(w)).join(at, ["slug", "part"]).withColumn("n", F.col("n") + F.col("before"))
+    return n.select(key, F.when(F.col("n") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), (F.col("n") - 1).cast("string"))).alias("slug"))

@@ -12,20 +12,53 @@ SYSTEM = ("_path", "_format", "_present", "_data")
 MAX_KEYS = 5_000
 
 
+def members_of(data: Column | str) -> Column:
+    """A JSON object's top-level members as a map to variants; null where it isn't an object."""
+    return F.try_variant_get(F.try_parse_json(data), "$", "map<string,variant>")
+
+
 def json_type(data: Column, key: str) -> Column:
     """Type of a top-level member; null where it is absent, 'VOID' for an explicit null."""
-    return F.schema_of_variant(F.variant_get(F.try_parse_json(data), "$['" + key.replace("'", "\\'") + "']", "variant"))
+    return F.schema_of_variant(F.element_at(members_of(data), key))
+
+
+def docs_long(records: DataFrame) -> DataFrame:
+    """(_path, key, type, value) of each top-level member but system ones: text as is, 1 and 0 for booleans, numbers that aren't finite as null, arrays and objects as JSON text."""
+    d = records.select("_path", F.explode(members_of("_data")).alias("key", "v")).where((F.col("key") != "") & ~F.col("key").isin(*SYSTEM))
+    kind = F.schema_of_variant("v")
+    text = F.try_variant_get("v", "$", "string")
+    value = F.when(kind == "VOID", None).when(kind == "BOOLEAN", F.when(text == "true", "1").otherwise("0")).when(kind == "STRING", text).otherwise(F.to_json("v"))
+    plain = F.when(kind.rlike("^(DECIMAL|DOUBLE|FLOAT)"), "DOUBLE").when(kind.startswith("ARRAY"), "ARRAY").when(kind.startswith("OBJECT"), "OBJECT").otherwise(kind)
+    return d.select("_path", "key", plain.alias("type"), value.alias("value"))
+
 
+def build_docs(records: DataFrame, keys: dict[str, str] | list[str] | None = None) -> DataFrame:
+    """(_path, _format, _present, _data) with a column for each top-level key of _data, sorted.
 
-def build_docs(records: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """(_path, _format, _present, _data) with a column for each top-level key of _data, sorted; values as text."""
+    A key whose values are all whole numbers is a long, all numbers a double, all booleans 1 or 0; others are text (see
+    docs_long). Keys and their types are found in one pass, or given. Beyond MAX_KEYS keys a table has too many columns:
+    docs_long holds the same cells as rows.
+    """
     if keys is None:
-        found = records.select(F.explode(F.json_object_keys("_data")).alias("k")).distinct().limit(MAX_KEYS + 1).collect()
-        if len(found) > MAX_KEYS:
-            raise ValueError(f"more than {MAX_KEYS} keys")
-        keys = sorted(x["k"] for x in found if x["k"] and x["k"] not in SYSTEM)
-    quoted = lambda k: "$['" + k.replace("'", "\\'") + "']"
-    return records.select(*SYSTEM, *(F.get_json_object("_data", quoted(k)).alias(k) for k in keys))
+        found = docs_long(records).where("type <> 'VOID'").select("key", "type").distinct().limit(6 * MAX_KEYS + 1).collect()  # six types at most
+        if len({x["key"] for x in found}) > MAX_KEYS:
+            raise ValueError(f"more than {MAX_KEYS} keys; use docs_long")
+        every = records.select(F.explode(F.json_object_keys("_data")).alias("k")).distinct().collect() if len(found) <= MAX_KEYS else []
+        types: dict[str, set] = {x["k"]: set() for x in every if x["k"] and x["k"] not in SYSTEM}
+        for x in found:
+            types.setdefault(x["key"], set()).add(x["type"])
+        keys = {k: "long" if t == {"BIGINT"} else "double" if t and t <= {"BIGINT", "DOUBLE"} else "int" if t == {"BOOLEAN"} else "string" for k, t in types.items()}
+    elif not isinstance(keys, dict):
+        keys = dict.fromkeys(keys, "string")
+    m = members_of("_data")
+
+    def cell(k: str, kind: str) -> Column:
+        v = F.element_at(m, k)
+        t, text = F.schema_of_variant(v), F.try_variant_get(v, "$", "string")
+        value = F.when(v.isNull() | (t == "VOID"), None).when(t == "BOOLEAN", F.when(text == "true", "1").otherwise("0")).when(t == "STRING", text).otherwise(F.to_json(v))
+        return value.cast(kind).alias(k)
+
+    return records.select(*SYSTEM, *(cell(k, keys[k]) for k in sorted(keys)))
 
 
 def members(docs: DataFrame, collections: dict[str, tuple[list[str], list[str]]], path: str = "_path") -> DataFrame:
@@ -72,13 +105,14 @@ def diff_baselines(old: DataFrame, new: DataFrame) -> DataFrame:
     return new.join(old, keys, "left_anti").withColumn("change", F.lit("added")).unionByName(old.join(new, keys, "left_anti").withColumn("change", F.lit("removed")))
 
 
-def infer_schema(values: DataFrame, files: int, most: int = 20, share: float = 0.05) -> DataFrame:
-    """Of (path, key, type, value): coverage, dominant type, distinct values, and whether they make an enum."""
+def infer_schema(values: DataFrame, files: DataFrame, most: int = 20, share: float = 0.05) -> DataFrame:
+    """Of (path, key, type, value) and the table of files: coverage, dominant type, distinct values, and whether they make an enum."""
     by_type = values.groupBy("key", "type").agg(F.count(F.lit(1)).alias("n"))
     top = by_type.groupBy("key").agg(F.max_by("type", F.struct("n", "type")).alias("type"), F.count(F.lit(1)).alias("types"))
     per_key = values.groupBy("key").agg(F.countDistinct("path").alias("files"), F.countDistinct("value").alias("distinct"))
-    enum = (F.col("distinct") <= most) & (F.col("distinct") <= share * files)
-    return per_key.join(top, "key").select("key", "files", F.round(F.col("files") / files, 4).alias("coverage"), "type", "types", "distinct", enum.alias("enum"))
+    total = files.agg(F.count(F.lit(1)).alias("total"))
+    enum = (F.col("distinct") <= most) & (F.col("distinct") <= share * F.col("total"))
+    return per_key.join(top, "key").crossJoin(F.broadcast(total)).select("key", "files", F.round(F.col("files") / F.col("total"), 4).alias("coverage"), "type", "types", "distinct", enum.alias("enum"))  # one row
 
 
 def dominant_type(values: DataFrame) -> DataFrame:
@@ -116,6 +150,19 @@ def merge_sidecar(pages: DataFrame, sidecar: DataFrame, key: str, owned: list[st
 
 
 def suggest(unknown: DataFrame, known: DataFrame, most: int = 3) -> DataFrame:
-    """(name, suggestion): the nearest known name within a few edits, ties by name. known: a small list of names."""
-    d = unknown.select("name").crossJoin(F.broadcast(known.select(F.col("name").alias("k")))).withColumn("d", F.levenshtein("name", "k")).where(F.col("d") <= most)
+    """(name, suggestion): the nearest known name within ``most`` edits, ties by name.
+
+    A name is cut into most + 1 parts; within so many edits one part stays whole and moves by at most ``most`` places. So
+    names meet by an equi-join on a part, its number and the other's length, and only those are compared. Names shorter
+    than most + 1 meet by their lengths.
+    """
+    n = most + 1
+    size = F.char_length(F.col("name"))
+    pieces = lambda c, of: F.array(*(F.struct(F.lit(i).alias("i"), F.substr(c, F.floor(of * i / n).cast("int") + 1, (F.floor(of * (i + 1) / n) - F.floor(of * i / n)).cast("int")).alias("part")) for i in range(n)))
+    k = known.select("name").distinct().select(F.col("name").alias("k"), size.alias("ksize"), F.explode(pieces(F.col("name"), size)).alias("x")).select("k", "ksize", "x.i", "x.part")
+    u = unknown.select("name").distinct().withColumn("size", size).withColumn("ksize", F.explode(F.sequence(F.greatest(F.col("size") - most, F.lit(0)), F.col("size") + most)))
+    place = lambda i: F.floor(F.col("ksize") * i / n).cast("int")
+    each = F.array(*(F.struct(F.lit(i).alias("i"), (place(i) + F.lit(shift)).alias("at"), (place(i + 1) - place(i)).alias("len")) for i in range(n) for shift in range(-most, most + 1)))
+    u = u.select("name", "ksize", F.explode(each).alias("x")).where("x.at >= 0").select("name", "ksize", F.col("x.i").alias("i"), F.substr("name", F.col("x.at") + 1, F.col("x.len")).alias("part")).distinct()
+    d = u.join(k, ["ksize", "i", "part"]).select("name", "k").distinct().withColumn("d", F.levenshtein("name", "k")).where(F.col("d") <= most)
     return d.groupBy("name").agg(F.min_by("k", F.struct("d", "k")).alias("suggestion"))

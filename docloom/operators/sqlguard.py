@@ -8,7 +8,7 @@ from collections.abc import Iterator, Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 _TOKEN = re.compile(
-    r"""'(?:[^']|'')*'?|"(?:[^"]|"")*"?|`(?:[^`]|``)*`?|\[[^\]]*\]?|--[^\n]*|/\*.*?(?:\*/|\Z)|::|[$:@][A-Za-z_]\w*|.""",
+    r"""'(?:[^']|'')*'?|"(?:[^"]|"")*"?|`(?:[^`]|``)*`?|--[^\n]*|/\*.*?(?:\*/|\Z)|::|[$:@][A-Za-z_]\w*|.""",
     re.DOTALL,
 )
 
@@ -17,7 +17,7 @@ def tokens(sql: str) -> Iterator[tuple[str, bool]]:
     """Pieces of a statement and whether they are code, not a string, a quoted name or a comment."""
     for m in _TOKEN.finditer(sql):
         t = m[0]
-        yield t, not (t[0] in "'\"`" or (t[0] == "[" and len(t) > 1) or t.startswith(("--", "/*")))
+        yield t, not (t[0] in "'\"`" or t.startswith(("--", "/*")))
 
 
 def single_statement(sql: str) -> str:
@@ -26,7 +26,7 @@ def single_statement(sql: str) -> str:
     for t, code in tokens(sql):
         if code and t == ";" and not done:
             done = True
-        elif done and (code or t[0] in "'\"`[") and t.strip():
+        elif done and (code or t[0] in "'\"`") and t.strip():
             raise ValueError("one statement only")
         elif not done:
             out.append(t)
@@ -61,11 +61,43 @@ def run(spark: SparkSession, sql: str, params: Mapping[str, object] | None = Non
         raise ValueError(f"unbound: {', '.join(missing)}")
     if unused := [n for n in params if n not in names]:
         raise ValueError(f"not in the statement: {', '.join(unused)}")
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan("".join(":" + t[1:] if code and len(t) > 1 and t[0] in "$@" else t for t, code in tokens(sql)))
-    kind = plan.getClass().getSimpleName()
-    if re.search("Command|Insert|Delete|Update|Merge|Create|Drop|Alter|Set|Cache|Truncate|Use|Show|Describe|Replace", kind) and kind not in ("UnresolvedSubqueryColumnAliases",):
-        raise ValueError(f"only reading statements are allowed, not {kind}")
-    return spark.sql("".join(":" + t[1:] if code and len(t) > 1 and t[0] in "$@" else t for t, code in tokens(sql)), args=params)
+    text = "".join(":" + t[1:] if code and len(t) > 1 and t[0] in "$@" else t for t, code in tokens(sql))
+    reading(spark, spark._jsparkSession.sessionState().sqlParser().parsePlan(text))  # before analysis, which runs commands
+    df = spark.sql(text, args=params)
+    reading(spark, df._jdf.queryExecution().analyzed())
+    return df
+
+
+#: Functions that run code or read what isn't a table.
+FORBIDDEN = {"java_method", "reflect", "try_reflect", "callmethodviareflection", "trycallmethodviareflection", "input_file_name", "assert_true"}
+#: Words in the names of plan nodes that do something.
+DOES = re.compile("Command|Insert|Delete|Update|Merge|Create|Drop|Alter|^Set|Cache|Truncate|^Use|Show|Describe|Replace|Transform|CompoundBody|Exec(?!ut)")
+
+
+def reading(spark: SparkSession, plan) -> None:
+    """Refuses a plan with any node that isn't reading, at any depth, or with functions that run code."""
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        kind = node.getClass().getSimpleName()
+        if DOES.search(kind):
+            raise ValueError(f"only reading statements are allowed, not {kind}")
+        for i in range(node.expressions().size()):
+            exprs = [node.expressions().apply(i)]
+            while exprs:
+                x = exprs.pop()
+                names = {x.getClass().getSimpleName().lower(), x.prettyName().lower()}
+                if names & {"unresolvedfunction"}:
+                    names |= {str(x.nameParts().last()).lower()}
+                if names & FORBIDDEN:
+                    raise ValueError(f"{sorted(names & FORBIDDEN)[0]} isn't allowed")
+                if x.getClass().getSuperclass().getSimpleName() == "SubqueryExpression":
+                    todo.append(x.plan())
+                exprs += [x.children().apply(j) for j in range(x.children().size())]
+        for group in (node.children(), node.innerChildren()):
+            for i in range(group.size()):
+                if hasattr(group.apply(i), "expressions"):
+                    todo.append(group.apply(i))
 
 
 def check(df: DataFrame) -> int:

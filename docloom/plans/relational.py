@@ -15,11 +15,16 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "cross_const": ("WITH route AS (SELECT '/docs' AS root, 2 AS depth) SELECT n_name, concat(root, '/', lower(n_name)) AS path, depth FROM nation CROSS JOIN route", None),
     "semi_in_subquery": ("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)", None),
     "semi_exists": ("SELECT s_suppkey FROM supplier s WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_quantity >= 50)", None),
-    "anti_not_in": ("SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL AND l_quantity > 40)", None),
-    "anti_not_in_null_trap": ("SELECT n_nationkey FROM nation WHERE n_nationkey NOT IN (SELECT CASE WHEN c_nationkey = 3 THEN NULL ELSE c_nationkey END FROM customer)", None),
+    "anti_not_in": ("SELECT p_partkey FROM part WHERE p_partkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 40)", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_partkey IS NOT NULL AND l_quantity > 40)"),
+    # NOT IN written out: no row where the list holds a null, an equi anti join else
+    "anti_not_in_null_trap": (
+        "WITH l AS (SELECT CASE WHEN c_nationkey = 3 THEN NULL ELSE c_nationkey END AS k, c_nationkey % 2 AS half FROM customer WHERE c_nationkey < 9), nulls AS (SELECT half, count_if(k IS NULL) AS n FROM l GROUP BY half) SELECT h.half, n_nationkey FROM nation JOIN nulls h ON h.n = 0 WHERE n_nationkey IS NOT NULL AND NOT EXISTS (SELECT 1 FROM l WHERE l.half = h.half AND l.k = n_nationkey)",
+        "WITH l AS (SELECT CASE WHEN c_nationkey = 3 THEN NULL ELSE c_nationkey END AS k, c_nationkey % 2 AS half FROM customer WHERE c_nationkey < 9) SELECT h.half, n_nationkey FROM nation, (SELECT DISTINCT half FROM l) h WHERE n_nationkey NOT IN (SELECT k FROM l WHERE l.half = h.half)",
+    ),
+    # an equi-join for each length that a root has, instead of a comparison of all
     "theta_prefix_join": (
-        "WITH roots AS (SELECT DISTINCT substring(url, 1, 18) AS root FROM pages) SELECT r.root, count(*) AS n FROM pages p JOIN roots r ON p.url LIKE concat(r.root, '%') GROUP BY r.root",
-        None,
+        "WITH roots AS (SELECT DISTINCT substring(url, 1, 14 + 2 * CAST(page_id % 3 AS INT)) AS root FROM pages), sizes AS (SELECT DISTINCT length(root) AS n FROM roots), cuts AS (SELECT substring(url, 1, n) AS root FROM pages CROSS JOIN sizes WHERE length(url) >= n) SELECT r.root, count(*) AS n FROM cuts p JOIN roots r ON p.root = r.root GROUP BY r.root",
+        "WITH roots AS (SELECT DISTINCT substring(url, 1, 14 + 2 * CAST(page_id % 3 AS INT)) AS root FROM pages) SELECT r.root, count(*) AS n FROM pages p JOIN roots r ON starts_with(p.url, r.root) GROUP BY r.root",
     ),
     "join_full_outer": ("SELECT coalesce(a.k, b.k) AS k, a.n AS customers, b.n AS suppliers FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY 1) a FULL OUTER JOIN (SELECT s_nationkey AS k, count(*) AS n FROM supplier GROUP BY 1) b ON a.k = b.k", None),
     "join_right_using": ("SELECT k, a.n AS customers, b.name FROM (SELECT c_nationkey AS k, count(*) AS n FROM customer WHERE c_acctbal < 0 GROUP BY 1) a RIGHT JOIN (SELECT n_nationkey AS k, n_name AS name FROM nation) b USING (k)", None),
@@ -43,7 +48,7 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "union_distinct": ("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier", None),
     "intersect": ("SELECT l_partkey AS k FROM lineitem WHERE l_quantity > 45 INTERSECT SELECT p_partkey FROM part WHERE p_size < 20", None),
     "except": ("SELECT p_partkey AS k FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_discount > 0.09", None),
-    "cte_chain": ("WITH big AS (SELECT o_custkey AS k, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey), ranked AS (SELECT k, total, rank() OVER (ORDER BY total DESC, k) AS r FROM big) SELECT k, round(total, 2) AS total, r FROM ranked WHERE r <= 25", None),
+    "cte_chain": ("WITH big AS (SELECT o_custkey AS k, sum(o_totalprice) AS total FROM orders GROUP BY o_custkey), top AS (SELECT k, total FROM big ORDER BY total DESC, k LIMIT 25), ranked AS (SELECT k, total, rank() OVER (ORDER BY total DESC, k) AS r FROM top) SELECT k, round(total, 2) AS total, r FROM ranked", None),
     "values_join": ("SELECT v.name, count(*) AS n FROM (VALUES ('O', 'open'), ('F', 'filled'), ('P', 'partial')) AS v(code, name) JOIN orders ON o_orderstatus = v.code GROUP BY v.name", None),
     "recursive_cte": ("WITH RECURSIVE reach(node, depth) AS (SELECT 0, 0 UNION ALL SELECT n.n_nationkey, r.depth + 1 FROM reach r JOIN nation n ON n.n_nationkey IN (2 * r.node + 1, 2 * r.node + 2) WHERE r.depth < 6) SELECT node, depth FROM reach", None),
     "scalar_subquery": ("SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS n, c_acctbal > (SELECT avg(c_acctbal) FROM customer) AS above FROM customer", None),
@@ -53,9 +58,10 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "window_frame": ("SELECT o_orderkey, round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 2) AS moving, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders", None),
     "window_lag": ("SELECT event_id, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before, lead(event_type, 2, 'end') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS after FROM events", None),
     "cube_extra": ("SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(grouping(l_returnflag) AS BIGINT) AS g FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)", None),
+    # spans meet in buckets of 16 that they touch; the first bucket that both touch gives the pair, once
     "range_overlap_join": (
+        "WITH spans AS (SELECT doc_id, doc_id * 3 AS s, doc_id * 3 + 1 + n_chars % 7 AS e FROM documents), marks AS (SELECT item_id, item_id * 11 AS s, item_id * 11 + 4 AS e FROM benchmark), sb AS (SELECT *, explode(sequence(s div 16, e div 16)) AS b FROM spans), mb AS (SELECT *, explode(sequence(s div 16, e div 16)) AS b FROM marks) SELECT d.doc_id, m.item_id FROM sb d JOIN mb m ON d.b = m.b AND d.s <= m.e AND d.e >= m.s WHERE d.b = greatest(d.s div 16, m.s div 16)",
         "WITH spans AS (SELECT doc_id, doc_id * 3 AS s, doc_id * 3 + 1 + n_chars % 7 AS e FROM documents), marks AS (SELECT item_id, item_id * 11 AS s, item_id * 11 + 4 AS e FROM benchmark) SELECT d.doc_id, m.item_id FROM spans d JOIN marks m ON d.s <= m.e AND d.e >= m.s",
-        None,
     ),
     "scalar_strings": (
         "SELECT doc_id, length(text) AS n, lower(substr(text, 1, 10)) AS head, instr(text, ' ') AS blank, replace(source, 'src', 's') AS s, rtrim('0', concat(source, '00')) AS r, concat(lang, '/', source) AS path FROM documents",
@@ -84,15 +90,24 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "lang_partition": ("SELECT coalesce(nullif(lang, ''), 'und') AS language, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY 1", None),
     "related_conflicts": ("WITH e AS (SELECT n_nationkey AS a, n_regionkey AS b FROM nation), up AS (SELECT a, b FROM e UNION SELECT e.a, f.b FROM e JOIN e f ON e.b = f.a), rel AS (SELECT a.n_nationkey AS x, b.n_nationkey AS y FROM nation a JOIN nation b ON a.n_nationkey = 4 * b.n_nationkey) SELECT DISTINCT x, y FROM rel JOIN up ON up.a = rel.x AND up.b = rel.y", None),
     "label_collision": ("SELECT a.c_custkey AS first, b.c_custkey AS second FROM customer a JOIN customer b ON substr(a.c_name, 10, 8) = substr(b.c_name, 10, 8) AND a.c_nationkey = b.c_nationkey AND a.c_custkey < b.c_custkey", None),
-    "keyword_candidate": ("SELECT lower(word) AS keyword, count(DISTINCT doc_id) AS files FROM (SELECT doc_id, explode(split(substring(text, 1, 200), ' ')) AS word FROM documents) WHERE length(word) > 6 GROUP BY lower(word) HAVING count(DISTINCT doc_id) >= 2", "SELECT lower(word) AS keyword, count(DISTINCT doc_id) AS files FROM (SELECT doc_id, unnest(string_split(substring(text, 1, 200), ' ')) AS word FROM documents) WHERE length(word) > 6 GROUP BY lower(word) HAVING count(DISTINCT doc_id) >= 2"),
+    "keyword_candidate": ("SELECT lower(word) AS keyword, count(DISTINCT doc_id) AS files FROM (SELECT doc_id, explode(split(text, ' ')) AS word FROM documents) WHERE length(word) > 6 GROUP BY lower(word) HAVING count(DISTINCT doc_id) >= 2", "SELECT lower(word) AS keyword, count(DISTINCT doc_id) AS files FROM (SELECT doc_id, unnest(string_split(text, ' ')) AS word FROM documents) WHERE length(word) > 6 GROUP BY lower(word) HAVING count(DISTINCT doc_id) >= 2"),
     "asymmetric_related": ("WITH e AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem) SELECT count(*) AS n FROM e LEFT JOIN e r ON r.a = e.b AND r.b = e.a WHERE r.a IS NULL", None),
     "impact_rollup": ("SELECT c_mktsegment, CAST(sum(CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END) AS BIGINT) AS errors, CAST(sum(CASE WHEN o_orderpriority = '2-HIGH' THEN 1 ELSE 0 END) AS BIGINT) AS warnings, count(*) AS findings FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_mktsegment", None),
     "traffic_report": (
-        "WITH views AS (SELECT user_id % 50 AS page, count(*) AS views, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS exits FROM events GROUP BY 1), found AS (SELECT page_id, url FROM pages WHERE page_id < 40) SELECT f.url, coalesce(v.views, 0) AS views, coalesce(v.exits, 0) AS exits, round(CAST(v.exits AS DOUBLE) / v.views, 4) AS rate FROM found f LEFT JOIN views v ON v.page = f.page_id UNION ALL SELECT NULL, v.views, v.exits, round(CAST(v.exits AS DOUBLE) / v.views, 4) FROM views v WHERE v.page NOT IN (SELECT page_id FROM found)",
+        "WITH views AS (SELECT user_id % 50 AS page, count(*) AS views, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS exits FROM events GROUP BY 1), found AS (SELECT page_id, url FROM pages) SELECT f.url, coalesce(v.views, 0) AS views, coalesce(v.exits, 0) AS exits, round(CAST(v.exits AS DOUBLE) / v.views, 4) AS rate FROM found f LEFT JOIN views v ON v.page = f.page_id UNION ALL SELECT NULL, v.views, v.exits, round(CAST(v.exits AS DOUBLE) / v.views, 4) FROM views v WHERE v.page NOT IN (SELECT page_id FROM found)",
         None,
     ),
     "block_counts": (
-        "SELECT page_id, CAST((length(html) - length(replace(html, '<p', ''))) / 2 AS BIGINT) AS paragraphs, CAST((length(html) - length(replace(html, '<a ', ''))) / 3 AS BIGINT) AS links FROM pages",
-        None,
+        "SELECT page_id, CAST(size(regexp_extract_all(html, '<p[ >]', 0)) AS BIGINT) AS paragraphs, CAST(size(regexp_extract_all(html, '<a ', 0)) AS BIGINT) AS links FROM pages",
+        "SELECT page_id, len(regexp_extract_all(html, '<p[ >]')) AS paragraphs, len(regexp_extract_all(html, '<a ')) AS links FROM pages",
+    ),
+    "scalar_json_more": (
+        "SELECT event_id, schema_of_variant(variant_get(parse_json(props), '$.k')) = 'BIGINT' AS whole, to_json(array(event_type, get_json_object(props, '$.k'))) AS pair, json_array_length('[1,2,3]') AS n, to_json(map_concat(from_json(props, 'map<string,int>'), map('u', user_id))) AS patched FROM events",
+        "SELECT event_id, json_type(props, '$.k') = 'UBIGINT' AS whole, CAST(json_array(event_type, props->>'$.k') AS VARCHAR) AS pair, CAST(json_array_length('[1,2,3]') AS INTEGER) AS n, CAST(json_merge_patch(props, json_object('u', user_id)) AS VARCHAR) AS patched FROM events",
+    ),
+    # columns beside the grouping that SQLite would take from the row of the extreme
+    "bare_columns": (
+        "SELECT user_id, max(value) AS top, max_by(event_id, struct(value, -event_id)) AS event_id, max_by(event_type, struct(value, -event_id)) AS event_type FROM events GROUP BY user_id",
+        "SELECT user_id, max(value) AS top, first(event_id ORDER BY value DESC, event_id) AS event_id, first(event_type ORDER BY value DESC, event_id) AS event_type FROM events GROUP BY user_id",
     ),
 }

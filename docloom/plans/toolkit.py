@@ -45,7 +45,7 @@ def _records(spark, d):
     return doc.select(F.concat(F.lit("docs/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("_path"), F.lit("markdown").alias("_format"), F.lit(True).alias("_present"), data.alias("_data"))
 
 
-@query("""SELECT 'docs/' || source || '/' || doc_id || '.md' AS _path, 'markdown' AS _format, true AS _present, lang, CAST(n_chars AS VARCHAR) AS n, source FROM documents""")
+@query("""SELECT 'docs/' || source || '/' || doc_id || '.md' AS _path, 'markdown' AS _format, true AS _present, lang, n_chars AS n, source FROM documents""")
 def docs_projection(spark, d):
     return corpus.build_docs(_records(spark, d)).drop("_data")
 
@@ -133,7 +133,7 @@ _VALUES = """WITH v AS (SELECT doc_id AS path, 'lang' AS key, 'string' AS type,
   (SELECT arg_max(type, n) FROM t WHERE t.key = v.key) AS type, (SELECT count(*) FROM t WHERE t.key = v.key) AS types, count(DISTINCT value) AS "distinct",
   count(DISTINCT value) <= 20 AND count(DISTINCT value) <= 0.05 * (SELECT count(*) FROM documents) AS enum FROM v GROUP BY key""")
 def infer_schema(spark, d):
-    return corpus.infer_schema(_values(spark, d), table(spark, d, "documents").count())
+    return corpus.infer_schema(_values(spark, d), table(spark, d, "documents"))
 
 
 @query(_VALUES + " SELECT key, CASE WHEN count(*) = 1 THEN min(type) END AS type FROM (SELECT *, rank() OVER (PARTITION BY key ORDER BY n DESC) AS r FROM t) WHERE r = 1 GROUP BY key")
@@ -252,23 +252,23 @@ def broader_cycles(spark, d):
     return graph.cycles(table(spark, d, "nation").select(F.col("n_nationkey").alias("a"), ((F.col("n_nationkey") * 7 + 3) % 25).alias("b")))
 
 
-@query("""WITH l AS (SELECT lower(n_name) AS label, CASE WHEN n_nationkey % 2 = 0 THEN 'en' ELSE 'de' END AS lang, CASE n_nationkey % 3 WHEN 0 THEN 'label' WHEN 1 THEN 'id' ELSE 'alt' END AS kind, n_nationkey AS id FROM nation
-  UNION ALL SELECT lower(n_name), 'en', 'alt', n_nationkey + 100 FROM nation), r AS (SELECT n_name AS ref, 'de' AS lang FROM nation)
-SELECT ref, lang, id FROM (SELECT r.ref, r.lang, l.id, row_number() OVER (PARTITION BY r.ref ORDER BY CASE WHEN l.lang = r.lang THEN 0 ELSE 1 END, CASE kind WHEN 'label' THEN 0 WHEN 'id' THEN 1 ELSE 2 END, l.id) AS n FROM r JOIN l ON lower(r.ref) = l.label) WHERE n = 1""")
+@query("""WITH l AS (SELECT lower(n_name) AS label, CASE n_nationkey % 4 WHEN 0 THEN 'en' WHEN 1 THEN 'de' WHEN 2 THEN 'de-AT' END AS lang, CASE n_nationkey % 3 WHEN 0 THEN 'label' WHEN 1 THEN 'id' ELSE 'alt' END AS kind, n_nationkey AS id FROM nation
+  UNION ALL SELECT lower(n_name), CASE WHEN n_nationkey % 2 = 0 THEN 'en' ELSE 'de-CH' END, 'alt', n_nationkey + 100 FROM nation), r AS (SELECT n_name AS ref, unnest(['de', 'de-AT', 'fr', NULL]) AS lang FROM nation)
+SELECT ref, lang, id FROM (SELECT r.ref, r.lang, l.id, row_number() OVER (PARTITION BY r.ref, r.lang ORDER BY CASE WHEN lower(l.lang) = lower(r.lang) THEN 0 WHEN split_part(lower(l.lang), '-', 1) = split_part(lower(r.lang), '-', 1) THEN 1 ELSE 2 END, CASE kind WHEN 'label' THEN 0 WHEN 'id' THEN 1 ELSE 2 END, l.id) AS n FROM r JOIN l ON lower(r.ref) = l.label) WHERE n = 1""")
 def concept_resolution(spark, d):
     n = table(spark, d, "nation")
     k = F.col("n_nationkey")
-    labels = n.select(F.lower("n_name").alias("label"), F.when(k % 2 == 0, "en").otherwise("de").alias("lang"), F.when(k % 3 == 0, "label").when(k % 3 == 1, "id").otherwise("alt").alias("kind"), k.alias("id"))
-    labels = labels.unionAll(n.select(F.lower("n_name"), F.lit("en"), F.lit("alt"), k + 100))
-    return graph.resolve_concepts(n.select(F.col("n_name").alias("ref"), F.lit("de").alias("lang")), labels)
+    labels = n.select(F.lower("n_name").alias("label"), F.when(k % 4 == 0, "en").when(k % 4 == 1, "de").when(k % 4 == 2, "de-AT").alias("lang"), F.when(k % 3 == 0, "label").when(k % 3 == 1, "id").otherwise("alt").alias("kind"), k.alias("id"))
+    labels = labels.unionAll(n.select(F.lower("n_name"), F.when(k % 2 == 0, "en").otherwise("de-CH"), F.lit("alt"), k + 100))
+    refs = n.select(F.col("n_name").alias("ref"), F.explode(F.array(F.lit("de"), F.lit("de-AT"), F.lit("fr"), F.lit(None))).alias("lang"))
+    return graph.resolve_concepts(refs, labels)
 
 
-@query("""WITH s AS (SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 12)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM documents)
-SELECT doc_id, CASE WHEN n = 1 THEN slug ELSE slug || '-' || (n - 1) END AS slug FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY doc_id) AS n FROM s)""")
+@query("""WITH s AS (SELECT page_id, trim(regexp_replace(lower(regexp_extract(html, '<title>([^<]*)</title>', 1)), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM pages)
+SELECT page_id, CASE WHEN n = 1 THEN slug ELSE slug || '-' || (n - 1) END AS slug FROM (SELECT *, row_number() OVER (PARTITION BY slug ORDER BY page_id) AS n FROM s)""")
 def slug_dedupe(spark, d):
-    s = table(spark, d, "documents").select("doc_id", T.slug(F.substring("text", 1, 12)).alias("slug"))
-    n = F.row_number().over(Window.partitionBy("slug").orderBy("doc_id"))
-    return s.withColumn("n", n).select("doc_id", F.when(F.col("n") == 1, F.col("slug")).otherwise(F.concat("slug", F.lit("-"), (F.col("n") - 1).cast("string"))).alias("slug"))
+    s = table(spark, d, "pages").select("page_id", T.slug(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("slug"))
+    return T.numbered_slugs(s, "page_id")
 
 
 # ---- search -----------------------------------------------------------------------------------------------------
@@ -312,17 +312,17 @@ def recall_at_k(spark, d):
     return search.recall_at(hits, li.groupBy(F.col("l_suppkey").alias("question")).agg(F.max("l_partkey").alias("id")), 100)
 
 
-@query("""WITH q AS (SELECT item_id, string_split(lower(text), ' ') AS w FROM benchmark), b AS (SELECT item_id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM q WHERE len(w) > 1),
-e AS (SELECT item_id, len(g) AS n, unnest(g) AS g FROM b), o AS (SELECT x.item_id, y.item_id AS other, x.n, count(*) AS k FROM e x JOIN e y ON x.g = y.g AND x.item_id <> y.item_id GROUP BY 1, 2, 3)
-SELECT item_id, other, round(k / CAST(n AS DOUBLE), 6) AS share FROM o WHERE k >= 0.05 * n""")
+@query("""WITH q AS (SELECT item_id AS id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM benchmark), a AS (SELECT doc_id % (SELECT count(*) FROM benchmark) AS id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS w FROM documents
+  UNION ALL SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')[4:] FROM benchmark WHERE item_id % 3 = 0),
+p AS (SELECT id, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM q WHERE len(w) > 1), e AS (SELECT id, len(g) AS of, unnest(g) AS g FROM p), h AS (SELECT DISTINCT id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM a WHERE len(w) > 1)
+SELECT e.id, count(*) AS copied, e.of FROM e JOIN h ON h.id = e.id AND h.g = e.g GROUP BY e.id, e.of HAVING count(*) >= 0.5 * e.of""")
 def copied_pairs(spark, d):
-    """Shares of a question's word pairs that another text also has, by a join on the pair."""
-    w = F.split(F.lower("text"), " ")
-    q = table(spark, d, "benchmark").select("item_id", w.alias("w")).where(F.size("w") > 1)
-    pairs = F.array_distinct(F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w") - 1), lambda a, b: F.concat(a, F.lit(" "), b)))
-    e = q.select("item_id", pairs.alias("p")).select("item_id", F.size("p").alias("n"), F.explode("p").alias("g"))
-    o = e.join(e.select(F.col("item_id").alias("other"), "g"), "g").where("item_id <> other").groupBy("item_id", "other", "n").agg(F.count(F.lit(1)).alias("k"))
-    return o.where(F.col("k") >= 0.05 * F.col("n")).select("item_id", "other", F.round(F.col("k") / F.col("n"), 6).alias("share"))
+    """Questions that their own answers repeat: each benchmark item against some documents, and against its own tail."""
+    b, doc = table(spark, d, "benchmark"), table(spark, d, "documents")
+    n = b.agg(F.count(F.lit(1)).alias("n"))
+    own = doc.crossJoin(F.broadcast(n)).select((F.col("doc_id") % F.col("n")).alias("id"), "text")  # one row
+    tail = F.array_join(F.slice(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != ""), F.lit(4), F.lit(10**6)), " ")
+    return search.copied(b.select(F.col("item_id").alias("id"), "text"), own.union(b.where("item_id % 3 = 0").select("item_id", tail)))
 
 
 # ---- pages ------------------------------------------------------------------------------------------------------
@@ -543,9 +543,18 @@ def redact_aws(spark, d):
     return table(spark, d, "documents").select("doc_id", (F.regexp_replace("text", F.lit(T.REDACTIONS[2][0]), F.lit(T.REDACTIONS[2][1])) == F.col("text")).alias("clean"))
 
 
-@query()
+def _redacted(column: str) -> str:
+    """DuckDB: the patterns one after the other; groups are written \\1."""
+    for pattern, by in T.REDACTIONS:
+        column = f"regexp_replace({column}, '{pattern.replace(chr(39), chr(39) * 2)}', '{by.replace('$', chr(92))}', 'g')"
+    return column
+
+
+@query(f"SELECT 'd' || doc_id AS id, md5({_redacted('text')}) AS redacted_md5 FROM documents UNION ALL SELECT 'c' || conv_id || '-' || turn, md5({_redacted('text')}) FROM conversations")
 def redact(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.md5(T.redact(F.col("text"))).alias("redacted_md5"))
+    texts = table(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
+    texts = texts.union(table(spark, d, "conversations").select(F.concat(F.lit("c"), F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string")), "text"))
+    return texts.select("id", F.md5(T.redact(F.col("text"))).alias("redacted_md5"))
 
 
 @query("SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
