@@ -192,6 +192,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return materialize(out.select("node", F.col("parent").alias("component")))
 
 
+def fresh(name: str, taken: list[str]) -> str:
+    """The name, with quotes added until no column has it."""
+    while name.lower() in {c.lower() for c in taken}:
+        name += "'"
+    return name
+
+
 def column(name: str) -> Column:
     """A column by its whole name, dots and back quotes included."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -158,10 +158,11 @@ def dedup_embeddings(vectors: DataFrame, least: float = 0.93, id_col: str = "vec
     visits = None
     if not big.isEmpty():
         placed = materialize(_placed(big, block, reach, tasks))
-        radius = materialize(placed.groupBy(F.col("label").alias("rl"), F.col("dim").alias("rd"), F.col("home").alias("rj")).agg(F.max("d").alias("radius")))
-        near = placed.select("label", "dim", "rep", "copies", "v", F.explode("near").alias("x")).select("label", "dim", "rep", "copies", "v", F.col("x.j").alias("home"), "x.d")
-        near = sized_join(near, radius, (F.col("label") == F.col("rl")) & (F.col("dim") == F.col("rd")) & (F.col("home") == F.col("rj")))
-        visits = near.where(F.col("d") <= F.col("radius") + reach).select("label", "dim", "rep", "copies", "v", "home")
+        radius = placed.groupBy("label", "dim", "home").agg(F.max("d").alias("radius")).groupBy(F.col("label").alias("rl"), F.col("dim").alias("rd"))
+        radius = materialize(radius.agg(F.map_from_entries(F.collect_list(F.struct("home", "radius"))).alias("radii")))  # at most MOST_PIVOTS of a label
+        near = sized_join(placed.where(F.size("near") > 0), radius, (F.col("label") == F.col("rl")) & (F.col("dim") == F.col("rd")))
+        near = near.withColumn("near", F.filter("near", lambda x: x["d"] <= F.element_at("radii", x["j"]) + reach)).where(F.size("near") > 0)
+        visits = near.select("label", "dim", "rep", "copies", "v", F.explode(F.transform("near", lambda x: x["j"])).alias("home"))
         homes = homes.unionByName(placed.select("label", "dim", "rep", "copies", "v", "home"))
     every = homes.withColumn("guest", F.lit(0)) if visits is None else homes.withColumn("guest", F.lit(0)).unionByName(visits.withColumn("guest", F.lit(1)))
     every = materialize(every)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.llm.common import LOWER, UPPER, WHITE, hot_keys, materialize
+from docloom.llm.common import LOWER, UPPER, WHITE, column, discard, hot_keys, materialize, small_enough
 
 
 def line_key(line: Column) -> Column:
@@ -26,7 +26,8 @@ def line_key(line: Column) -> Column:
 
 def keyed_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int) -> DataFrame:
     """(doc, row, pos, h1, h2) of each line whose key is long enough; row tells texts of one document apart."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("row"), F.split(F.col(text_col), "\n").alias("ls")).where(F.col(text_col).isNotNull())
+    text = column(text_col)
+    d = docs.where(text.isNotNull()).select(column(id_col).cast("long").alias("doc"), F.xxhash64(text).alias("row"), F.split(text, "\n").alias("ls"))
     d = d.select("doc", "row", F.posexplode("ls").alias("pos", "l")).where(F.char_length("l") >= min_chars)
     d = d.select("doc", "row", "pos", line_key(F.col("l")).alias("k")).where(F.char_length("k") >= min_chars)
     return d.select("doc", "row", "pos", F.xxhash64("k").alias("h1"), F.xxhash64(F.lit("second"), "k").alias("h2"))
@@ -78,9 +79,11 @@ def _keep(s: Column) -> Column:
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """(doc_id, kept_text, n_lines, n_dropped, words, whole): n_lines counts all lines, words is the bitmap (null: every line stays), whole holds the row."""
     lines = materialize(keyed_lines(docs, id_col, text_col, min_chars))
-    maps = bitmaps(dropped_lines(lines, min_docs)).select("doc", F.col("row").alias("of"), "words")
-    d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.xxhash64(text_col).alias("row"), F.struct(*docs.columns).alias("whole"))
-    d = d.join(maps.hint("shuffle_hash"), d.doc_id.cast("long").eqNullSafe(maps.doc) & (d["row"] == maps.of), "left")
+    maps = materialize(bitmaps(dropped_lines(lines, min_docs)).select("doc", F.col("row").alias("of"), "words"))
+    discard(lines)
+    d = docs.select(column(id_col).alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("text"), F.xxhash64(column(text_col)).alias("row"), F.struct(*(column(c) for c in docs.columns)).alias("whole"))
+    # within the bound no text is shuffled; beyond it the bitmaps, not the texts, are what is hashed in memory
+    d = d.join(F.broadcast(maps) if small_enough(maps) else maps.hint("shuffle_hash"), d.doc_id.cast("long").eqNullSafe(maps.doc) & (d["row"] == maps.of), "left")
     n = F.char_length("text") - F.char_length(F.translate("text", "\n", "")) + 1
     gone = F.aggregate("words", F.lit(0), lambda a, x: a + F.bit_count(x["b"]))
     kept = F.when(F.col("words").isNull(), F.col("text")).otherwise(kept_text(F.col("text"), F.col("words")))

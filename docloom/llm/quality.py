@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from docloom.llm.common import materialize, texts
+from docloom.llm.common import column, materialize, texts
 
 MAX_ROWS = 20_000
 _UPPER, _LOWER, _DIGIT = range(65, 91), range(97, 123), range(48, 58)
@@ -125,9 +125,9 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 80, depth: int = 4, rate: flo
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = MAX_ROWS) -> Trees:
     """Learns from at most max_rows labelled rows: those with the smallest hashes of their id."""
-    known = labels.select(F.col(id_col).alias("lid"), F.col(label_col).cast("int").alias("y")).where("lid is not null and y in (0, 1)")
+    known = labels.select(column(id_col).alias("lid"), column(label_col).cast("int").alias("y")).where("lid is not null and y in (0, 1)")
     picked = materialize(known.orderBy(F.xxhash64("lid"), "lid", "y").limit(max_rows))
-    d = docs.select(F.col(id_col).alias("did"), F.col(text_col).alias("text")).join(F.broadcast(picked), F.col("did") == F.col("lid")).select("lid", "y", "text")
+    d = docs.select(column(id_col).alias("did"), column(text_col).alias("text")).join(F.broadcast(picked), F.col("did") == F.col("lid")).select("lid", "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,15 +142,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def score(docs: DataFrame, model: Trees, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, score_col: str = "score") -> DataFrame:
     """keep's columns (the id alone if None) with the score, whose name must not be among them."""
-    keep = [id_col] if keep is None else keep
+    keep = [id_col] if keep is None else list(keep)
     own = text_col not in keep
-    d = docs.select(*keep, F.col(text_col).alias("text to score")) if own else docs.select(*keep)
+    kept = [column(c).alias(f"c{i}") for i, c in enumerate(keep)]  # Spark's mapInArrow looks columns up by name, without quotes
+    d = docs.select(*kept, column(text_col).alias("text to score")) if own else docs.select(*kept)
     at, width = len(keep) if own else keep.index(text_col), len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for part in (b.slice(i, 1000) for i in range(0, b.num_rows, 1000)):
                 s = model.score(features(texts(part.column(at))))
-                yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(s, pa.float64())], names=[*part.schema.names[:width], score_col])
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], pa.array(s, pa.float64())], names=[*keep, score_col])
 
-    return d.mapInArrow(run, StructType([*d.schema.fields[:width], StructField(score_col, DoubleType())]))
+    return d.mapInArrow(run, StructType([*(StructField(c, f.dataType) for c, f in zip(keep, d.schema.fields)), StructField(score_col, DoubleType())]))

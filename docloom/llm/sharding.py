@@ -16,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docloom.llm.common import column, fresh
+
 MAX_SLOTS = 1_000_003
 
 
@@ -59,11 +61,12 @@ def table_frame(spark: SparkSession, table: Sequence[int]) -> DataFrame:
 
 def assign_shards(df: DataFrame, key: str, shards: Sequence[str], slots: int = 65_537, weights: Sequence[int] | None = None, slot_col: str = "slot", shard_col: str = "shard") -> DataFrame:
     """df with the slot and the shard index of each row; columns of df with these two names are replaced."""
-    t = table_frame(df.sparkSession, lookup_table(shards, slots, weights)).select(F.col("slot").alias("docloom slot"), F.col("shard").alias("docloom shard"))
-    d = df.withColumn("docloom key slot", slot_of(F.col(key), slots))
-    d = d.join(F.broadcast(t), d["docloom key slot"] == t["docloom slot"])
-    others = [F.col(f"`{c}`") for c in df.columns if c not in (slot_col, shard_col)]
-    return d.select(*others, F.col("docloom slot").alias(slot_col), F.col("docloom shard").alias(shard_col))
+    own, at, to = (fresh(n, df.columns) for n in ("docloom key slot", "docloom slot", "docloom shard"))
+    t = table_frame(df.sparkSession, lookup_table(shards, slots, weights)).select(F.col("slot").alias(at), F.col("shard").alias(to))
+    d = df.withColumn(own, slot_of(column(key), slots))
+    d = d.join(F.broadcast(t), d[own] == t[at])
+    others = [column(c) for c in df.columns if c not in (slot_col, shard_col)]
+    return d.select(*others, F.col(at).alias(slot_col), F.col(to).alias(shard_col))
 
 
 def write_shards(df: DataFrame, path: str, shard_col: str = "shard") -> None:

@@ -481,6 +481,17 @@ def test_pfair_positions_are_those_of_the_schedule(spark):
     assert got == [(p, *x) for p, x in enumerate(want)]
 
 
+def test_odd_column_names(spark):
+    """Dots and names that the operators use themselves."""
+    d = spark.createDataFrame([(1, "good text here", 1, 2, 3), (2, None, 1, 2, 3)], "`a.id` long, `the.text` string, `docloom slot` int, `docloom key slot` int, `docloom shard` int")
+    got = sharding.assign_shards(d, "a.id", ["x", "y"], 101)
+    assert got.columns == [*d.columns, "slot", "shard"] and {r["docloom slot"] for r in got.collect()} == {1}
+    kept = line_dedup.dedup_lines(d, "a.id", "the.text")
+    assert sorted((r.doc_id, r.kept_text, r.whole["docloom slot"]) for r in kept.collect()) == [(1, "good text here", 1), (2, "", 1)]
+    none = quality.train(d.withColumnRenamed("a.id", "doc_id").withColumnRenamed("the.text", "text"), spark.createDataFrame([], "doc_id long, quality int"))
+    assert quality.score(d, none, "a.id", "the.text", keep=d.columns, score_col="s").columns == [*d.columns, "s"]
+
+
 def test_pfair_repeated_rows_and_odd_columns(spark):
     """Equal rows, rows that differ beside id and source only, and names with dots and of the operator's own."""
     rows = [(i % 5, f"t{i % 3}", "s0" if i % 2 else None, {"k": i % 2}) for i in range(120)]
