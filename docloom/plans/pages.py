@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.operators import glossary, links, pins, templates, traces, triples, validation, writeback
+from docloom.operators import context, glossary, links, pins, strategy, templates, traces, triples, validation, writeback
 from docloom.plans.glossary import TERMS, terms_of
 from docloom.plans.toolkit import query, table
 from docloom.sources import formats, structure
@@ -366,3 +366,61 @@ def json_pointer(spark, d):
     data = F.lit('{"a/b":1,"m~n":[2,3]}')
     one = table(spark, d, "region").limit(1)
     return one.select(F.explode(F.array(F.struct(formats.escape_pointer(F.lit("a/b")).alias("key"), formats.descend(data, "/a~1b").alias("value")), F.struct(formats.escape_pointer(F.lit("m~n")).alias("key"), formats.descend(data, "/m~0n").alias("value")))).alias("x")).select("x.*")
+
+
+# ---- strategy, context, access ----------------------------------------------------------------------------------
+
+RECORDS = """SELECT CAST(r_regionkey AS BIGINT) AS idx, 'audiences' AS file, CAST(r_regionkey AS INT) AS line, 'audience' AS type, concat('R', CAST(r_regionkey AS STRING)) AS id, split(NULL, ',') AS parents, CAST(NULL AS STRING) AS lifecycle FROM region
+UNION ALL SELECT CAST(100 + n_nationkey AS BIGINT), 'personas', CAST(n_nationkey AS INT), 'persona', concat('N', CAST(n_nationkey AS STRING)), split(CASE WHEN n_nationkey % 6 = 0 THEN NULL WHEN n_nationkey % 7 = 0 THEN 'r9' ELSE concat('r', CAST(n_regionkey AS STRING)) END, ','), NULL FROM nation
+UNION ALL SELECT CAST(1000 + c_custkey AS BIGINT), 'journeys', CAST(c_custkey AS INT), 'journey', concat('C', CAST(c_custkey % 1000 AS STRING)), split(concat('N', CAST(c_nationkey AS STRING)), ','), CASE WHEN c_custkey % 9 = 0 THEN 'draft' END FROM customer"""
+NAMED = """SELECT concat('p', CAST(o_orderkey % 500 AS STRING)) AS page, CAST(o_orderkey % 90 AS INT) AS line, CASE o_orderkey % 3 WHEN 0 THEN 'journey' WHEN 1 THEN 'persona' ELSE 'audience' END AS type, CASE o_orderkey % 3 WHEN 0 THEN concat('c', CAST(o_custkey % 1100 AS STRING)) WHEN 1 THEN concat('n', CAST(o_custkey % 30 AS STRING)) ELSE concat('R', CAST(o_custkey % 5 AS STRING)) END AS value FROM orders WHERE o_orderkey % 2 = 0"""
+_STRATEGY = f"""WITH rec AS ({RECORDS}), f AS (SELECT type, lower(id) AS k, min(idx) AS t FROM rec GROUP BY 1, 2), ref AS ({NAMED}), par AS (SELECT idx, file, line, id, CASE type WHEN 'persona' THEN 'audience' ELSE 'persona' END AS wanted, unnest(parents) AS value FROM rec WHERE type <> 'audience'),
+pr AS (SELECT p.*, f.t AS target FROM par p LEFT JOIN f ON f.type = p.wanted AND f.k = lower(p.value)), nm AS (SELECT DISTINCT f.t AS idx, r.page FROM ref r JOIN f ON f.type = r.type AND f.k = lower(r.value)),
+sets AS (SELECT p.idx AS child, p.wanted, list_sort(list(DISTINCT lower(o.id))) AS pids FROM pr p JOIN rec o ON o.idx = p.target GROUP BY 1, 2),
+mp AS (SELECT r.page, s.wanted, s.pids, min(r.line) AS line FROM ref r JOIN f ON f.type = r.type AND f.k = lower(r.value) JOIN sets s ON s.child = f.t WHERE r.type <> 'audience' AND NOT EXISTS (SELECT 1 FROM ref x WHERE x.page = r.page AND x.type = s.wanted AND list_contains(s.pids, lower(x.value))) GROUP BY 1, 2, 3)
+SELECT 'undefined-reference' AS rule, page AS file, line, CAST(NULL AS VARCHAR) AS id, value FROM ref r WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.type = r.type AND f.k = lower(r.value)) UNION ALL SELECT 'undefined-reference', file, line, id, value FROM pr WHERE target IS NULL
+UNION ALL SELECT 'duplicate-id', file, line, id, id FROM rec WHERE lower(id) IN (SELECT lower(id) FROM rec GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'missing-parent', page, line, NULL, array_to_string(pids, ',') FROM mp
+UNION ALL SELECT 'orphan-record', file, line, id, 'audience' FROM rec WHERE type = 'persona' AND parents IS NULL UNION ALL SELECT 'unserved-journey', file, line, id, id FROM rec JOIN f ON f.t = rec.idx WHERE rec.type = 'journey' AND lifecycle IS NULL AND idx NOT IN (SELECT idx FROM nm)
+UNION ALL SELECT 'unused-record', file, line, id, id FROM rec JOIN f ON f.t = rec.idx WHERE rec.type <> 'journey' AND idx NOT IN (SELECT idx FROM nm) AND idx NOT IN (SELECT target FROM pr WHERE target IS NOT NULL)"""
+
+
+@query(_STRATEGY)
+def strategy_check(spark, d):
+    for t in ("region", "nation", "customer", "orders"):
+        table(spark, d, t).createOrReplaceTempView(t)
+    steps = spark.createDataFrame([], "record long, position int, page string, written boolean, verified int, changed int")
+    return strategy.check(spark.sql(RECORDS), spark.sql(NAMED), steps)
+
+
+@query("""WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN replace(html, '<title>', '<b>') WHEN 1 THEN replace(html, ' lang="', ' l="') WHEN 2 THEN replace(html, '<li><a href="/', '<li><a href="/"></a><img src="') ELSE html END AS html FROM pages)
+SELECT page_id, 'link-name' AS rule, CAST(len(regexp_extract_all(html, '<a [^>]*></a>')) AS BIGINT) AS n FROM p WHERE len(regexp_extract_all(html, '<a [^>]*></a>')) > 0 UNION ALL SELECT page_id, 'html-has-lang', 1 FROM p WHERE NOT regexp_matches(html, '<html[^>]* lang=') UNION ALL SELECT page_id, 'document-title', 1 FROM p WHERE NOT regexp_matches(html, '<title>\\s*\\S')
+UNION ALL SELECT page_id, 'image-alt', len(regexp_extract_all(html, '<img ')) FROM p WHERE contains(html, '<img ')""")
+def access_rules(spark, d):
+    i = F.col("page_id") % 4
+    swap = lambda a, b: F.replace("html", F.lit(a), F.lit(b))
+    html = F.when(i == 0, swap("<title>", "<b>")).when(i == 1, swap(' lang="', ' l="')).when(i == 2, swap('<li><a href="/', '<li><a href="/"></a><img src="')).otherwise(F.col("html"))
+    return context.access_violations(table(spark, d, "pages").withColumn("html", html)).where("rule <> 'heading-order'").select("page_id", "rule", "n")
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE NOT contains(text, chr(13))), s AS (SELECT *, coalesce(max(CASE WHEN n % 3 = 0 THEN n // 3 END) OVER (PARTITION BY doc_id ORDER BY n), 0) AS section FROM l)
+SELECT CAST(doc_id AS VARCHAR) AS path, CAST(section AS INTEGER) AS section, CAST(min(n) AS INTEGER) AS first, CAST(max(n) AS INTEGER) AS last, string_agg(t, chr(10) ORDER BY n) AS text FROM s GROUP BY doc_id, section""")
+def section_slices(spark, d):
+    """Texts cut at every third line, as if a heading stood there."""
+    doc = table(spark, d, "documents").where("not contains(text, '\r')").select(F.col("doc_id").cast("string").alias("path"), "text")
+    n = F.size(F.split("text", "\n"))
+    heads = doc.where(n >= 3).select("path", F.explode(F.sequence(F.lit(1), F.floor(n / 3).cast("int"))).alias("section")).withColumn("line", 3 * F.col("section"))
+    return context.section_texts(doc, heads)
+
+
+@query("""WITH q AS (SELECT l_suppkey AS question, l_partkey AS page, min(l_linenumber) AS a, CASE WHEN min(l_suppkey) % 2 = 0 THEN min(l_linenumber) + 1 END AS b FROM lineitem WHERE l_quantity > 45 GROUP BY 1, 2), h AS (SELECT l_suppkey AS question, l_partkey AS page, l_linenumber AS f, l_linenumber + 1 AS l, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rank FROM lineitem)
+SELECT q.question, q.page, min(h.rank) AS rank FROM q LEFT JOIN h ON h.question = q.question AND h.page = q.page AND h.rank <= 200 AND (q.b IS NULL OR (h.f <= q.b AND h.l >= q.a)) GROUP BY 1, 2""")
+def golden_questions(spark, d):
+    from pyspark.sql import Window
+
+    li = table(spark, d, "lineitem")
+    q = li.where("l_quantity > 45").groupBy(F.col("l_suppkey").alias("question"), F.col("l_partkey").alias("page")).agg(F.min("l_linenumber").alias("a"))
+    even = F.col("question") % 2 == 0
+    q = q.select("question", "page", F.when(even, F.col("a")).alias("first"), F.when(even, F.col("a") + 1).alias("last"))
+    w = Window.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber")
+    h = li.select(F.col("l_suppkey").alias("question"), F.col("l_partkey").alias("page"), F.col("l_linenumber").alias("first"), (F.col("l_linenumber") + 1).alias("last"), F.row_number().over(w).alias("rank"))
+    return context.golden(q, h, 200).select("question", "page", "rank")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import text as T
-from docloom.operators import corpus, glossary, graph, links, pins, search, sqlguard, templates, traces, triples, validation, writeback
+from docloom.operators import context, corpus, glossary, graph, links, pins, search, sqlguard, strategy, templates, traces, triples, validation, writeback
 from docloom.sources import formats, frontmatter, sinks, structure, terms
 
 
@@ -383,3 +383,51 @@ def test_numbered_slugs(spark):
         seen[s] = seen.get(s, 0) + 1
         want[i] = s if seen[s] == 1 else f"{s}-{seen[s] - 1}"
     assert {r.k: r.slug for r in T.numbered_slugs(d, "k").collect()} == want
+
+
+def test_context(spark):
+    pages = spark.createDataFrame([("a.md", "pre\n# One\nx\n## Two\ny\nz"), ("b.md", "alone"), ("n.md", None)], "path string, text string")
+    s = structure.sections(structure.nodes(pages))
+    t = context.section_texts(pages, s)
+    assert rows(t, "path", "section", "first", "last", "text") == [("a.md", 0, 1, 1, "pre"), ("a.md", 1, 2, 3, "# One\nx"), ("a.md", 2, 4, 6, "## Two\ny\nz"), ("b.md", 0, 1, 1, "alone")]
+    p = pages.select("path", F.lit("T").alias("title"), F.lit("D").alias("description"), F.when(F.col("path") == "a.md", "en").alias("language"))
+    e = context.index_entries(p, s, t)
+    assert rows(e, "id", "text", "language") == [("a.md", "pre", "en"), ("a.md#one", "# One\nx", "en"), ("a.md#two", "## Two\ny\nz", "en"), ("b.md", "alone", "und"), ("n.md", "", "und")]
+    nodes = spark.createDataFrame([("v:1", "Pro", "P"), ("v:2", "P", None), ("v:3", "Pro", None)], "node string, label string, notation string")
+    assert rows(context.resolve_variant(spark.createDataFrame([("p",), ("PRO",), ("v:3",), ("q",)], "name string"), nodes), "name", "node") == [("PRO", "v:1"), ("p", "v:1"), ("v:3", "v:3")]
+    g = spark.createDataFrame([("d1", "rdf:type", "docs:Document", "iri"), ("d1", "hasPart", "s1", "iri"), ("s1", "about", "c", "iri"), ("x", "about", "c", "iri")], "s string, p string, o string, kind string")
+    assert rows(context.blame(g, spark.createDataFrame([("c",), ("d1",)], "focus string")), "focus", "doc") == [("c", "d1"), ("d1", "d1")]
+    lex = spark.createDataFrame([("a", 1)], "id string, rank int")
+    assert context.entry_points(lex, None, None)[1] == "lexical only: no vectors" and context.entry_points(lex, lex, "dims")[1] == "lexical only: dims"
+    with pytest.raises(ValueError):
+        context.entry_points(lex, None, None, "vector")
+    j = spark.createDataFrame([(1, True), (None, False)], "rank int, found boolean")
+    assert context.gate(j, 0.5).first().asDict() == {"questions": 2, "found_rate": 0.5, "first_rate": 0.5, "passes": True} and context.gate(j.where("false")).first().passes
+    lines = spark.createDataFrame([("a", 1, "The quick  brown fox"), ("a", 2, "the lazy dog"), ("b", 1, "the lazy dog")], "page string, n int, line string")
+    assert rows(context.locate(spark.createDataFrame([(1, "Quick brown"), (2, "lazy dog"), (3, "cat")], "id int, text string"), lines), "id", "page", "line") == [(1, "a", 1)]
+    f = spark.createDataFrame([("p/a", "error"), ("p/b", "warning"), ("q/c", "warning")], "path string, severity string")
+    pr = spark.createDataFrame([("P", "p/"), ("Q", "q/"), ("R", "rr/")], "project string, prefix string")
+    assert rows(context.family_status(f, pr), "project", "status", "errors") == [("P", "error", 1), ("Q", "warning", 0), ("R", "ok", 0)]
+    html = spark.createDataFrame([(1, "<html><img src=a><img alt='' src=b><h1>x</h1><h3>y</h3><a href=x> </a>")], "page_id int, html string")
+    assert rows(context.access_violations(html), "rule", "n") == [("document-title", 1), ("heading-order", 1), ("html-has-lang", 1), ("image-alt", 1), ("link-name", 1)]
+
+
+def test_journey_steps(spark):
+    rec = spark.createDataFrame([(1, "j", 1, "journey", "J", ["p"], None), (2, "j", 2, "journey", "K", ["p"], "draft"), (3, "p", 1, "persona", "P", [], None)], "idx long, file string, line int, type string, id string, parents array<string>, lifecycle string")
+    ref = spark.createDataFrame([("a.md", 1, "journey", "j")], "page string, line int, type string, value string")
+    steps = spark.createDataFrame([(1, 1, None, None, None, None), (1, 2, "a.md", False, None, None), (1, 3, "a.md", True, 5, 9), (1, 4, "b.md", True, 9, 5), (2, 1, None, None, None, None)], "record long, position int, page string, written boolean, verified int, changed int")
+    assert rows(strategy.step_findings(rec, steps, ref), "rule", "file", "value") == [("broken-step", "j", "1"), ("missing-journey", "b.md", "J"), ("stale-step", "j", "3"), ("unwritten-step", "j", "2")]
+    f = spark.createDataFrame([("a.md", "error"), ("a.md", "warning"), ("z", "error")], "file string, severity string")
+    assert rows(strategy.impact(f, strategy._naming(rec, ref), rec), "id", "errors", "warnings") == [("J", 1, 1)]
+
+
+def test_stateful_turns(spark, tmp_path):
+    from docloom.streaming import turns
+
+    rows_ = [("s", f"2024-01-01 10:00:{i:02}", k) for i, k in enumerate(["tool", "prompt", "tool", "text", "prompt", "tool"])] + [("t", "2024-01-01 10:00:00", "prompt"), ("u", "2024-01-02 10:00:00", "prompt")]
+    spark.createDataFrame(rows_, "session string, t string, kind string").selectExpr("session", "cast(t as timestamp) ts", "kind").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("session string, ts timestamp, kind string").parquet(str(tmp_path / "in"))
+    q = turns.turns(stream).writeStream.format("memory").queryName("turns_out").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = spark.table("turns_out")
+    assert ("s", 1, 3, False) in rows(got, "session", "turn", "events", "done") and got.where("session = 'u'").count() == 0
