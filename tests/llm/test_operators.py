@@ -646,3 +646,36 @@ def test_pipeline(spark, rows, tmp_path):
         docs = common.materialize(after)
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert len(out) == docs.count() and len({r.doc_id for r in out} & set(range(40, 60))) >= 1
+
+
+def test_queries_return_what_they_promise(spark, rows, tmp_path):
+    """The thin queries on whole tables; joins and embeddings have tests of their own."""
+    from docloom.llm import queries
+
+    frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([Row(doc_id=i, quality=i % 2, toxic=0) for i in range(40)]).write.parquet(str(tmp_path / "labels.parquet"))
+    want = {
+        "op1_line_dedup": "doc_id n_lines n_dropped kept_sha256", "op2_sharding": "doc_id slot shard", "op4_secret_scan": "doc_id n_assign n_access n_hex base_sha256 spans", "op5_quality": "doc_id held_out score predicted",
+        "op6_order_minhash": "doc_id n_chars edited_sha256 fingerprint edited_fingerprint near_edited near_next", "op8_sentencepiece": "doc_id n_tokens ids_sha256 decoded_sha256", "op9_mix_sources": "doc_id source slot position", "op10_token_store": "doc_id start n_tokens ids_crc32",
+    }
+    for name, columns in want.items():
+        d = queries.queries()[name](spark, str(tmp_path))
+        got = d.collect()
+        assert d.columns[: len(columns.split())] == columns.split(), name
+        assert len(got) == len(rows), name
+        if name == "op5_quality":
+            held = {r.doc_id: r.held_out for r in got}
+            assert all(v == (i is not None and zlib.crc32(str(i).encode()) % 5 == 0) for i, v in held.items())
+            assert all(r.predicted == (r.score >= 0.3) for r in got)
+
+
+def test_quality_stage_drops_what_it_rejects(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    said = lambda ws: " ".join(rng.choice(ws) for _ in range(rng.randint(20, 60)))
+    docs = [(i, said(["the", "house", "is", "green", "today."]) if i % 2 else said(["h##", "is$$", "gr%%", "0101"]), "s") for i in range(200)]
+    spark.createDataFrame([Row(doc_id=i, quality=i % 2, toxic=0) for i in range(120)]).write.parquet(str(tmp_path / "labels.parquet"))
+    d = frame(spark, docs)
+    kept = corpus_pipeline.quality_stage(spark, d, str(tmp_path))
+    assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == set(range(1, 200, 2))
