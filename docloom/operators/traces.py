@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from docloom.functions.text import matches_any
 
 PATHS = ("file_path", "path", "notebook_path")
+#: Kinds of graders: our own (None), and those that users add.
+GRADERS: dict = dict.fromkeys(("regex", "tool-usage", "tool-order", "file-access", "cost", "json-output"))
 
 
 def normalize(lines: DataFrame) -> DataFrame:
@@ -98,6 +100,8 @@ def _file(glob: str) -> Column:
 def _grader(g: dict) -> tuple[Column, Column]:
     """(outcome, detail) of a grader as aggregates over a session's events."""
     kind = g["kind"]
+    if GRADERS.get(kind):
+        return GRADERS[kind](g)
     said = lambda c: F.when(c, "pass").otherwise("fail")
     if kind == "regex":
         hit = F.coalesce(F.bool_or(F.col("kind").isin(g.get("of", ["text"])) & F.col("text").rlike(g["pattern"])), F.lit(False))

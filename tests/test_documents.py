@@ -431,3 +431,20 @@ def test_stateful_turns(spark, tmp_path):
     q.awaitTermination(120)
     got = spark.table("turns_out")
     assert ("s", 1, 3, False) in rows(got, "session", "turn", "events", "done") and got.where("session = 'u'").count() == 0
+
+
+def test_registries(spark):
+    from docloom.functions import registry
+
+    registry.register(spark)
+    r = spark.sql("SELECT line_for(map('k', 3), 'k') AS a, line_for(map('k', 3), 'z') AS b, explicit_null() AS c, slug(' A  b, Ü!') AS d, pin('x\\r\\ny\\nz', 1, 2) = sha2('x\\ny', 256) AS e").first()
+    assert (r.a, r.b, r.c, r.d, r.e) == (3, None, "null", "a-b-ü", True)
+    registry.add_grader("ends-with-text", lambda g: (F.when(F.max_by("kind", "index") == "text", "pass").otherwise("fail"), F.lit(g["note"])))
+    e = spark.createDataFrame([("s", 1, "text"), ("t", 2, "tool")], "session string, index long, kind string")
+    assert rows(traces.grade(e, {"g": {"kind": "ends-with-text", "note": "n"}}), "session", "outcome", "detail") == [("s", "pass", "n"), ("t", "fail", "n")]
+    with pytest.raises(ValueError):
+        registry.add_grader("cost", lambda g: None)
+    registry.add_parser("txt", lambda t: [("paragraph", None, t, None, 1, 1, {})])
+    assert rows(structure.nodes(spark.createDataFrame([("a.txt", "x")], "path string, text string")), "kind", "text") == [("paragraph", "x")]
+    with pytest.raises(ValueError):
+        registry.add_parser("md", lambda t: [])
