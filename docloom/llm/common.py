@@ -155,7 +155,7 @@ def hot_keys(df: DataFrame, key: str, share: float, items: int) -> list:
     return [x["item"] for x in row["k"] or [] if x["count"] > share * row["n"]]
 
 
-def _pointed(low: DataFrame) -> DataFrame:
+def pointed(low: DataFrame) -> DataFrame:
     """low (node, parent) with each node's root in place of its parent: pointers double until none moves."""
     while True:
         up = low.select(F.col("node").alias("n"), F.col("parent").alias("p"))
@@ -179,7 +179,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while not e.isEmpty():
         both = e.select(F.col("a").alias("node"), F.col("b").alias("v")).union(e.select("b", "a"))
         low = materialize(both.groupBy("node").agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("parent")))
-        steps.append(_pointed(low))
+        steps.append(pointed(low))
         to = lambda c: steps[-1].where("node <> parent").select(F.col("node").alias(f"{c} node"), F.col("parent").alias(f"{c} root"))
         e = sized_join(sized_join(e, to("a"), F.col("a") == F.col("a node"), "left"), to("b"), F.col("b") == F.col("b node"), "left")
         e = told(e.select(F.coalesce("a root", "a").alias("a"), F.coalesce("b root", "b").alias("b")))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm import common, cover_dedup, jaccard_join, line_dedup, order_minhash, pfair_mix, quality, secrets, sharding, spm_codec, token_store
+from docloom.llm import common, cover_dedup, fst_codec, jaccard_join, line_dedup, order_minhash, pfair_mix, prefix_trie, quality, secrets, sharding, spelling, spm_codec, token_store
 
 SHARDS = [f"shard-{i:03d}" for i in range(64)]
 #: Target weights of the sources; others have the weight 2.
@@ -67,6 +67,20 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_index(spark, path)
 
 
+def op11_fst_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fst_codec.decode_documents(fst_codec.encode_documents(table(spark, sf_dir, "documents")))
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return d.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations")).drop("digest")
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_spellings(spelling.corpus_words(table(spark, sf_dir, "documents"), drop_every=31))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,7 +88,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = (op1_line_dedup, op2_sharding, op3_jaccard_join, op4_secret_scan, op5_quality, op6_order_minhash, op7_embedding_dedup, op8_sentencepiece, op9_mix_sources, op10_token_store, pipeline)
+    fs = (op1_line_dedup, op2_sharding, op3_jaccard_join, op4_secret_scan, op5_quality, op6_order_minhash, op7_embedding_dedup, op8_sentencepiece, op9_mix_sources, op10_token_store, op11_fst_bpe, op12_prefix_trie, op13_spelling_variants, pipeline)
     return {f.__name__: f for f in fs}
 
 
