@@ -14,7 +14,7 @@ SQL = {
     "line_for(lines MAP<STRING, INT>, k STRING) RETURNS INT": "element_at(lines, k)",
     "explicit_null() RETURNS STRING": "'null'",
     "slug(t STRING) RETURNS STRING": "regexp_replace(regexp_replace(lower(t), '[^\\\\p{L}\\\\p{N}]+', '-'), '^-+|-+$', '')",
-    "pin(t STRING, first INT, last INT) RETURNS STRING": "sha2(array_join(slice(split(regexp_replace(t, '\\r\\n?', '\\n'), '\\n'), first, last - first + 1), '\\n'), 256)",
+    "pin(t STRING, first INT, last INT) RETURNS STRING": "sha2(array_join(slice(split(replace(t, '\\r\\n', '\\n'), '\\n'), first, last - first + 1), '\\n'), 256)",
 }
 
 

@@ -69,8 +69,8 @@ def fingerprint(*parts: Column) -> Column:
 
 
 def pin_text(text: Column) -> Column:
-    """Text for pins: no byte order mark, line feeds only."""
-    return F.regexp_replace(F.regexp_replace(text, "^﻿", ""), "\r\n?", "\n")
+    """Text for pins: no byte order mark, no carriage return before a line feed."""
+    return F.replace(F.regexp_replace(text, "^﻿", ""), F.lit("\r\n"), F.lit("\n"))
 
 
 def pin_hash(text: Column, first: Column, last: Column) -> Column:

@@ -84,16 +84,27 @@ def classify(links: DataFrame, pages: DataFrame, routes: list[tuple[str, str]] =
     return j.select("path", "target", "kind", page.alias("page"), (F.col("kind").isin("relative", "rooted") & F.col("page").isNull()).alias("broken"))
 
 
+def page_key(url: Column) -> Column:
+    """What spellings of one page share: no fragment, host in lower case without a default port, and a path that loses one
+    trailing slash unless it is the root. The query stays; text that isn't an absolute URL only loses its fragment."""
+    u = F.regexp_replace(url, "(?s)#.*$", "")
+    head = F.lower(F.regexp_extract(u, "^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1))
+    head = F.regexp_replace(F.regexp_replace(head, "^(http://.*):80$", "$1"), "^(https://.*):443$", "$1")
+    rest = F.regexp_replace(u, "^[A-Za-z][A-Za-z0-9+.-]*://[^/?]*", "")
+    path, query = F.regexp_extract(rest, "^([^?]*)", 1), F.regexp_extract(rest, "(?s)^[^?]*(.*)$", 1)
+    return F.when(head == "", u).otherwise(F.concat(head, F.when(path == "", "/").otherwise(F.regexp_replace(path, "([^/]|/(?=/))/$", "$1")), query))
+
+
 def frontier(start: DataFrame, links: DataFrame, scope: str, exclude: list[str] = (), depth: int = 10, limit: int | None = None) -> DataFrame:
     """(url, depth) of a crawl over known links (url, href): breadth first, within a prefix, without excluded path globs.
 
-    URLs are compared without fragment, query and trailing slash; each is visited once, at its least depth. A limit takes
-    the first by depth and url, as a crawl in rounds of sorted URLs would.
+    URLs are compared by page_key(): without fragment and one trailing slash, with their query. Each is visited once, at
+    its least depth. A limit takes the first by depth and url, as a crawl in rounds of sorted URLs would.
     """
     from docloom.functions.text import matches_any
     from docloom.plans.lineage import cut
 
-    key = lambda c: F.regexp_replace(F.regexp_replace(c, "[?#].*$", ""), "/+$", "")
+    key = page_key
     inside = lambda c: c.startswith(scope.rstrip("/")) & ~(matches_any(F.regexp_replace(c, "^[a-z]+://[^/]+/?", ""), list(exclude)) if exclude else F.lit(False))
     e = cut(links.select(key(F.col("url")).alias("a"), key(F.col("href")).alias("b")).where(inside(F.col("b"))).distinct())
     seen = front = cut(start.select(key(F.col("url")).alias("url")).where(inside(F.col("url"))).distinct().withColumn("depth", F.lit(0)))

@@ -1,23 +1,24 @@
 """Pins: hashes of line ranges that tell whether cited text is still where it was.
 
-sources are (path, text), citations (id, path, first, last, pin): the lines first to last, from 1, had that hash. Texts
-are normalised before: no byte order mark, line feeds only, no line feed at the end.
+sources are (path, text), citations (id, path, first, last, pin): the lines first to last, from 1, had that hash, and may
+have a column ``original``, those lines themselves. Before hashing, a text loses a byte order mark, its carriage returns
+before line feeds, and the one empty line that a final line feed leaves.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docloom.plans.lineage import cut
 
-BAND = 2_000
-
 
 def lines_of(text: Column) -> Column:
-    """The lines of a normalised text."""
-    t = F.regexp_replace(F.regexp_replace(text, "^\\ufeff", ""), "\r\n?", "\n")
-    return F.split(F.regexp_replace(t, "\n$", ""), "\n")
+    """The lines of a normalised text; an empty one has none."""
+    ls = F.split(F.replace(F.regexp_replace(text, "^\\ufeff", ""), F.lit("\r\n"), F.lit("\n")), "\n", -1)
+    return F.when(F.element_at(ls, -1) == "", F.slice(ls, F.lit(1), F.size(ls) - 1)).otherwise(ls)
 
 
 def pin(lines: Column, first: Column, last: Column) -> Column:
@@ -37,24 +38,33 @@ def source_lines(sources: DataFrame) -> DataFrame:
     return d.select("path", (F.col("p") + 1).alias("n"), "line")
 
 
-def find_moved(citations: DataFrame, sources: DataFrame, band: int | None = BAND) -> DataFrame:
-    """(id, path, at): where lines with a citation's pin stand in its source now, within ``band`` lines of where they stood.
+def find_moved(citations: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, path, at): everywhere that lines with a citation's pin stand in its source now, however far they moved.
 
-    Windows of each cited length are made per source on the JVM from its lines as one array, for the lengths that its
-    citations ask for; only hashes are joined.
+    Where the citation has its original lines, only places that begin with the first of them are hashed. Of the others,
+    windows of each cited length are hashed once for each source, for the lengths that its citations ask for, and only
+    hashes are joined.
     """
-    wanted = citations.select("path", (F.col("last") - F.col("first") + 1).alias("size"), "pin").distinct()
+    size = (F.col("last") - F.col("first") + 1).alias("size")
     s = sources.where("text is not null").select("path", lines_of(F.col("text")).alias("ls"))
-    sizes = wanted.select("path", "size").distinct()
-    w = s.join(sizes, "path").where(F.size("ls") >= F.col("size"))
-    w = w.select("path", "size", F.explode(F.transform(F.sequence(F.lit(1), F.size("ls") - F.col("size") + 1), lambda i: F.struct(i.alias("at"), F.sha2(F.array_join(F.slice("ls", i, F.col("size")), "\n"), 256).alias("pin")))).alias("x")).select("path", "size", "x.*")
-    c = citations.select("id", "path", "first", (F.col("last") - F.col("first") + 1).alias("size"), "pin")
-    near = F.lit(True) if band is None else F.abs(F.col("at") - F.col("first")) <= band
-    return c.join(w, ["path", "size", "pin"]).where(near).select("id", "path", "at")
+    hashed = lambda i: F.sha2(F.array_join(F.slice("ls", i, F.col("size")), "\n"), 256)
+    starts = F.sequence(F.lit(1), F.size("ls") - F.col("size") + 1)
+    blind, out = citations, []
+    if "original" in citations.columns:
+        seen = citations.where("original is not null").select("id", "path", size, "pin", F.split("original", "\n")[0].alias("head"))
+        seen = seen.join(s, "path").where((F.col("size") >= 1) & (F.size("ls") >= F.col("size")))
+        hits = F.filter(starts, lambda i: (F.element_at("ls", i) == F.col("head")) & (hashed(i) == F.col("pin")))
+        out.append(seen.select("id", "path", F.explode(hits).alias("at")))
+        blind = citations.where("original is null")
+    sizes = blind.select("path", size).distinct()
+    w = s.join(sizes, "path").where((F.col("size") >= 1) & (F.size("ls") >= F.col("size")))
+    w = w.select("path", "size", F.explode(F.transform(starts, lambda i: F.struct(i.alias("at"), hashed(i).alias("pin")))).alias("x")).select("path", "size", "x.*")
+    out.append(blind.select("id", "path", size, "pin").join(w, ["path", "size", "pin"]).select("id", "path", "at"))
+    return reduce(DataFrame.union, out)
 
 
 def classify(citations: DataFrame, sources: DataFrame, before: DataFrame | None = None) -> DataFrame:
-    """(id, path, status, at): current; moved; moved-ambiguous (several places); missing (no source); changed; or never-true, where ``before``, the source as cited, hasn't the pin either."""
+    """(id, path, status, at), at for moved ones: current; moved; moved-ambiguous (several places); missing (no source); changed; or never-true, where ``before``, the source as cited, hasn't the pin either."""
     s = sources.select(F.col("path").alias("spath"), lines_of(F.col("text")).alias("ls"))
     d = citations.join(s, F.col("path") == F.col("spath"), "left").withColumn("now", pin(F.col("ls"), F.col("first"), F.col("last")))
     d = d.select("id", "path", F.col("spath").isNull().alias("lost"), F.col("now").eqNullSafe(F.col("pin")).alias("same"))
@@ -67,7 +77,7 @@ def classify(citations: DataFrame, sources: DataFrame, before: DataFrame | None
         d = d.join(was, F.col("id") == F.col("bid"), "left")
         never = ~F.coalesce("held", F.lit(True))
     status = F.when(F.col("lost"), "missing").when(F.col("same"), "current").when(F.col("places") == 1, "moved").when(F.col("places") > 1, "moved-ambiguous").when(never, "never-true").otherwise("changed")
-    return d.select("id", "path", status.alias("status"), F.when(F.col("places") == 1, F.col("at")).alias("at"))
+    return d.select("id", "path", status.alias("status"), F.when(status == "moved", F.col("at")).alias("at"))
 
 
 def reanchor(citations: DataFrame, classified: DataFrame) -> DataFrame:

@@ -70,16 +70,33 @@ def run(spark: SparkSession, sql: str, params: Mapping[str, object] | None = Non
 
 #: Functions that run code or read what isn't a table.
 FORBIDDEN = {"java_method", "reflect", "try_reflect", "callmethodviareflection", "trycallmethodviareflection", "input_file_name", "assert_true"}
+#: Functions that stand for tables and read nothing.
+TABLES = {"range", "explode", "explode_outer", "posexplode", "posexplode_outer", "inline", "inline_outer", "json_tuple", "stack", "variant_explode", "variant_explode_outer"}
 #: Words in the names of plan nodes that do something.
 DOES = re.compile("Command|Insert|Delete|Update|Merge|Create|Drop|Alter|^Set|Cache|Truncate|^Use|Show|Describe|Replace|Transform|CompoundBody|Exec(?!ut)")
 
 
+def _known(spark: SparkSession, parts: list[str], defined: set[str]) -> bool:
+    """Whether a relation is one of the statement's own or a temporary view; never a path or a file behind a catalog's name."""
+    return len(parts) == 1 and (parts[0].lower() in defined or spark._jsparkSession.sessionState().catalog().isTempView(spark._jvm.org.apache.spark.sql.catalyst.TableIdentifier(parts[0])))
+
+
 def reading(spark: SparkSession, plan) -> None:
-    """Refuses a plan with any node that isn't reading, at any depth, or with functions that run code."""
-    todo = [plan]
+    """Refuses a plan with any node that isn't reading, at any depth, with functions that run code or make tables, or with relations other than temporary views and the statement's own."""
+    todo = [(plan, set())]
     while todo:
-        node = todo.pop()
+        node, defined = todo.pop()
         kind = node.getClass().getSimpleName()
+        if kind == "UnresolvedWith":
+            own = [node.cteRelations().apply(i)._1() for i in range(node.cteRelations().size())]
+            defined = defined | {n.lower() for n in own}
+            todo += [(node.cteRelations().apply(i)._2(), defined) for i in range(len(own))]
+        if kind == "UnresolvedRelation":
+            parts = [node.multipartIdentifier().apply(i) for i in range(node.multipartIdentifier().size())]
+            if not _known(spark, parts, defined):
+                raise ValueError(f"only known views are allowed, not {'.'.join(parts)}")
+        if kind == "UnresolvedTableValuedFunction" and str(node.name().last()).lower() not in TABLES:
+            raise ValueError(f"only table functions of TABLES are allowed, not {node.name().last()}")
         if DOES.search(kind):
             raise ValueError(f"only reading statements are allowed, not {kind}")
         for i in range(node.expressions().size()):
@@ -92,12 +109,12 @@ def reading(spark: SparkSession, plan) -> None:
                 if names & FORBIDDEN:
                     raise ValueError(f"{sorted(names & FORBIDDEN)[0]} isn't allowed")
                 if x.getClass().getSuperclass().getSimpleName() == "SubqueryExpression":
-                    todo.append(x.plan())
+                    todo.append((x.plan(), defined))
                 exprs += [x.children().apply(j) for j in range(x.children().size())]
         for group in (node.children(), node.innerChildren()):
             for i in range(group.size()):
                 if hasattr(group.apply(i), "expressions"):
-                    todo.append(group.apply(i))
+                    todo.append((group.apply(i), defined))
 
 
 def check(df: DataFrame) -> int:

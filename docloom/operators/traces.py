@@ -1,7 +1,7 @@
 """Sessions of agents as events: reading, turns, windows, graders, triggers, availability.
 
 events: session, index (order), kind (prompt, text, tool, result, system), tool, input (JSON text), text, ts, tokens,
-sidechain, meta, compact (booleans), origin. All graders of a plan run in one aggregation for each session.
+sidechain, meta, compact (booleans), origin, and, as read, uuid, parent, tool_id, branch, agent. All graders of a plan run in one aggregation for each session.
 """
 
 from __future__ import annotations
@@ -15,10 +15,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docloom.functions.text import matches_any
+from docloom.plans.lineage import cut
 
 PATHS = ("file_path", "path", "notebook_path")
 #: Kinds of graders: our own (None), and those that users add.
-GRADERS: dict = dict.fromkeys(("regex", "tool-usage", "tool-order", "file-access", "cost", "json-output"))
+GRADERS: dict = dict.fromkeys(("regex", "tool-usage", "tool-order", "file-access", "skill-invoked", "turn-count", "cost", "json-output"))
 
 
 def normalize(lines: DataFrame) -> DataFrame:
@@ -38,11 +39,13 @@ def normalize(lines: DataFrame) -> DataFrame:
     kind = F.when(v.isNull(), "error").when(what == "tool_use", "tool").when(what == "tool_result", "result").when(typed, "prompt").when(F.col("type") == "assistant", "text").otherwise("system")
     text = F.coalesce(said(F.col("block"), "$.text"), said(F.col("block"), "$.content"), plain, said(v, "$.text"))
     tokens = F.coalesce(get(v, "$.message.usage.input_tokens", "long"), F.lit(0)) + F.coalesce(get(v, "$.message.usage.output_tokens", "long"), F.lit(0))
+    names = {"uuid": get(v, "$.uuid"), "parent": get(v, "$.parentUuid"), "tool_id": get(F.col("block"), "$.id")}
     flag = lambda path: F.coalesce(get(v, path, "boolean"), F.lit(False))
     w = Window.partitionBy("session").orderBy("at", "sub")
     return d.select(
         "session", (F.row_number().over(w) - 1).cast("long").alias("index"), kind.alias("kind"), get(F.col("block"), "$.name").alias("tool"), F.to_json(get(F.col("block"), "$.input", "variant")).alias("input"), text.alias("text"), F.try_to_timestamp(get(v, "$.timestamp")).alias("ts"),
         F.when(F.col("sub") == 0, tokens).otherwise(0).alias("tokens"), flag("$.isSidechain").alias("sidechain"), flag("$.isMeta").alias("meta"), flag("$.isCompactSummary").alias("compact"), F.coalesce(get(v, "$.origin"), F.lit("human")).alias("origin"),
+        *(c.alias(n) for n, c in names.items()),
     )
 
 
@@ -50,7 +53,45 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """Events of all *.jsonl files below a folder; the session is the file's name."""
     d = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(path, wholetext=True)
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.jsonl$", 1)
-    return normalize(d.select(name.alias("session"), F.posexplode(F.split("value", "\n")).alias("pos", "value")).where("trim(value) <> ''"))
+    return branches(normalize(d.select(name.alias("session"), F.posexplode(F.split("value", "\n")).alias("pos", "value")).where("trim(value) <> ''")))
+
+
+def branches(events: DataFrame) -> DataFrame:
+    """events with branch and agent: the first record of the side chain that an event belongs to, and the agent that was spawned for it; null on the main chain.
+
+    Records lead to their parents; pointers double until each shows its chain's first record, so that a long chain takes a
+    few joins. Chains and the calls that spawned them meet by the prompt, equal ones in order of their places.
+    """
+    up = cut(events.where("sidechain and uuid is not null").select("session", "uuid", "parent").distinct())
+    here = up.select("session", F.col("uuid").alias("parent"), F.lit(True).alias("held"))
+    up = cut(up.join(here, ["session", "parent"], "left").select("session", "uuid", F.when(F.col("held"), F.col("parent")).otherwise(F.col("uuid")).alias("top")))
+    while True:
+        far = up.select("session", F.col("uuid").alias("top"), F.col("top").alias("next"))
+        up = cut(up.join(far, ["session", "top"]).select("session", "uuid", F.col("next").alias("top"), (F.col("next") != F.col("top")).alias("moved")))
+        if up.where("moved").isEmpty():
+            break
+    nth = F.row_number().over(Window.partitionBy("session", "prompt").orderBy("index"))
+    first = events.where("sidechain and kind = 'prompt'").join(up.where("uuid = top").select("session", "uuid"), ["session", "uuid"]).groupBy("session", "uuid").agg(F.min("index").alias("index"), F.min_by("text", "index").alias("prompt"))
+    spawn = events.where("kind = 'tool' and tool in ('Task', 'Agent')").select("session", "index", F.get_json_object("input", "$.prompt").alias("prompt"), F.get_json_object("input", "$.subagent_type").alias("agent"))
+    told = first.withColumn("nth", nth).join(spawn.withColumn("nth", nth).drop("index"), ["session", "prompt", "nth"], "left").select("session", F.col("uuid").alias("top"), F.coalesce("agent", "uuid").alias("agent"))
+    of = up.select("session", "uuid", "top").join(told, ["session", "top"], "left").select("session", "uuid", F.col("top").alias("branch"), F.coalesce("agent", "top").alias("agent"))
+    return events.drop("branch", "agent").join(of, ["session", "uuid"], "left").select(*(c for c in events.columns if c not in ("branch", "agent")), "branch", "agent")
+
+
+def splice(events: DataFrame, more: DataFrame, links: DataFrame) -> DataFrame:
+    """events with the events of branch files put in after the calls that spawned them, numbered anew.
+
+    more has a session of its own for each file; links (file, session, tool_id, agent) name the call that each belongs to.
+    A file whose call isn't found is put in at the session's end. Spliced events are of a side chain.
+    """
+    at = events.where("tool_id is not null").groupBy("session", "tool_id").agg(F.min("index").alias("at"))
+    end = events.groupBy("session").agg(F.max("index").alias("end"))
+    l = links.join(at, ["session", "tool_id"], "left").join(end, "session").select("file", F.col("session").alias("of"), F.coalesce("at", "end").alias("at"), F.col("agent").alias("named"))
+    new = {"session": F.col("of"), "sidechain": F.lit(True), "branch": F.col("file"), "agent": F.coalesce("named", "file")}
+    b = more.join(l, F.col("session") == F.col("file")).select(*(new.get(c, F.col(c)).alias(c) for c in events.columns), F.col("at").alias("k1"), F.col("file").alias("k2"), F.col("index").alias("k3"))
+    d = events.select("*", F.col("index").alias("k1"), F.lit("").alias("k2"), F.lit(-1).cast("long").alias("k3")).unionByName(b)
+    n = F.row_number().over(Window.partitionBy("session").orderBy("k1", "k2", "k3")) - 1
+    return d.select(*(n.cast("long").alias(c) if c == "index" else F.col(c) for c in events.columns))
 
 
 def typed_prompt() -> Column:
@@ -64,25 +105,27 @@ def last_turn(events: DataFrame) -> DataFrame:
     return events.join(at.where("work > at").select("session", "at"), "session").where(F.col("index") >= F.col("at")).drop("at")
 
 
+def _injection() -> Column:
+    return (F.col("kind") == "tool") & (F.col("tool") == "Skill") | typed_prompt() & F.col("text").rlike(r"^\s*/[A-Za-z]")
+
+
 def spans(events: DataFrame, skill: str | None = None, command: str | None = None, agent: str | None = None) -> DataFrame:
-    """(session, start, end): half-open spans of index in which a skill, a slash command or an agent is at work; the whole session without any of them.
+    """(session, start, end): half-open spans of index that a skill, a slash command or an agent governs; the whole session without any of them.
 
-    A skill's span goes from its tool call to the next typed prompt; a slash command's from its prompt to the next; an
-    agent's over its side chain.
+    A skill begins where its tool is called or its slash form typed, a command where it is typed; both go on to the next
+    skill or command on the same chain, or to the session's end. An agent governs the branches that were spawned for it
+    (columns branch and agent).
     """
-    w = Window.partitionBy("session").orderBy("index")
-    nxt = F.coalesce(F.min(F.when(typed_prompt(), F.col("index"))).over(w.rowsBetween(1, Window.unboundedFollowing)), F.max("index").over(Window.partitionBy("session")) + 1)
-    d = events.withColumn("next", nxt)
-    if skill is not None:
-        hit = (F.col("tool") == "Skill") & (F.get_json_object("input", "$.skill") == skill)
-    elif command is not None:
-        hit = typed_prompt() & F.col("text").rlike(rf"^\s*/{command}(\s|$)")
-    elif agent is not None:
-        a = events.where("sidechain").withColumn("run", F.col("index") - F.row_number().over(w))
-        return a.groupBy("session", "run").agg(F.min("index").alias("start"), (F.max("index") + 1).alias("end")).drop("run")
-    else:
+    if agent is not None:
+        return events.where(F.col("agent") == agent).groupBy("session", "branch").agg(F.min("index").alias("start"), (F.max("index") + 1).alias("end")).drop("branch")
+    if skill is None and command is None:
         return events.groupBy("session").agg(F.min("index").alias("start"), (F.max("index") + 1).alias("end"))
-    return d.where(hit).select("session", F.col("index").alias("start"), F.col("next").alias("end"))
+    chain = F.col("branch") if "branch" in events.columns else F.lit(None).cast("string")
+    typed = lambda name: typed_prompt() & F.col("text").rlike(rf"^\s*/\Q{name}\E(\s|$)")
+    hit = typed(command) if skill is None else typed(skill) | (F.col("tool") == "Skill") & (F.get_json_object("input", "$.skill") == skill)
+    end = events.groupBy("session").agg((F.max("index") + 1).alias("last"))
+    d = events.where(_injection()).select("session", "index", F.lead("index").over(Window.partitionBy("session", chain).orderBy("index")).alias("next"), F.coalesce(hit, F.lit(False)).alias("hit"))
+    return d.where("hit").join(end, "session").select("session", F.col("index").alias("start"), F.coalesce("next", "last").alias("end"))
 
 
 def within(events: DataFrame, windows: DataFrame) -> DataFrame:
@@ -97,28 +140,54 @@ def _file(glob: str) -> Column:
     return F.coalesce((F.col("kind") == "tool") & p.isNotNull() & matches_any(p, [glob]), F.lit(False))
 
 
+def _calls(g: dict, tool: str, match: str | None) -> Column:
+    """Calls of a tool whose input, as JSON, matches a pattern; those of side chains only where the grader includes them."""
+    c = (F.col("kind") == "tool") & (F.col("tool") == tool)
+    c = c if match is None else c & F.col("input").rlike(match)
+    return F.coalesce(c if g.get("includeSidechains") else c & ~F.col("sidechain"), F.lit(False))
+
+
 def _grader(g: dict) -> tuple[Column, Column]:
-    """(outcome, detail) of a grader as aggregates over a session's events."""
+    """(outcome, detail) of a grader as aggregates over a session's events.
+
+    A grader with ``when`` (conditions as of triggered()) is skipped in sessions where they don't hold.
+    """
     kind = g["kind"]
     if GRADERS.get(kind):
         return GRADERS[kind](g)
+    if g.get("when") is not None:
+        if kind in ("cost", "json-output"):
+            raise ValueError(f"{kind} grades whole sessions and takes no when")
+        outcome, detail = _grader({k: v for k, v in g.items() if k != "when"})
+        return F.when(_all_of(g["when"]), outcome).otherwise("skipped"), detail
     said = lambda c: F.when(c, "pass").otherwise("fail")
     if kind == "regex":
         hit = F.coalesce(F.bool_or(F.col("kind").isin(g.get("of", ["text"])) & F.col("text").rlike(g["pattern"])), F.lit(False))
         return said(hit if g.get("match", True) else ~hit), hit.cast("string")
     if kind in ("tool-usage", "file-access"):
-        n = F.count_if((F.col("kind") == "tool") & (F.col("tool") == g["tool"])) if kind == "tool-usage" else F.count_if(_file(g["glob"]))
+        touched = lambda: _file(g["glob"]) if g.get("includeSidechains") else _file(g["glob"]) & ~F.col("sidechain")
+        n = F.count_if(_calls(g, g["tool"], g.get("inputMatch")) if kind == "tool-usage" else touched())
+        if g.get("expect") == "not-used":
+            return said(n == 0), n.cast("string")
         return said((n >= g.get("min", 1)) & (n <= g.get("max", 2**31))), n.cast("string")
-    if kind == "tool-order":
-        a, b = F.min(F.when(F.col("tool") == g["first"], F.col("index"))), F.max(F.when(F.col("tool") == g["then"], F.col("index")))
-        return F.when(a.isNull() | b.isNull(), "skipped").otherwise(said(a < b)), F.concat_ws("<", a.cast("string"), b.cast("string"))
+    if kind == "tool-order":  # of calls that never were, neither is in the wrong order
+        at = lambda f, end: f(F.when(_calls(g, g[end], g.get(f"{end}InputMatch")), F.col("index")))
+        a, b = at(F.min, "first"), at(F.max, "then")
+        return said(F.coalesce(a <= b, a.isNull() & b.isNull())), F.concat_ws("<", a.cast("string"), b.cast("string"))
+    if kind == "skill-invoked":
+        n = F.count_if(F.coalesce(_injection() & ((F.get_json_object("input", "$.skill") == g["skill"]) | F.col("text").rlike(rf"^\s*/\Q{g['skill']}\E(\s|$)")), F.lit(False)))
+        return said(n == 0 if g.get("expect") == "not-used" else n > 0), n.cast("string")
+    if kind == "turn-count":
+        n = F.count_if(typed_prompt())
+        return said((n >= g.get("min", 0)) & (n <= g.get("max", 2**31))), n.cast("string")
     if kind == "cost":
         n = F.sum("tokens")
         return said(n <= g["max"]), n.cast("string")
     if kind == "json-output":
         last = F.max_by(F.when(F.col("kind") == "text", F.col("text")), F.when(F.col("kind") == "text", F.col("index")))
         v = F.try_parse_json(last)
-        return said(v.isNotNull() & reduce(Column.__and__, (F.try_variant_get(v, f"$.{k}", "variant").isNotNull() for k in g.get("keys", [])), F.lit(True))), F.left(last, F.lit(80))
+        at = lambda k: "$['" + k.replace("\\", "\\\\").replace("'", "\\'") + "']"
+        return said(v.isNotNull() & reduce(Column.__and__, (F.try_variant_get(v, at(k), "variant").isNotNull() for k in g.get("keys", [])), F.lit(True))), F.left(last, F.lit(80))
     raise ValueError(f"unknown grader {kind}")
 
 
@@ -143,8 +212,7 @@ def grade_by_command(events: DataFrame, name: str, argv: list[str], seconds: int
     return events.select("session", "index", "kind", "tool", "text").groupBy("session").applyInPandas(run, "session string, grader string, outcome string, detail string")
 
 
-def triggered(events: DataFrame, when: dict) -> DataFrame:
-    """(session, triggered): whether all conditions hold in a session: file_access (glob), tool_used, prompt_matches, command_matches (patterns), turn_count_above."""
+def _all_of(when: dict) -> Column:
     tests = {
         "file_access": lambda x: F.bool_or(_file(x)),
         "tool_used": lambda x: F.bool_or(F.col("tool") == x),
@@ -152,8 +220,12 @@ def triggered(events: DataFrame, when: dict) -> DataFrame:
         "command_matches": lambda x: F.bool_or((F.col("tool") == "Bash") & F.get_json_object("input", "$.command").rlike(x)),
         "turn_count_above": lambda x: F.count_if(typed_prompt()) > x,
     }
-    all_of = reduce(Column.__and__, (F.coalesce(tests[k](x), F.lit(False)) for k, x in when.items()), F.lit(True))
-    return events.groupBy("session").agg(all_of.alias("triggered"))
+    return reduce(Column.__and__, (F.coalesce(tests[k](x), F.lit(False)) for k, x in when.items()), F.lit(True))
+
+
+def triggered(events: DataFrame, when: dict) -> DataFrame:
+    """(session, triggered): whether all conditions hold in a session: file_access (glob), tool_used, prompt_matches, command_matches (patterns), turn_count_above."""
+    return events.groupBy("session").agg(_all_of(when).alias("triggered"))
 
 
 def availability(changes: DataFrame) -> DataFrame:

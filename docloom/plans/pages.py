@@ -73,12 +73,12 @@ def broken_links(spark, d):
     return _classified(spark, d).where("broken").select("target")
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'http://a/' || o_custkey % 97 AS a, 'http://a/' || o_orderkey % 89 AS b FROM orders WHERE o_orderkey % 3 = 0), s AS (SELECT 'http://a/5' AS url, 0 AS depth UNION SELECT e.b, s.depth + 1 FROM s JOIN e ON e.a = s.url WHERE s.depth < 2 AND NOT regexp_matches(e.b, '/1[0-9]$'))
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'http://a/' || o_custkey % 397 || '?p=' || o_custkey % 3 AS a, 'http://a/' || o_orderkey % 389 || '?p=' || o_orderkey % 3 AS b FROM orders), s AS (SELECT 'http://a/5?p=2' AS url, 0 AS depth UNION SELECT e.b, s.depth + 1 FROM s JOIN e ON e.a = s.url WHERE s.depth < 2 AND NOT regexp_matches(e.b, '/1[0-9][?]'))
 SELECT url, min(depth) AS depth FROM s GROUP BY url""")
 def crawl_frontier(spark, d):
-    o = table(spark, d, "orders").where("o_orderkey % 3 = 0")
-    e = o.select(F.concat(F.lit("http://a/"), (F.col("o_custkey") % 97).cast("string")).alias("url"), F.concat(F.lit("http://a/"), (F.col("o_orderkey") % 89).cast("string"), F.lit("/#top")).alias("href"))
-    return links.frontier(spark.createDataFrame([("http://a/5/?q",)], "url string"), e, "http://a", ["1[0-9]"], 2)
+    at = lambda key, n, tail: F.concat(F.lit("http://A:80/"), (F.col(key) % n).cast("string"), F.lit("/?p="), (F.col(key) % 3).cast("string"), F.lit(tail))
+    e = table(spark, d, "orders").select(at("o_custkey", 397, "").alias("url"), at("o_orderkey", 389, "#top").alias("href"))
+    return links.frontier(spark.createDataFrame([("http://a/5/?p=2",)], "url string"), e, "http://a", ["1[0-9]?p=*"], 2)
 
 
 # ---- triples ----------------------------------------------------------------------------------------------------
@@ -236,18 +236,24 @@ def writeback_apply(spark, d):
 
 # ---- pins and sessions ------------------------------------------------------------------------------------------
 
-_C = """WITH s AS (SELECT CAST(doc_id AS VARCHAR) AS path, string_split(rtrim(text, chr(10)), chr(10)) AS ls, doc_id AS k FROM documents WHERE text IS NOT NULL AND NOT contains(text, chr(13)) AND NOT regexp_matches(text, chr(10) || chr(10) || '$')), c AS (SELECT *, CASE WHEN k % 4 = 0 THEN 1 ELSE 2 END AS f FROM s WHERE len(ls) >= 3),
-p AS (SELECT path, ls, k, f, array_to_string(ls[f:f], chr(10)) AS t FROM c), n AS (SELECT path, k, f, t, CASE WHEN k % 3 = 1 THEN list_concat(['new'], ls) WHEN k % 3 = 2 THEN list_concat(['changed', 'too'], ls[f + 1:]) ELSE ls END AS now FROM p),
+_C = """WITH t AS (SELECT doc_id AS k, CAST(doc_id AS VARCHAR) AS path, string_split(replace(text || CASE WHEN doc_id % 7 = 0 THEN chr(10) || chr(10) WHEN doc_id % 7 = 1 THEN chr(13) WHEN doc_id % 7 = 2 THEN chr(13) || chr(10) ELSE '' END, chr(13) || chr(10), chr(10)), chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+s AS (SELECT k, path, CASE WHEN ls[len(ls)] = '' THEN ls[1:len(ls) - 1] ELSE ls END AS ls FROM t), c AS (SELECT *, CASE WHEN k % 4 = 0 THEN 1 ELSE 2 END AS f FROM s WHERE len(ls) >= 3),
+p AS (SELECT path, ls, k, f, array_to_string(ls[f:f], chr(10)) AS t FROM c), n AS (SELECT path, k, f, t, CASE WHEN k % 3 = 1 THEN list_concat(['new'], CASE WHEN k % 6 = 1 THEN list_transform(range(3000), lambda x: 'far') ELSE [] END, ls) WHEN k % 3 = 2 THEN list_concat(['changed', 'too'], ls[f + 1:]) ELSE ls END AS now FROM p),
 m AS (SELECT *, len(list_filter(now, lambda x: x = t)) AS places, list_position(now, t) AS spot, now[f] = t AS same FROM n)"""
 
 
 def _citations(spark, d):
-    doc = table(spark, d, "documents").where("text is not null and not contains(text, '\r') and not text rlike '\n\n$'").select(F.col("doc_id").cast("string").alias("path"), "doc_id", "text")
+    """Each document's first or second line is cited; some texts end in line feeds or carriage returns, some lines moved, some by 3,000."""
+    odd = F.col("doc_id") % 7
+    text = F.concat("text", F.when(odd == 0, "\n\n").when(odd == 1, "\r").when(odd == 2, "\r\n").otherwise(""))
+    doc = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), "doc_id", text.alias("text"))
     first = F.when(F.col("doc_id") % 4 == 0, 1).otherwise(2)
     ls = pins.lines_of(F.col("text"))
-    c = doc.where(F.size(ls) >= 3).select(F.col("doc_id").alias("id"), "path", first.alias("first"), first.alias("last"), pins.pin(ls, first, first).alias("pin"))
+    own = F.when(F.col("doc_id") % 2 == 0, F.element_at(ls, first))
+    c = doc.where(F.size(ls) >= 3).select(F.col("doc_id").alias("id"), "path", first.alias("first"), first.alias("last"), pins.pin(ls, first, first).alias("pin"), own.alias("original"))
     k = F.col("doc_id") % 3
-    now = F.when(k == 1, F.concat(F.lit("new\n"), "text")).when(k == 2, F.concat(F.lit("changed\ntoo\n"), F.array_join(F.slice(ls, first + 1, F.greatest(F.size(ls) - first, F.lit(0))), "\n"))).otherwise(F.col("text"))
+    far = F.when(F.col("doc_id") % 6 == 1, F.repeat(F.lit("far\n"), F.lit(3000))).otherwise("")
+    now = F.when(k == 1, F.concat(F.lit("new\n"), far, "text")).when(k == 2, F.concat(F.lit("changed\ntoo\n"), F.array_join(F.slice(ls, first + 1, F.greatest(F.size(ls) - first, F.lit(0))), "\n"))).otherwise(F.col("text"))
     return c, doc.select("path", now.alias("text"))
 
 
@@ -295,7 +301,7 @@ def _events(spark, d):
 
 
 @query(_E + """, g AS (SELECT session, count(*) FILTER (WHERE tool = 'click') AS u, count(*) FILTER (WHERE kind = 'tool' AND regexp_matches(props, '"k": ?1[0-9]?[}]')) AS f, min(i) FILTER (WHERE tool = 'click') AS a, max(i) FILTER (WHERE tool = 'purchase') AS b, sum(CAST(trunc(value) AS BIGINT)) AS c, coalesce(bool_or(kind = 'text' AND regexp_matches(props, '77')), false) AS r, arg_max(props, i) FILTER (WHERE kind = 'text') AS j FROM e GROUP BY session)
-SELECT session, unnest(['uses', 'files', 'order', 'cost', 'says', 'json']) AS grader, unnest([CASE WHEN u BETWEEN 2 AND 20 THEN 'pass' ELSE 'fail' END, CASE WHEN f >= 1 THEN 'pass' ELSE 'fail' END, CASE WHEN a IS NULL OR b IS NULL THEN 'skipped' WHEN a < b THEN 'pass' ELSE 'fail' END, CASE WHEN c <= 1500 THEN 'pass' ELSE 'fail' END, CASE WHEN NOT r THEN 'pass' ELSE 'fail' END, CASE WHEN json_extract(j, '$.k') IS NOT NULL THEN 'pass' ELSE 'fail' END]) AS outcome FROM g""")
+SELECT session, unnest(['uses', 'files', 'order', 'cost', 'says', 'json']) AS grader, unnest([CASE WHEN u BETWEEN 2 AND 20 THEN 'pass' ELSE 'fail' END, CASE WHEN f >= 1 THEN 'pass' ELSE 'fail' END, CASE WHEN a IS NULL AND b IS NULL OR a <= b THEN 'pass' ELSE 'fail' END, CASE WHEN c <= 1500 THEN 'pass' ELSE 'fail' END, CASE WHEN NOT r THEN 'pass' ELSE 'fail' END, CASE WHEN json_extract(j, '$.k') IS NOT NULL THEN 'pass' ELSE 'fail' END]) AS outcome FROM g""")
 def trace_graders(spark, d):
     graders = {"uses": {"kind": "tool-usage", "tool": "click", "min": 2, "max": 20}, "files": {"kind": "file-access", "glob": "src/1{,[0-9]}.md"}, "order": {"kind": "tool-order", "first": "click", "then": "purchase"}, "cost": {"kind": "cost", "max": 1500}, "says": {"kind": "regex", "pattern": "77", "match": False}, "json": {"kind": "json-output", "keys": ["k"]}}
     return traces.grade(_events(spark, d), graders).select("session", "grader", "outcome")
@@ -311,10 +317,10 @@ def trace_last_turn(spark, d):
     return traces.last_turn(_events(spark, d)).select("session", "index")
 
 
-@query(_E + ", s AS (SELECT session, i AS a, coalesce((SELECT min(i) FROM e x WHERE x.session = e.session AND x.i > e.i AND x.kind = 'prompt'), (SELECT max(i) + 1 FROM e x WHERE x.session = e.session)) AS b FROM e WHERE kind = 'prompt' AND regexp_matches(props, '9')) SELECT DISTINCT e.session, e.i AS \"index\" FROM e JOIN s ON s.session = e.session AND e.i >= s.a AND e.i < s.b")
+@query(_E + ", s AS (SELECT session, i AS a, coalesce((SELECT min(i) FROM e x WHERE x.session = e.session AND x.i > e.i AND x.kind = 'prompt' AND regexp_matches(props, '[79]')), (SELECT max(i) + 1 FROM e x WHERE x.session = e.session)) AS b FROM e WHERE kind = 'prompt' AND regexp_matches(props, '9')) SELECT DISTINCT e.session, e.i AS \"index\" FROM e JOIN s ON s.session = e.session AND e.i >= s.a AND e.i < s.b")
 def trace_window(spark, d):
     e = _events(spark, d)
-    e = e.withColumn("text", F.when(F.col("text").rlike("9"), "/deploy now").otherwise(F.col("text")))
+    e = e.withColumn("text", F.when(F.col("text").rlike("9"), "/deploy now").when(F.col("text").rlike("7"), "/stop").otherwise(F.col("text")))
     return traces.within(e, traces.spans(e, command="deploy")).select("session", "index")
 
 
@@ -402,11 +408,11 @@ def access_rules(spark, d):
     return context.access_violations(table(spark, d, "pages").withColumn("html", html)).where("rule <> 'heading-order'").select("page_id", "rule", "n")
 
 
-@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE NOT contains(text, chr(13))), s AS (SELECT *, coalesce(max(CASE WHEN n % 3 = 0 THEN n // 3 END) OVER (PARTITION BY doc_id ORDER BY n), 0) AS section FROM l)
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), s AS (SELECT *, coalesce(max(CASE WHEN n % 3 = 0 THEN n // 3 END) OVER (PARTITION BY doc_id ORDER BY n), 0) AS section FROM l)
 SELECT CAST(doc_id AS VARCHAR) AS path, CAST(section AS INTEGER) AS section, CAST(min(n) AS INTEGER) AS first, CAST(max(n) AS INTEGER) AS last, string_agg(t, chr(10) ORDER BY n) AS text FROM s GROUP BY doc_id, section""")
 def section_slices(spark, d):
     """Texts cut at every third line, as if a heading stood there."""
-    doc = table(spark, d, "documents").where("not contains(text, '\r')").select(F.col("doc_id").cast("string").alias("path"), "text")
+    doc = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
     n = F.size(F.split("text", "\n"))
     heads = doc.where(n >= 3).select("path", F.explode(F.sequence(F.lit(1), F.floor(n / 3).cast("int"))).alias("section")).withColumn("line", 3 * F.col("section"))
     return context.section_texts(doc, heads)

@@ -139,10 +139,17 @@ def test_projection_types_and_odd_keys(spark):
     assert r[1]["b"] == 0 and r[1]["m"] == "team" and r[1]["_path"] == "p1" and r[2]["n"] is None and r[3]["n"] is None
 
 
-def test_guards_walk_the_plan(spark):
+def test_guards_walk_the_plan(spark, tmp_path):
     spark.range(5).createOrReplaceTempView("five")
     assert sqlguard.run(spark, "select id from five where id > $n and array(1,2)[0] = 1", {"n": 2}).count() == 2
     assert sqlguard.named_parameters("select a[$i]") == ["i"]
+    (tmp_path / "secret.txt").write_text("hidden")
+    spark.range(3).write.mode("overwrite").parquet(str(tmp_path / "p"))
+    for bad in (f"select * from text.`{tmp_path}/secret.txt`", f"select * from parquet.`{tmp_path}/p`", f"with t as (select 1 a) select * from t, text.`{tmp_path}/secret.txt`", "select * from default.five", "select * from read_files('/tmp')", f"select * from five where exists (select * from csv.`{tmp_path}/secret.txt`)", "select * from nowhere"):
+        with pytest.raises(ValueError, match="known views|table functions"):
+            sqlguard.run(spark, bad)
+    assert sqlguard.run(spark, "with t as (select id from five), u as (select id from t) select count(*) as n from u, range(2), (select 1 as x)").first().n == 10
+    assert sqlguard.run(spark, "select count(*) as n from five, lateral explode(array(1, 2))").first().n == 10
     for bad in ("select java_method('java.lang.System', 'currentTimeMillis')", "select * from five where id in (select reflect('java.lang.System', 'currentTimeMillis'))", "create table x (a int)", "drop view five", "select 1; select 2", "set a = b", "with t as (select reflect('a','b') x) select 1 from five where exists (select 1 from t)"):
         with pytest.raises(Exception, match="allowed|one statement"):
             sqlguard.run(spark, bad)
@@ -279,6 +286,14 @@ def test_links(spark):
     assert got["/site/a"][1] == "docs/a.md" and got["/other/a"][2] and got["../docs/a.md#z"][1] == "docs/a.md" and got["gone.md"][2] and got["mailto:a@b"] == ("other", None, False)
 
 
+def test_crawl_keys(spark):
+    key = lambda u: spark.range(1).select(links.page_key(F.lit(u)).alias("x")).first().x
+    assert key("HTTP://A.b:80/x/?q=1#f") == "http://a.b/x?q=1" and key("https://a:443") == "https://a/" == key("https://a/#x") and key("https://a:80/X//") == "https://a:80/X/"
+    e = spark.createDataFrame([("http://a/", "http://a/p?x=1"), ("http://a", "http://A/p?x=2#z"), ("http://a/p?x=2", "http://a/deep/")], "url string, href string")
+    got = links.frontier(spark.createDataFrame([("http://a/",)], "url string"), e, "http://a")
+    assert rows(got, "url", "depth") == [("http://a/", 0), ("http://a/deep", 2), ("http://a/p?x=1", 1), ("http://a/p?x=2", 1)]
+
+
 def test_pins(spark):
     src = spark.createDataFrame([("a", "﻿one\r\ntwo\nthree\n"), ("b", "x\ny"), ("d", "new\nk\nk\n")], "path string, text string")
     h = lambda s: spark.range(1).select(F.sha2(F.lit(s), 256).alias("x")).first().x
@@ -286,6 +301,12 @@ def test_pins(spark):
     was = spark.createDataFrame([("b", "gone\ny")], "path string, text string")
     got = {r.id: (r.status, r.at) for r in pins.classify(c, src, was).collect()}
     assert got == {1: ("current", None), 2: ("moved", 3), 3: ("changed", None), 4: ("missing", None), 5: ("moved-ambiguous", None), 6: ("never-true", None)}
+    far = spark.createDataFrame([("f", "\n".join(["x"] * 5000) + "\na\nb\n\n")], "path string, text string")
+    for original in (None, "a\nb"):
+        c = spark.createDataFrame([(1, "f", 1, 2, h("a\nb"), original)], "id int, path string, first int, last int, pin string, original string")
+        assert rows(pins.find_moved(c, far), "at") == [(5001,)]
+    lines = {t: spark.range(1).select(pins.lines_of(F.lit(t)).alias("x")).first().x for t in ("a\n\n", "", "a\rb", "a\r\n", "\n", "a")}
+    assert lines == {"a\n\n": ["a", ""], "": [], "a\rb": ["a\rb"], "a\r\n": ["a"], "\n": [""], "a": ["a"]}
     assert rows(pins.quote_drift(spark.createDataFrame([(1, "a", "two   three"), (2, "a", "no"), (3, "q", "x")], "id int, path string, quote string"), src), "id", "status") == [(1, "held"), (2, "drifted"), (3, "missing")]
     assert rows(pins.claim_share(src, spark.createDataFrame([("a", 1, 2), ("a", 2, 2)], "path string, first int, last int")), "path", "words", "claimed") == [("a", 3, 2), ("b", 2, 0), ("d", 3, 0)]
     w = spark.createDataFrame([(1, 2, 5), (1, 8, None), (2, 3, 4)], "id int, opened int, closed int")
@@ -303,9 +324,15 @@ def test_traces(spark, tmp_path):
     got = e.orderBy("index").collect()
     assert [r.kind for r in got] == ["prompt", "text", "tool", "result", "prompt", "error", "prompt", "tool", "text"] and [r["index"] for r in got] == list(range(9)) and sum(r.tokens for r in got) == 7
     assert rows(traces.last_turn(e), "index") == [(6,), (7,), (8,)]
-    assert rows(traces.within(e, traces.spans(e, command="deploy")), "index") == [(i,) for i in range(6)] and traces.within(e, traces.spans(e)).count() == 9
+    assert rows(traces.within(e, traces.spans(e, command="deploy")), "index") == [(i,) for i in range(9)] and traces.within(e, traces.spans(e)).count() == 9
     g = {r.grader: r.outcome for r in traces.grade(e, {"j": {"kind": "json-output", "keys": ["a"]}, "c": {"kind": "cost", "max": 6}, "f": {"kind": "file-access", "glob": "src/**"}, "o": {"kind": "tool-order", "first": "Bash", "then": "Read"}, "u": {"kind": "tool-usage", "tool": "Bash", "max": 1}}).collect()}
     assert g == {"j": "pass", "c": "fail", "f": "pass", "o": "pass", "u": "pass"}
+    order = lambda **x: traces.grade(e, {"o": {"kind": "tool-order", **x}}).first().outcome
+    assert order(first="No", then="None") == "pass" and order(first="Bash", then="No") == "fail" == order(first="No", then="Bash") == order(first="Read", then="Bash")
+    assert order(first="Bash", firstInputMatch="nope", then="Read") == "fail" and order(first="Bash", firstInputMatch="make", then="Read") == "pass"
+    assert order(first="Read", then="Bash", when={"tool_used": "No"}) == "skipped" and order(first="Read", then="Bash", when={"tool_used": "Read"}) == "fail"
+    more = traces.grade(e, {"n": {"kind": "tool-usage", "tool": "Bash", "expect": "not-used"}, "s": {"kind": "skill-invoked", "skill": "deploy"}, "t": {"kind": "turn-count", "max": 1}})
+    assert {r.grader: r.outcome for r in more.collect()} == {"n": "fail", "s": "pass", "t": "fail"}
     assert traces.triggered(e, {"command_matches": "^make", "turn_count_above": 1}).first().triggered and not traces.triggered(e, {"turn_count_above": 2}).first().triggered
     run = lambda code: traces.grade_by_command(e, "cmd", [sys.executable, "-c", code]).first().outcome
     assert run("import sys; sys.exit(0 if len(sys.stdin.readlines()) == 9 else 1)") == "pass" and run("import sys; sys.exit(3)") == "fail"
@@ -315,6 +342,28 @@ def test_traces(spark, tmp_path):
     assert rows(judged, "case", "pass") == [("c1", True), ("c2", False)]
 
 
+def test_branches_of_sessions(spark, tmp_path):
+    task = lambda i, kind, p: {"type": "tool_use", "id": f"t{i}", "name": "Task", "input": {"subagent_type": kind, "prompt": p}}
+    side = lambda u, p, **x: {"uuid": u, "parentUuid": p, "isSidechain": True, **x}
+    lines = [{"uuid": "a", "type": "user", "message": {"content": "go"}}, {"uuid": "b", "parentUuid": "a", "type": "assistant", "message": {"content": [task(1, "x", "look"), task(2, "y", "look"), task(3, "z", "write")]}}]
+    lines += [side("r1", None, type="user", message={"content": "look"}), side("r2", None, type="user", message={"content": "look"})]
+    for k in range(9):
+        lines += [side(f"r{b}-{k}", f"r{b}-{k - 1}" if k else f"r{b}", type="assistant", message={"content": [{"type": "tool_use", "name": f"T{b}", "input": {}}]}) for b in (1, 2)]
+    lines += [side("lone", "b", type="user", message={"content": "who"})]
+    (tmp_path / "main.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    e = traces.read(spark, str(tmp_path)).cache()
+    assert {(r.branch, r.agent, r["count"]) for r in e.groupBy("branch", "agent").count().collect()} == {(None, None, 4), ("r1", "x", 10), ("r2", "y", 10), ("lone", "lone", 1)}
+    tools = lambda name: {r.tool for r in e.join(traces.spans(e, agent=name), "session").where("index >= start and index < end and branch is not null").where(F.col("agent") == name).collect()}
+    assert tools("x") == {None, "T1"} and tools("y") == {None, "T2"} and traces.spans(e, agent="nobody").count() == 0
+    usage = lambda **x: traces.grade(e, {"u": {"kind": "tool-usage", "tool": "T1", **x}}).first().detail
+    assert usage() == "0" and usage(includeSidechains=True) == "9"
+    (tmp_path / "agent-3.jsonl").write_text("\n".join(map(json.dumps, [{"type": "user", "message": {"content": "write"}}, {"type": "assistant", "message": {"content": "done"}}])))
+    whole = traces.read(spark, str(tmp_path))
+    links = spark.createDataFrame([("agent-3", "main", "t3", "z")], "file string, session string, tool_id string, agent string")
+    s = traces.splice(whole.where("session = 'main'"), whole.where("session = 'agent-3'"), links).orderBy("index").collect()
+    assert [r["index"] for r in s] == list(range(27)) and [(r.text, r.agent) for r in s[4:6]] == [("write", "z"), ("done", "z")] and all(r.sidechain for r in s[4:])
+
+
 def test_alignment():
     a = templates.align_titles
     r = [{"name": "Intro"}, {"name": "Use", "required": False}, {"pattern": "^Step", "repeat": True}, {"name": "See also"}]
