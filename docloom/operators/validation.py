@@ -1,29 +1,19 @@
 """Validation of documents by JSON Schemas: which schemas apply, and what their keywords find.
 
-docs have _path and _data (JSON text). A schema is a dict; its keywords compile to conditions on the JVM over the parsed
-data, so that one scan tests all documents of a schema. Findings are (path, schema, pointer, keyword, message).
+docs have _path and _data (JSON text). A schema is a dict, compiled to an expression over the parsed data (schema.Compiler),
+so that one scan tests all documents. Findings are (path, schema, pointer, keyword, message).
 """
 
 from __future__ import annotations
 
-import json
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docloom.functions.text import matches_any
-
-#: Formats as patterns; others hold for every string.
-FORMATS = {
-    "date": r"^\d{4}-(0[1-9]|1[0-2])-(0[1-9]|[12]\d|3[01])$",
-    "date-time": r"^\d{4}-\d\d-\d\d[Tt]\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)$",
-    "email": r"^[^@\s]+@[^@\s]+\.[^@\s]+$",
-    "time": r"^\d\d:\d\d:\d\d(\.\d+)?([Zz]|[+-]\d\d:\d\d)?$",
-    "uri": r"^[A-Za-z][A-Za-z0-9+.-]*:\S*$",
-    "uuid": r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-}
-
+from docloom.operators.schema import PENDING, Compiler, error, nothing
+from docloom.plans.lineage import cut
 
 def resolve_schemas(docs: DataFrame, cli: list[str], overrides: list[dict], config: list[str], defaults: list[str], trust: bool = True) -> DataFrame:
     """(_path, schema, source): the command's schemas; else the document's own $schema, unless not trusted; else the first matching override that has schemas; else the configuration's; else the defaults.
@@ -43,105 +33,36 @@ def resolve_schemas(docs: DataFrame, cli: list[str], overrides: list[dict], conf
     return docs.select("_path", pick.alias("x")).select("_path", F.explode("x.schemas").alias("schema"), "x.source")
 
 
-def _at(pointer: list[str]) -> str:
-    return "$" + "".join("['" + k.replace("\\", "\\\\").replace("'", "\\'") + "']" for k in pointer)
-
-
-def _tests(schema: dict, v: Column, pointer: list[str], root: dict, depth: int = 0) -> list[tuple[Column, str, str, Column]]:
-    """(broken, pointer, keyword, message) of a schema for a variant value."""
-    if depth > 32:
-        raise ValueError("schemas nest or refer to themselves too deeply")
-    if "$ref" in schema:
-        target = root
-        for part in schema["$ref"].removeprefix("#/").split("/"):
-            target = target[part.replace("~1", "/").replace("~0", "~")]
-        return _tests(target, v, pointer, root, depth + 1)
-    here = "/" + "/".join(p.replace("~", "~0").replace("/", "~1") for p in pointer) if pointer else ""
-    kind, out = F.schema_of_variant(v), []
-    as_text, as_number = F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "double")
-    is_text, is_number = kind == "STRING", kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-    is_array, is_object = kind.startswith("ARRAY"), kind.startswith("OBJECT")
-    types = {"string": is_text, "number": is_number, "integer": is_number & (as_number == F.floor(as_number)), "boolean": kind == "BOOLEAN", "null": kind == "VOID", "array": is_array, "object": is_object}
-    there = v.isNotNull()
-    add = lambda broken, keyword, message: out.append((there & broken, here, keyword, F.lit(message) if isinstance(message, str) else message))
-    if "type" in schema:
-        wanted = [schema["type"]] if isinstance(schema["type"], str) else schema["type"]
-        add(~reduce(Column.__or__, (types[t] for t in wanted)), "type", f"must be {' or '.join(wanted)}")
-    if "enum" in schema or "const" in schema:
-        allowed = schema.get("enum", [schema.get("const")])
-        texts, numbers = [x for x in allowed if isinstance(x, str)], [float(x) for x in allowed if isinstance(x, int | float) and not isinstance(x, bool)]
-        ok = (is_text & as_text.isin(texts)) | (is_number & as_number.isin(numbers)) | ((kind == "VOID") & F.lit(None in allowed)) | ((kind == "BOOLEAN") & as_text.isin([json.dumps(x) for x in allowed if isinstance(x, bool)]))
-        add(~F.coalesce(ok, F.lit(False)), "enum" if "enum" in schema else "const", f"must be one of {json.dumps(allowed, ensure_ascii=False)}")
-    if "pattern" in schema:
-        add(is_text & ~as_text.rlike(schema["pattern"]), "pattern", f"must match {schema['pattern']}")
-    if schema.get("format") in FORMATS:
-        add(is_text & ~as_text.rlike(FORMATS[schema["format"]]), "format", f"must be a {schema['format']}")
-    for word, compare in (("minimum", lambda n: as_number < n), ("maximum", lambda n: as_number > n), ("exclusiveMinimum", lambda n: as_number <= n), ("exclusiveMaximum", lambda n: as_number >= n)):
-        if word in schema:
-            add(is_number & compare(schema[word]), word, f"must have {word} {schema[word]}")
-    if "multipleOf" in schema:
-        ratio = as_number / schema["multipleOf"]
-        add(is_number & (F.abs(ratio - F.round(ratio)) > 1e-9), "multipleOf", f"must be a multiple of {schema['multipleOf']}")
-    for word, broken in (("minLength", lambda n: F.char_length(as_text) < n), ("maxLength", lambda n: F.char_length(as_text) > n)):
-        if word in schema:
-            add(is_text & broken(schema[word]), word, f"must have {word} {schema[word]}")
-    items = F.try_variant_get(v, "$", "array<variant>")
-    for word, broken in (("minItems", lambda n: F.size(items) < n), ("maxItems", lambda n: F.size(items) > n)):
-        if word in schema:
-            add(is_array & broken(schema[word]), word, f"must have {word} {schema[word]}")
-    if schema.get("uniqueItems"):
-        add(is_array & (F.size(F.array_distinct(F.transform(items, lambda x: F.to_json(x)))) < F.size(items)), "uniqueItems", "must not repeat an item")
-    if isinstance(schema.get("items"), dict):
-        for i, (_, below, keyword, message) in enumerate(_tests(schema["items"], v, [], root, depth + 1)):
-            if below:
-                raise ValueError("items with properties of their own aren't supported")
-
-            def broken(x: Column, i: int = i) -> Column:
-                return F.coalesce(_tests(schema["items"], x, [], root, depth + 1)[i][0], F.lit(False))
-
-            add(is_array & F.exists(items, lambda x: broken(x)), f"items/{keyword}", message)  # noqa: B023, PLW0108  # called at once, with one argument
-    keys = F.json_object_keys(F.to_json(v))
-    for k in schema.get("required", []):
-        add(is_object & ~F.array_contains(keys, k), "required", f"must have {k}")
-    for word, broken in (("minProperties", lambda n: F.size(keys) < n), ("maxProperties", lambda n: F.size(keys) > n)):
-        if word in schema:
-            add(is_object & broken(schema[word]), word, f"must have {word} {schema[word]}")
-    if schema.get("additionalProperties") is False:
-        extra = F.array_except(keys, F.array(*map(F.lit, schema.get("properties", {}))).cast("array<string>"))
-        add(is_object & (F.size(extra) > 0), "additionalProperties", F.concat(F.lit("must not have "), F.array_join(F.array_sort(extra), ", ")))
-    for k, below in schema.get("properties", {}).items():
-        out += _tests(below, F.try_variant_get(v, _at([k]), "variant"), [*pointer, k], root, depth + 1)
-    for word, least, most in (("allOf", None, None), ("anyOf", 1, None), ("oneOf", 1, 1)):
-        if word in schema:
-            parts = [_tests(s, v, pointer, root, depth + 1) for s in schema[word]]
-            if word == "allOf":
-                out += [t for p in parts for t in p]
-                continue
-            hold = reduce(Column.__add__, (F.when(reduce(Column.__or__, (F.coalesce(t[0], F.lit(False)) for t in p), F.lit(False)), 0).otherwise(1) for p in parts))
-            add((hold < least) | (F.lit(False) if most is None else hold > most), word, f"must match {'one' if most else 'any'} of the schemas")
-    if "not" in schema:
-        add(~reduce(Column.__or__, (F.coalesce(t[0], F.lit(False)) for t in _tests(schema["not"], v, pointer, root, depth + 1)), F.lit(False)), "not", "must not match the schema")
-    return out
-
-
 def validate(docs: DataFrame, schemas: dict[str, dict], assigned: DataFrame | None = None) -> DataFrame:
     """(path, schema, pointer, keyword, message) of each keyword that a document breaks; without ``assigned`` (_path, schema) all schemas apply to all.
 
-    Data that isn't JSON breaks the keyword "parse". An unknown schema name in ``assigned`` breaks "schema".
+    Data that isn't JSON breaks the keyword "parse". An unknown schema name in ``assigned`` breaks "schema". Keywords and
+    formats that aren't supported are refused. A schema that refers to itself takes a round for each level of the data.
     """
-    d = docs.select("_path", F.try_parse_json("_data").alias("v"))
+    c = Compiler(schemas)
+    d = docs.select(F.col("_path").alias("path"), F.try_parse_json("_data").alias("v"))
     if assigned is not None:
-        d = d.join(assigned.select("_path", "schema"), "_path")
+        d = d.join(assigned.select(F.col("_path").alias("path"), "schema"), "path")
     else:
         d = d.withColumn("schema", F.explode(F.array(*map(F.lit, schemas))))
-    each = []
-    for name, schema in schemas.items():
-        tests = [(F.col("v").isNull(), "", "parse", F.lit("must be JSON")), *_tests(schema, F.col("v"), [], schema)]
-        rows = F.array(*(F.when(F.coalesce(b, F.lit(False)), F.struct(F.lit(p).alias("pointer"), F.lit(k).alias("keyword"), m.alias("message"))) for b, p, k, m in tests))
-        each.append((F.col("schema") == name, F.array_compact(rows)))
-    missing = F.array(F.struct(F.lit("").alias("pointer"), F.lit("schema").alias("keyword"), F.concat(F.lit("unknown schema "), "schema").alias("message")))
-    pick = reduce(lambda acc, x: F.when(x[0], x[1]).otherwise(acc), each, missing)
-    return d.select(F.col("_path").alias("path"), "schema", F.explode(pick).alias("x")).select("path", "schema", "x.*")
+    own = lambda keyword, message: F.array(error(F.lit(""), keyword, message))
+    pick = own("schema", F.concat(F.lit("unknown schema "), "schema"))
+    for name in schemas:
+        pick = F.when(F.col("schema") == name, F.when(F.col("v").isNull(), own("parse", "must be JSON")).otherwise(c.errors(name, F.col("v")))).otherwise(pick)
+    found = d.select("path", "schema", F.explode(pick).alias("x")).select("path", "schema", "x.*")
+    if not c.pending:
+        return found.drop("value")
+    out = []
+    while True:
+        found = cut(found)
+        out.append(found.where(F.col("keyword") != PENDING).drop("value"))
+        wait = found.where(F.col("keyword") == PENDING)
+        if wait.isEmpty():
+            return reduce(DataFrame.union, out)
+        pick = nothing()
+        for key in list(c.pending):
+            pick = F.when(F.col("message") == key, c.errors(key, F.col("value"), F.col("pointer"))).otherwise(pick)
+        found = wait.select("path", "schema", F.explode(pick).alias("x")).select("path", "schema", "x.*")
 
 
 def run_checks(docs: DataFrame, checks: dict[str, str]) -> DataFrame:
@@ -178,10 +99,10 @@ def derive_fields(evidence: DataFrame, order: dict[str, list[str]]) -> DataFrame
 def fill(proposals: DataFrame, schema: dict, least: float = 0.7) -> DataFrame:
     """(path, key, value, confidence): of proposals (path, key, value JSON, confidence) the surest of each key that is declared, sure enough and valid by its own schema."""
     best = proposals.where(F.col("confidence") >= least).groupBy("path", "key").agg(F.max_by("value", F.struct("confidence", "value")).alias("value"), F.max("confidence").alias("confidence"))
-    ok = F.lit(False)
+    c, ok = Compiler({"": schema}), F.lit(False)
     for k, below in schema.get("properties", {}).items():
-        broken = reduce(Column.__or__, (F.coalesce(t[0], F.lit(False)) for t in _tests(below, F.try_parse_json("value"), [], schema)), F.try_parse_json("value").isNull())
-        ok = F.when(F.col("key") == k, ~broken).otherwise(ok)
+        v = F.try_parse_json("value")
+        ok = F.when(F.col("key") == k, v.isNotNull() & c.valid(below, v, "")).otherwise(ok)
     return best.where(ok)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from docloom.operators import context, glossary, links, pins, strategy, templates, traces, triples, validation, writeback
+from docloom.operators import context, glossary, links, ordered, pins, provenance, strategy, templates, traces, triples, validation, writeback
 from docloom.plans.glossary import TERMS, terms_of
 from docloom.plans.toolkit import query, table
 from docloom.sources import formats, structure
@@ -234,6 +234,69 @@ def writeback_apply(spark, d):
     return writeback.apply(c, b).select("_path", F.size(F.json_object_keys("_data")).alias("keys"))
 
 
+#: Orders as documents with items: members by pattern, conditions, references and what is left over.
+NESTED = {
+    "$defs": {"item": {"type": "object", "required": ["n"], "properties": {"n": {"type": "integer"}, "q": {"type": "number"}, "flag": {"enum": ["A", "N", "R"]}}, "patternProperties": {"^x_[1-4]$": {"type": "number", "maximum": 40}}, "additionalProperties": {"type": "string"}}},
+    "type": "object",
+    "properties": {"status": {"type": "string"}, "closed": {}, "by": {}, "items": {"type": "array", "items": {"$ref": "#/$defs/item", "maxProperties": 4}, "contains": {"properties": {"flag": {"const": "R"}}, "required": ["flag"]}, "maxContains": 3}},
+    "if": {"properties": {"status": {"const": "F"}}}, "then": {"required": ["closed"]}, "else": {"properties": {"items": {"maxItems": 6}}},
+    "dependentRequired": {"closed": ["by"]}, "unevaluatedProperties": False,
+}
+_NESTED = """WITH i AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) - 1 AS k FROM lineitem), o AS (SELECT o_orderkey AS key, CAST(o_orderkey AS VARCHAR) AS path, o_orderstatus AS status, o_orderkey % 3 = 0 AS closed, o_orderkey % 6 = 0 AS named, o_orderkey % 50 = 0 AS extra, count(*) AS n, count(*) FILTER (WHERE l_returnflag = 'R') AS r FROM orders JOIN i ON l_orderkey = o_orderkey GROUP BY ALL),
+t AS (SELECT CAST(l_orderkey AS VARCHAR) AS path, '/items/' || k AS spot, l_linenumber AS l, l_quantity AS q, l_partkey % 20 = 0 AS z FROM i JOIN orders ON o_orderkey = l_orderkey)"""
+
+
+@query(_NESTED + """ SELECT path, spot || '/x_' || l AS pointer, CASE WHEN l <= 4 THEN 'maximum' ELSE 'type' END AS keyword FROM t WHERE l > 4 OR q > 40 UNION ALL SELECT path, spot || '/z', 'type' FROM t WHERE z UNION ALL SELECT path, spot, 'maxProperties' FROM t WHERE z UNION ALL SELECT path, '/items', 'contains' FROM o WHERE r NOT BETWEEN 1 AND 3
+UNION ALL SELECT path, '', 'required' FROM o WHERE status = 'F' AND NOT closed UNION ALL SELECT path, '/items', 'maxItems' FROM o WHERE status <> 'F' AND n > 6 UNION ALL SELECT path, '', 'dependentRequired' FROM o WHERE closed AND NOT named UNION ALL SELECT path, '', 'unevaluatedProperties' FROM o WHERE extra""")
+def validate_nested(spark, d):
+    c = F.col
+    q = c("l_quantity").cast("string")
+    item = F.concat(F.lit('{"n":'), c("l_linenumber").cast("string"), F.lit(',"q":'), q, F.lit(',"flag":"'), "l_returnflag", F.lit('","x_'), c("l_linenumber").cast("string"), F.lit('":'), q, F.when(c("l_partkey") % 20 == 0, ',"z":1').otherwise(""), F.lit("}"))
+    li = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", item.alias("item")))).alias("x"))
+    o = table(spark, d, "orders").join(li, c("o_orderkey") == c("l_orderkey"))
+    key = c("o_orderkey")
+    data = F.concat(F.lit('{"status":"'), "o_orderstatus", F.lit('","items":['), F.array_join(F.transform("x", lambda e: e["item"]), ","), F.lit("]"), F.when(key % 3 == 0, ',"closed":true').otherwise(""), F.when(key % 6 == 0, ',"by":"x"').otherwise(""), F.when(key % 50 == 0, ',"extra":null').otherwise(""), F.lit("}"))
+    return validation.validate(o.select(key.cast("string").alias("_path"), data.alias("_data")), {"order": NESTED}).select("path", "pointer", "keyword")
+
+
+# ---- histories --------------------------------------------------------------------------------------------------
+
+_EDITS = """WITH RECURSIVE e AS (SELECT user_id AS u, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS c, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE event_type WHEN 'view' THEN 3 WHEN 'click' THEN 1 WHEN 'error' THEN 0 ELSE 2 END AS n, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 2 ELSE 1 END AS o FROM events),
+r AS (SELECT DISTINCT u, CAST(0 AS BIGINT) AS c, CAST([] AS BIGINT[]) AS ls FROM e UNION ALL SELECT r.u, e.c, list_concat(list_concat(r.ls[1:least(e.k, len(r.ls))], CAST([e.c FOR x IN range(e.n)] AS BIGINT[])), r.ls[least(e.k, len(r.ls)) + least(e.o, len(r.ls) - least(e.k, len(r.ls))) + 1:]) FROM r JOIN e ON e.u = r.u AND e.c = r.c + 1)"""
+
+
+def _edits(spark, d):
+    """Each user is a file and each event a commit that puts n lines in place of o lines after line k; every tenth commit renames the file."""
+    from pyspark.sql import Window
+
+    t, w = F.col("event_type"), Window.partitionBy("user_id").orderBy("event_id")
+    e = table(spark, d, "events").select("user_id", F.row_number().over(w).cast("long").alias("commit"), F.get_json_object("props", "$.k").cast("long").alias("k"), F.when(t == "view", 3).when(t == "click", 1).when(t == "error", 0).otherwise(2).cast("long").alias("n"), F.when(t == "view", 0).when(t == "click", 2).otherwise(1).cast("long").alias("o"))
+    # the length before each commit follows from all before it
+    e = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("commit", "k", "n", "o"))).alias("x"))
+    first = F.struct(F.lit(0).cast("long").alias("size"), F.expr("cast(array() as array<struct<commit: long, at: long, n: long, o: long>>)").alias("out"))
+    grown = F.aggregate("x", first, lambda a, y: F.struct((a["size"] + y["n"] - F.least(y["o"], a["size"] - F.least(y["k"], a["size"]))).alias("size"), F.array_append(a["out"], F.struct(y["commit"].alias("commit"), F.least(y["k"], a["size"]).alias("at"), y["n"].alias("n"), F.least(y["o"], a["size"] - F.least(y["k"], a["size"])).alias("o"))).alias("out")))
+    e = e.select("user_id", F.explode(grown["out"]).alias("x")).select("user_id", "x.*")
+    name = lambda c: F.concat("user_id", F.lit("."), F.floor(c / 10).cast("string"))
+    here = name(F.col("commit"))
+    edits = e.where("n > 0 or o > 0").select(here.alias("path"), "commit", (F.col("at") + (F.col("o") > 0).cast("long")).alias("old_first"), F.col("o").alias("old_count"), (F.col("at") + (F.col("n") > 0).cast("long")).alias("new_first"), F.col("n").alias("new_count"))
+    return edits, e.where("commit % 10 = 0").select("commit", name(F.col("commit") - 1).alias("was"), here.alias("path"))
+
+
+@query(_EDITS + ", z AS (SELECT u, max(c) AS c FROM r GROUP BY u), f AS (SELECT r.u, r.c, r.ls FROM r JOIN z ON z.u = r.u AND z.c = r.c) SELECT u || '.' || CAST(c // 10 AS BIGINT) AS path, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS commit FROM f")
+def line_origins(spark, d):
+    return provenance.blame(*_edits(spark, d)).select("path", "line", "commit")
+
+
+@query("SELECT e.event_id, o.o_orderkey, o.o_orderdate FROM (SELECT *, CASE WHEN event_id % 2 = 0 THEN 7 ELSE user_id END AS k FROM events) e ASOF LEFT JOIN (SELECT CASE WHEN o_orderkey % 2 = 0 THEN 7 ELSE o_custkey % 150 END AS k, date_trunc('day', o_orderdate) + (o_orderkey % 1440) * INTERVAL 1 MINUTE AS o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL) o ON e.k = o.k AND e.ts >= o.o_orderdate")
+def asof_orders(spark, d):
+    """Half of either side has one key."""
+    hot = lambda i, c: F.when(F.col(i) % 2 == 0, 7).otherwise(c).cast("long").alias("k")
+    e = table(spark, d, "events").select(hot("event_id", F.col("user_id")), "event_id", "ts")
+    when = F.date_trunc("day", "o_orderdate") + F.make_dt_interval(mins=(F.col("o_orderkey") % 1440).cast("int"))
+    o = table(spark, d, "orders").select(hot("o_orderkey", F.col("o_custkey") % 150), when.alias("ts"), "o_orderkey")
+    return ordered.asof_join(e, o, ["k"], "ts").select("event_id", "o_orderkey", F.col("right_ts").alias("o_orderdate"))
+
+
 # ---- pins and sessions ------------------------------------------------------------------------------------------
 
 _C = """WITH t AS (SELECT doc_id AS k, CAST(doc_id AS VARCHAR) AS path, string_split(replace(text || CASE WHEN doc_id % 7 = 0 THEN chr(10) || chr(10) WHEN doc_id % 7 = 1 THEN chr(13) WHEN doc_id % 7 = 2 THEN chr(13) || chr(10) ELSE '' END, chr(13) || chr(10), chr(10)), chr(10)) AS ls FROM documents WHERE text IS NOT NULL),

@@ -203,13 +203,49 @@ def test_schema_keywords(spark):
     got = {}
     for r in validation.validate(d, {"s": s}).collect():
         got.setdefault(int(r.path), set()).add((r.pointer, r.keyword))
-    assert got == {1: {("/a", "exclusiveMinimum"), ("", "oneOf")}, 2: {("/a", "type")}, 3: {("/s", "minLength"), ("/s", "format")}, 4: {("/l", "items/enum")}, 5: {("/l", "maxItems")}, 6: {("/n", "not")}, 7: {("/o", "required")}, 8: {("/o/k", "type")}, 10: {("", "type"), ("", "oneOf")}, 11: {("", "parse")}, 12: {("/b", "const")}}
+    assert got == {1: {("/a", "exclusiveMinimum"), ("", "oneOf")}, 2: {("/a", "type")}, 3: {("/s", "minLength"), ("/s", "format")}, 4: {("/l/1", "enum")}, 5: {("/l", "maxItems")}, 6: {("/n", "not")}, 7: {("/o", "required")}, 8: {("/o/k", "type")}, 10: {("", "type"), ("", "oneOf")}, 11: {("", "parse")}, 12: {("/b", "const")}}
     found = validation.run_checks(d.withColumn("n", F.length("_data")), {"long": "select _path as path, n from docs where n > 20", "lost": "select 'zz' as path, 'm' as message from docs limit 1"})
     assert {(r.path, r.keyword) for r in found.collect()} >= {("zz", "lost"), ("05", "long")}
     prop = spark.createDataFrame([("p", "a", "5", 0.9), ("p", "a", "6", 0.95), ("p", "s", '"x"', 0.9), ("p", "zz", "1", 1.0), ("q", "a", "7", 0.6)], "path string, key string, value string, confidence double")
     assert rows(validation.fill(prop, s), "path", "key", "value") == [("p", "a", "6")]
 
 
+KEYWORD_CASES = [
+    ({"patternProperties": {"^n": {"type": "number"}}, "additionalProperties": {"type": "string"}, "properties": {"a": True}}, [('{"a":[],"n1":1,"z":"x"}', []), ('{"n1":"x","z":1}', ["/n1 type", "/z type"])]),
+    ({"patternProperties": {"^n": {}}, "properties": {"a": {}}, "additionalProperties": False}, [('{"a":1,"nn":2}', []), ('{"a":1,"b":2}', [" additionalProperties"])]),
+    ({"prefixItems": [{"type": "string"}, {"type": "number"}], "items": {"type": "object", "required": ["k"], "properties": {"k": {"items": {"minimum": 3}}}}}, [('["a",1,{"k":[3]}]', []), ('[1,"a",{},{"k":[5,2]}]', ["/0 type", "/1 type", "/2 required", "/3/k/1 minimum"]), ('["a"]', []), ("[]", []), ("3", [])]),
+    ({"items": [{"type": "string"}], "additionalItems": False}, [('["a"]', []), ('["a",1]', ["/1 false schema"])]),
+    ({"contains": {"const": {"a": [1, {"b": None}]}}, "maxContains": 1}, [('[{"a":[1.0,{"b":null}]}]', []), ('[{"a":[1,{}]}]', [" contains"]), ('[{"a":[1,{"b":null}]},{"a":[1,{"b":null}]}]', [" contains"])]),
+    ({"enum": [[1, 2], {"x": True}]}, [("[1,2]", []), ("[2,1]", [" enum"]), ('{"x":true}', []), ('{"x":true,"y":1}', [" enum"])]),
+    ({"if": {"properties": {"t": {"const": "a"}}, "required": ["t"]}, "then": {"required": ["x"]}, "else": {"required": ["y"]}}, [('{"t":"a","x":1}', []), ('{"t":"a"}', [" required"]), ('{"t":"b","x":1}', [" required"]), ('{"y":0}', [])]),
+    ({"dependentRequired": {"a": ["b", "c"]}, "dependentSchemas": {"d": {"properties": {"e": {"type": "null"}}}}}, [('{"a":1,"b":1}', [" dependentRequired"]), ('{"d":1,"e":1}', ["/e type"]), ('{"e":1}', []), ('{"d":1,"e":null}', [])]),
+    ({"$defs": {"n": {"type": "number"}}, "$ref": "#/$defs/n", "minimum": 3}, [("4", []), ("2", [" minimum"]), ('"x"', [" type"])]),
+    ({"propertyNames": {"pattern": "^[a-z]+$", "maxLength": 3}}, [('{"ab":1}', []), ('{"ab":1,"Ab":1,"abcd":2}', [" propertyNames", " propertyNames"])]),
+    ({"properties": {"a": {}}, "anyOf": [{"properties": {"b": {"type": "number"}}, "required": ["b"]}, {"properties": {"c": {}}, "required": ["c"]}], "unevaluatedProperties": False}, [('{"a":1,"b":2}', []), ('{"a":1,"b":"x","c":1}', [" unevaluatedProperties"]), ('{"a":1,"c":2}', []), ('{"b":2,"z":1}', [" unevaluatedProperties"])]),
+    ({"allOf": [{"prefixItems": [{}]}, {"if": {"minItems": 3}, "then": {"prefixItems": [{}, {}]}}], "unevaluatedItems": {"type": "string"}}, [('[1]', []), ('[1,2]', ["/1 type"]), ('[1,2,"x"]', []), ('[1,2,3,"y"]', ["/2 type"])]),
+    ({"oneOf": [{"type": "array", "items": {"type": "string"}}, {"type": "array", "maxItems": 1}]}, [('["a","b"]', []), ('["a"]', [" oneOf"]), ("[1]", [])]),
+    ({"format": "date"}, [('"2024-02-29"', []), ('"2024-02-31"', [" format"]), ('"2023-02-29"', [" format"]), ("5", [])]),
+    ({"properties": {"a/b~c": {"type": "string"}}, "not": {"required": ["bad"]}}, [('{"a/b~c":1}', ["/a~1b~0c type"]), ('{"bad":1}', [" not"])]),
+    ({"$id": "tree", "type": "object", "properties": {"v": {"type": "number"}, "kids": {"type": "array", "items": {"$ref": "#"}}}, "required": ["v"]}, [('{"v":1,"kids":[{"v":2,"kids":[{"v":"x"}]},{}]}', ["/kids/0/kids/0/v type", "/kids/1 required"]), ('{"v":1,"kids":[{"v":1}]}', [])]),
+    (False, [("1", [" false schema"])]),
+    (True, [("1", [])]),
+]
+
+
+def test_schema_applicators(spark):
+    schemas = {f"s{i}": s for i, (s, _) in enumerate(KEYWORD_CASES)}
+    data = [(f"s{i}", f"s{i}-{j}", text) for i, (_, cases) in enumerate(KEYWORD_CASES) for j, (text, _) in enumerate(cases)]
+    d = spark.createDataFrame(data, "schema string, _path string, _data string")
+    got = {}
+    for r in validation.validate(d.select("_path", "_data"), schemas, d.select("_path", "schema")).collect():
+        got.setdefault(r.path, []).append(f"{r.pointer} {r.keyword}")
+    want = {f"s{i}-{j}": found for i, (_, cases) in enumerate(KEYWORD_CASES) for j, (_, found) in enumerate(cases) if found}
+    assert {k: sorted(v) for k, v in got.items()} == want
+    for bad in ({"unknown": 1}, {"properties": {"a": {"$dynamicRef": "#x"}}}, {"format": "colour"}, {"$ref": "#/$defs/no"}, {"$ref": "#"}, {"anyOf": [{"properties": {"a": {"$ref": "#"}}}]}):
+        with pytest.raises(ValueError, match="unsupported|unknown|itself"):
+            validation.validate(d, {"s": bad})
+
+
 def test_alter_schema():
     s = {"properties": {"a": {}, "b": {}}, "required": ["a"]}
     assert writeback.alter(s, add={"c": {}})["properties"] == {"a": {}, "b": {}, "c": {}}
