@@ -24,6 +24,9 @@ KEYWORDS = frozenset(
     "$ref type enum const pattern format minimum maximum exclusiveMinimum exclusiveMaximum multipleOf minLength maxLength minItems maxItems uniqueItems items prefixItems additionalItems contains minContains maxContains "
     "required minProperties maxProperties properties patternProperties additionalProperties propertyNames dependentRequired dependentSchemas dependencies allOf anyOf oneOf not if then else unevaluatedProperties unevaluatedItems".split()
 )
+#: Those that look at an object's keys, and at an array's items.
+MEMBERS = frozenset("required minProperties maxProperties patternProperties additionalProperties propertyNames dependentRequired dependentSchemas dependencies unevaluatedProperties".split())
+ITEMS = frozenset("minItems maxItems uniqueItems items prefixItems additionalItems contains unevaluatedItems".split())
 #: Formats as patterns; dates are also looked up in the calendar.
 FORMATS = {
     "date": r"^\d{4}-\d\d-\d\d$",
@@ -60,10 +63,6 @@ def member(v: Column, key: str) -> Column:
     return F.try_variant_get(v, "$['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']", "variant")
 
 
-def entries(v: Column) -> Column:
-    return F.map_entries(F.try_variant_get(v, "$", "map<string, variant>"))
-
-
 def keys_of(v: Column) -> Column:
     return F.map_keys(F.try_variant_get(v, "$", "map<string, variant>"))
 
@@ -148,10 +147,19 @@ class Compiler:
             return F.when(v.isNotNull(), F.array(error(at, "false schema", "must not be there"))).otherwise(nothing())
         if unknown := sorted(k for k in schema if k not in KEYWORDS and k not in ANNOTATIONS and not k.startswith("x-")):
             raise ValueError(f"unsupported keywords: {', '.join(unknown)}")
-        whole = F.struct(v.alias("v"), F.schema_of_variant(v).alias("kind"), at.alias("at"))
-        return F.when(v.isNull(), nothing()).otherwise(let(whole, lambda s: self._of(schema, s["v"], s["kind"], s["at"], base, above, told)))
-
-    def _of(self, schema: dict, v: Column, kind: Column, at: Column, base: str, above: dict[str, bool], told: bool) -> Column:
+        if not set(schema) - ANNOTATIONS:
+            return nothing()
+        # what several keywords look at is made once
+        held = {"v": v, "kind": F.schema_of_variant(v), "at": at}
+        if MEMBERS & set(schema):
+            held["members"] = F.try_variant_get(v, "$", "map<string, variant>")
+        if ITEMS & set(schema):
+            held["items"] = items_of(v)
+        whole = F.struct(*(c.alias(n) for n, c in held.items()))
+        return F.when(v.isNull(), nothing()).otherwise(let(whole, lambda s: self._of(schema, {n: s[n] for n in held}, base, above, told)))
+
+    def _of(self, schema: dict, held: dict[str, Column], base: str, above: dict[str, bool], told: bool) -> Column:
+        v, kind, at = held["v"], held["kind"], held["at"]
         tests: list[tuple[Column, Column]] = []
         lists: list[Column] = []
         add = lambda broken, keyword, message: tests.append((broken, error(at, keyword, message)))
@@ -161,7 +169,8 @@ class Compiler:
         ok = lambda s, x=v: F.size(self._errors(s, x, F.lit(""), base, above if x is v else inside, False)) == 0
         is_text, is_number, is_array, is_object = kind == "STRING", number(kind), kind.startswith("ARRAY"), kind.startswith("OBJECT")
         text, value = F.try_variant_get(v, "$", "string"), F.try_variant_get(v, "$", "double")
-        items, keys = items_of(v), keys_of(v)
+        items, members = held.get("items"), held.get("members")
+        keys = None if members is None else F.map_keys(members)
 
         if "$ref" in schema:
             s, b = self.target(schema["$ref"], base)
@@ -197,12 +206,12 @@ class Compiler:
         if "multipleOf" in schema:
             ratio = value / F.lit(float(schema["multipleOf"]))
             add(is_number & (F.abs(ratio - F.round(ratio)) > 1e-9), "multipleOf", f"must be a multiple of {schema['multipleOf']}")
-        sizes = {"Length": (is_text, F.char_length(text)), "Items": (is_array, F.size(items)), "Properties": (is_object, F.size(keys))}
+        sizes = {"Length": (is_text, lambda: F.char_length(text)), "Items": (is_array, lambda: F.size(items)), "Properties": (is_object, lambda: F.size(members))}
         for what, (applies, size) in sizes.items():
             if f"min{what}" in schema:
-                add(applies & (size < schema[f"min{what}"]), f"min{what}", f"must have min{what} {schema[f'min{what}']}")
+                add(applies & (size() < schema[f"min{what}"]), f"min{what}", f"must have min{what} {schema[f'min{what}']}")
             if f"max{what}" in schema:
-                add(applies & (size > schema[f"max{what}"]), f"max{what}", f"must have max{what} {schema[f'max{what}']}")
+                add(applies & (size() > schema[f"max{what}"]), f"max{what}", f"must have max{what} {schema[f'max{what}']}")
 
         if schema.get("uniqueItems"):
             add(is_array & (F.size(F.array_distinct(F.transform(items, lambda x: F.to_json(x)))) < F.size(items)), "uniqueItems", "must not repeat an item")  # noqa: PLW0108
@@ -225,14 +234,14 @@ class Compiler:
         for k, s in own.items():
             lists.append(F.when(is_object, below(s, member(v, k), step(at, k))))
         for p, s in patterns.items():
-            lists.append(self._members(v, is_object, lambda k, p=p: k.rlike(p), lambda k, x, s=s: below(s, x, step(at, k))))
+            lists.append(self._members(members, is_object, lambda k, p=p: k.rlike(p), lambda k, x, s=s: below(s, x, step(at, k))))
         if "additionalProperties" in schema:
             s = schema["additionalProperties"]
             if s is False:
                 extra = F.filter(keys, lambda k: self._others(k, own, patterns))
                 add(is_object & (F.size(extra) > 0), "additionalProperties", F.concat(F.lit("must not have "), F.array_join(F.array_sort(extra), ", ")))
             else:
-                lists.append(self._members(v, is_object, lambda k: self._others(k, own, patterns), lambda k, x: below(s, x, step(at, k))))
+                lists.append(self._members(members, is_object, lambda k: self._others(k, own, patterns), lambda k, x: below(s, x, step(at, k))))
         if "propertyNames" in schema:
             named = F.transform(keys, lambda k: F.when(~ok(schema["propertyNames"], _text(k)), error(at, "propertyNames", F.concat(F.lit("must not have the name "), k))))
             lists.append(F.when(is_object, F.array_compact(named)))
@@ -260,7 +269,7 @@ class Compiler:
                 extra = F.array_except(keys, seen)
                 add(is_object & (F.size(extra) > 0), "unevaluatedProperties", F.concat(F.lit("must not have "), F.array_join(F.array_sort(extra), ", ")))
             else:
-                lists.append(self._members(v, is_object, lambda k: ~F.array_contains(seen, k), lambda k, x: below(s, x, step(at, k))))
+                lists.append(self._members(members, is_object, lambda k: ~F.array_contains(seen, k), lambda k, x: below(s, x, step(at, k))))
         if "unevaluatedItems" in schema:
             seen, s = self._indices({k: x for k, x in schema.items() if k != "unevaluatedItems"}, v, base), schema["unevaluatedItems"]
             left = F.array_except(indices(v), seen)
@@ -273,9 +282,9 @@ class Compiler:
             lists.insert(0, F.array_compact(F.array(*(F.when(F.coalesce(b, F.lit(False)), e) for b, e in tests))))
         return F.concat(*(F.coalesce(x, nothing()) for x in lists)) if lists else nothing()
 
-    def _members(self, v: Column, applies: Column, which: Callable, of: Callable) -> Column:
+    def _members(self, members: Column, applies: Column, which: Callable, of: Callable) -> Column:
         """The errors of an object's members of some keys."""
-        return F.when(applies, F.flatten(F.transform(F.filter(entries(v), lambda e: which(e["key"])), lambda e: of(e["key"], e["value"]))))
+        return F.when(applies, F.flatten(F.transform(F.filter(F.map_entries(members), lambda e: which(e["key"])), lambda e: of(e["key"], e["value"]))))
 
     @staticmethod
     def _others(k: Column, own: dict, patterns: dict) -> Column:
