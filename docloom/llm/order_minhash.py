@@ -1,7 +1,8 @@
 """Document fingerprints by order MinHash.
 
-The units of a text are its words; a word of more than MAX_WORD bytes, as in scripts without spaces, is one unit for each
-of its characters. This holds word by word, so that a text and its edited text agree where they are equal. Each run of
+The units of a text are pieces of its words: a word is cut before each character whose four preceding bytes hash to one in
+CUT_ONE_IN values, which is about as often in words of any length and script, and cuts a long word without spaces where
+its own bytes say so. So texts agree in their units wherever they are equal, but for a few bytes beside an edit. Each run of
 k units is numbered by its occurrence; each of m hash functions selects the two least numbered runs, keeps them in text
 order and hashes the pair. The share of equal positions of two fingerprints falls with their edit distance, also where
 runs only change places.
@@ -23,34 +24,62 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import WordHash, mix, word_hashes
+from docloom.llm.common import WHITE, column, mix
 
-K, HASHES, MAX_WORD = 3, 48, 24
+K, HASHES, CUT_ONE_IN = 3, 48, 8
+#: Bytes whose units are made at once.
+LOT = 1 << 20
 _rng = np.random.default_rng(6)
 _MULT = _rng.integers(0, 2**63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def units(text: str, cache: WordHash) -> np.ndarray:
-    """Hashes of the units."""
-    words = text.encode("utf-8", "surrogatepass").split()
-    if not words or max(map(len, words)) <= MAX_WORD:
-        return word_hashes(words, cache)
-    out, short = [], []
-    for w in words:
-        if len(w) <= MAX_WORD:
-            short.append(w)
-            continue
-        if short:
-            out.append(word_hashes(short, cache))
-            short = []
-        out.append(mix(np.frombuffer(w.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)))
-    return np.concatenate([*out, word_hashes(short, cache)])
-
-
-def fingerprint(text: str, cache: WordHash) -> np.ndarray:
+_VALUE = _rng.integers(0, 2**64, 256, np.uint64)
+_BASE = 0xD1342543DE82EF95
+_pow = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_SPACE = np.isin(np.arange(256), list(WHITE.encode()))
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd number and of its inverse, modulo 2^64; kept, and longer by doubling."""
+    while len(_pow[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
+            _pow[i] = np.concatenate([_pow[i], _pow[i] * np.uint64(pow(base, len(_pow[i]), 2**64))])
+    return _pow[0][:n], _pow[1][:n]
+
+
+def _units(b: np.ndarray) -> np.ndarray:
+    """Hashes of the units of some bytes: sums of their values times powers by place, over the power of the first."""
+    inside = np.concatenate([[False], ~_SPACE[b], [False]])
+    first = np.flatnonzero(inside[1:-1] & ~inside[:-2])
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    word_end = np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
+    before = np.zeros(len(b), np.uint32)
+    for k in range(1, 5):
+        before[k:] |= b[:-k].astype(np.uint32) << np.uint32(8 * (k - 1))
+    cut = inside[1:-1] & inside[:-2] & ((b & 0xC0) != 0x80) & ((before * np.uint32(0x9E3779B1)) >> np.uint32(16) < 65_536 // CUT_ONE_IN)
+    cut[first] = True
+    start = np.flatnonzero(cut)
+    end = np.minimum(np.append(start[1:], len(b)), word_end[np.searchsorted(first, start, "right") - 1])
+    up, down = _powers(len(b))
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[b] * up, dtype=np.uint64)])
+    return mix((sums[end] - sums[start]) * down[start])
+
+
+def units(text: str) -> np.ndarray:
+    """Hashes of the units of a text, LOT bytes of it at a time, cut at white space where there is any."""
+    b, at, out = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), 0, []
+    while at < len(b):
+        end = min(at + LOT, len(b))
+        near = np.flatnonzero(_SPACE[b[end : end + 4096]])
+        end += int(near[0]) if len(near) else 0
+        out.append(_units(b[at:end]))
+        at = end
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def fingerprint(text: str) -> np.ndarray:
     """HASHES 32-bit values; none where the text has no units."""
-    u = units(text, cache)
+    u = units(text)
     if not len(u):
         return np.zeros(0, np.uint32)
     k = min(K, len(u))
@@ -114,7 +143,7 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n = ranges or 4 * parts
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    d = docs.select(column(id_col).cast("long").alias("doc_id"), F.coalesce(column(text_col), F.lit("")).alias("text"))
     d = d.withColumn("o", F.coalesce("doc_id", F.lit(-(2**63)))).withColumn("row", F.xxhash64("text"))
     shares = [i / n for i in range(1, n)]
     cuts = sorted(d.agg(F.percentile_approx("o", shares, 20 * n)).first()[0] or [])  # at most n
@@ -131,14 +160,14 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     d = d.repartition(parts, "r").sortWithinPartitions("r", "ghost", F.desc("o"), F.desc("row")).select("doc_id", "text", "r", "ghost")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, last = WordHash(), None
+        last = None
         for b in batches:
             out = []
             for doc, text, r, ghost in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                now = (doc, text, r, ghost, fingerprint(text, cache))
+                now = (doc, text, r, ghost, fingerprint(text))
                 if last is not None and last[2] == r and not last[3]:
                     e = edited(last[1], text)
-                    f = fingerprint(e, cache)
+                    f = fingerprint(e)
                     out.append((last[0], len(last[1]), hashlib.sha256(e.encode()).hexdigest(), last[4].astype(">u4").tobytes().hex(), f.astype(">u4").tobytes().hex(), likeness(last[4], f), likeness(last[4], now[4])))
                 last = now
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*out, strict=True)) or [()] * 7, KINDS, strict=True)], names=NAMES)
