@@ -1,10 +1,9 @@
 """Secret scan: three fixed patterns, and a token-efficiency test that finds random strings the patterns miss.
 
-A candidate is a run of at least MIN_RUN characters of base64, hex or identifier alphabets with a letter. Text
+A candidate is a run of at least ``shortest`` characters of base64, hex or identifier alphabets with a letter. Text
 that a tokenizer knows packs several characters into a token; random text doesn't. A run of fewer than ``max_ratio``
-characters a token (SHORT_RATIO for runs below SHORT characters that could be one word: letters of one case, or with a
-capital) is a span of kind "random", unless it overlaps a span of a pattern or is a known kind of public
-string: a digest (32, 40, 56, 64, 96 or 128 hex digits), a UUID, a number, or words joined by separators or case. Each
+characters a token, whatever its length, is a span of kind "random", unless it overlaps a span of a pattern or is a known
+kind of public string: a digest (32, 40, 56, 64, 96 or 128 hex digits), a UUID, a number, or words joined by separators or case. Each
 word must itself have as many characters a token (or one or two letters in one token), and so must all of them together;
 digits, up to four, end a word or stand between separators.
 
@@ -22,14 +21,15 @@ from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from docloom.llm.common import column
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-MIN_RUN, SHORT, SHORT_RATIO = 16, 20, 2.0
-RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}")
+#: Characters of a candidate at least, and characters a token below which it is random. Shorter runs are more often
+#: invented words; the README has the recall and the false positives of both.
+SHORTEST, MAX_RATIO = 16, 2.05
 DIGEST = re.compile(r"(?i:[0-9a-f]+)")
 DIGEST_SIZES = {32, 40, 56, 64, 96, 128}
 UUID = re.compile(r"(?i:[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12})")
@@ -78,41 +78,44 @@ def known(run: str, max_ratio: float, enc) -> bool:
     return bool((DIGEST.fullmatch(run) and len(run) in DIGEST_SIZES) or UUID.fullmatch(run) or run.isdigit() or identifier(run, max_ratio, enc))
 
 
-def random_spans(text: str, base: list[tuple[int, int, int]], max_ratio: float, enc) -> list[tuple[int, int, int]]:
+@cache
+def runs(shortest: int) -> re.Pattern:
+    return re.compile(rf"[A-Za-z0-9+/_=-]{{{shortest},}}")
+
+
+def random_spans(text: str, base: list[tuple[int, int, int]], max_ratio: float, enc, shortest: int = SHORTEST) -> list[tuple[int, int, int]]:
     out = []
-    for m in RUN.finditer(text):
+    for m in runs(shortest).finditer(text):
         run, s, e = m[0], *m.span()
         if not any(c.isalpha() for c in run) or any(a < e and s < b for a, _, b in base):
             continue
-        plain = len(run) < SHORT and run.isalpha() and (run[1:].islower() or run.isupper())
-        ratio = min(max_ratio, SHORT_RATIO) if plain else max_ratio
-        if len(run) < ratio * len(enc.encode_ordinary(run)) and not known(run, max_ratio, enc):
+        if len(run) < max_ratio * len(enc.encode_ordinary(run)) and not known(run, max_ratio, enc):
             out.append((s, 3, e))
     return out
 
 
-def scan(text: str, max_ratio: float = 2.2, enc=None) -> tuple[list, list]:
+def scan(text: str, max_ratio: float = MAX_RATIO, enc=None, shortest: int = SHORTEST) -> tuple[list, list]:
     """The patterns' spans and all spans, as (start, kind index, end)."""
     base = base_spans(text)
-    return base, sorted(base + random_spans(text, base, max_ratio, enc or encoding()))
+    return base, sorted(base + random_spans(text, base, max_ratio, enc or encoding(), shortest))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_ratio: float = 2.2, vocabulary: str | None = None) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_ratio: float = MAX_RATIO, vocabulary: str | None = None, shortest: int = SHORTEST) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_random, base_spans, spans); spans are kind:start:end, comma-joined."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    d = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(vocabulary)
         said = lambda spans: ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
         for b in batches:
-            found = [scan(t or "", max_ratio, enc) for t in b.column(1).to_pylist()]
+            found = [scan(t or "", max_ratio, enc, shortest) for t in b.column(1).to_pylist()]
             counts = [pa.array([sum(k == i for _, k, _ in x[1]) for x in found], pa.int64()) for i in range(4)]
             yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array([said(x[0]) for x in found], pa.string()), pa.array([said(x[1]) for x in found], pa.string())], names=["doc_id", "n_assign", "n_access", "n_hex", "n_random", "base_spans", "spans"])
 
     return d.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_spans string, spans string")
 
 
-def redact(text: str, max_ratio: float = 2.2) -> str:
+def redact(text: str, max_ratio: float = MAX_RATIO) -> str:
     """The text with each span replaced by its kind in brackets."""
     at, out = 0, []
     for s, k, e in scan(text, max_ratio)[1]:
