@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import BROADCAST_ROWS, WordHash, connected_components, discard, materialize, mix, roots, shingles, sized_join, starts_of, texts, whole_groups
+from docloom.llm.common import BROADCAST_ROWS, column, connected_components, discard, fresh, materialize, mix, roots, shingles, sized_join, starts_of, texts, whole_groups, WordHash
 
 LEAF, SIG_LEAF, BUCKETS = 256, 128, 64
 PIVOTS, LEAST_PIVOTS = 512, 64
@@ -429,7 +429,7 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: in
     """(doc_id, n_shingles, component_id) of each row: documents hang together by links of similarity num/den or more."""
     if not 0 < num <= den:
         raise ValueError("the similarity must be above 0 and at most 1")
-    d = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    d = docs.select(column(id_col).cast("long").alias("doc"), column(text_col).alias("text"))
     full = materialize(sketch(d, width, num, den))
     s = materialize(full.select("doc", "n", "h1", "h2"))
     usable = s.where("n > 0 and doc is not null")
@@ -497,6 +497,5 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: in
 
 def keep_one(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those linked, directly or not, to a document of smaller id; rows without an id stay."""
-    gone = materialize(jaccard_components(docs, num, den, width, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias("near copy")).distinct())
-    on = docs[id_col].cast("long") == gone["near copy"]
-    return sized_join(docs, gone, on, "left_anti")
+    gone = materialize(jaccard_components(docs, num, den, width, id_col, text_col).where("component_id <> doc_id").select(F.col("doc_id").alias(fresh("near copy", docs.columns))).distinct())
+    return sized_join(docs, gone, column(id_col).cast("long") == column(gone.columns[0]), "left_anti")

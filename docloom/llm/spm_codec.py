@@ -19,9 +19,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from docloom.llm.common import Recent
+from docloom.llm.common import Recent, column
 
 MARK = "▁"
 CUT = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
@@ -162,7 +161,7 @@ def codec(path: str | None = None) -> Codec:
 
 def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, with_ids: bool = True, place_col: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256), and with_ids also the packed ids and the decoded text, and a place_col as position."""
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.col(place_col).cast("long").alias("position")] if place_col else []))
+    d = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"), *([column(place_col).cast("long").alias("position")] if place_col else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)

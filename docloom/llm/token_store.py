@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from docloom.llm.common import Recent, materialize, sized_join, texts
+from docloom.llm.common import Recent, column, materialize, sized_join, texts
 
 MIN_CHUNK, MAX_CHUNK, TOP, DIGEST = 128, 4096, np.uint64(2**55), 16
 FAN = 1024
@@ -144,7 +144,7 @@ def write_store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
     """Encodes each whole text, appends end_id and writes the store."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    d = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
     end = np.array([end_id], "<u2").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
