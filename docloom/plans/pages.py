@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators import context, glossary, links, ordered, pins, provenance, strategy, templates, traces, triples, validation, writeback
+from docloom.operators import context, glossary, links, ordered, patterns, pins, provenance, shacl, strategy, templates, traces, triples, validation, writeback
 from docloom.plans.glossary import TERMS, terms_of
 from docloom.plans.toolkit import query, table
 from docloom.sources import formats, structure
@@ -134,6 +137,64 @@ def shape_checks(spark, d):
     return triples.shapes(_graph(spark, d), [{"shape": "S1", "target": "docs:Nation", "path": "docs:in", "one_of": ["docs:r0", "docs:r1", "docs:r2"], "class": "docs:Region", "max_count": 1, "kind": "iri"}, {"shape": "S2", "target": "docs:Nation", "path": "dcterms:title", "pattern": "^[A-M]"}, {"shape": "S3", "target": "docs:Nation", "path": "docs:of", "min_count": 1}])
 
 
+#: Suppliers in nations in regions, with names and balances.
+_SN = """WITH t AS (SELECT 'n' || n_nationkey AS s, 'in' AS p, 'r' || n_regionkey AS o, 'iri' AS kind FROM nation UNION ALL SELECT 's' || s_suppkey, 'in', 'n' || s_nationkey, 'iri' FROM supplier UNION ALL SELECT 's' || s_suppkey, 'name', s_name, 'literal' FROM supplier UNION ALL SELECT 's' || s_suppkey, 'balance', CAST(s_acctbal AS VARCHAR), 'literal' FROM supplier
+UNION ALL SELECT 's' || s_suppkey, 'rdf:type', 'Supplier', 'iri' FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'rdf:type', 'Nation', 'iri' FROM nation UNION ALL SELECT 'r' || r_regionkey, 'rdf:type', 'Region', 'iri' FROM region UNION ALL SELECT 'n' || n_nationkey, 'name', n_name, 'literal' FROM nation UNION ALL SELECT 's' || s_suppkey, 'knows', 's' || (s_suppkey // 2), 'iri' FROM supplier WHERE s_suppkey > 1)"""
+
+
+def _suppliers(spark, d):
+    n, u, r = (table(spark, d, t) for t in ("nation", "supplier", "region"))
+    key = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    row = lambda x, s, p, o, kind: x.select(s.alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(kind).alias("kind"), F.lit(None).cast("string").alias("lang"))
+    nk, sk, rk = key("n", "n_nationkey"), key("s", "s_suppkey"), key("r", "r_regionkey")
+    boss = F.concat(F.lit("s"), F.floor(F.col("s_suppkey") / 2).cast("string"))
+    each = [row(n, nk, "in", key("r", "n_regionkey"), "iri"), row(u, sk, "in", key("n", "s_nationkey"), "iri"), row(u, sk, "name", F.col("s_name"), "literal"), row(u, sk, "balance", F.col("s_acctbal"), "literal"), row(n, nk, "name", F.col("n_name"), "literal"), row(u.where("s_suppkey > 1"), sk, "knows", boss, "iri")]
+    each += [row(x, k, "rdf:type", F.lit(c), "iri") for x, k, c in ((u, sk, "Supplier"), (n, nk, "Nation"), (r, rk, "Region"))]
+    return reduce(DataFrame.union, each)
+
+
+@query(_SN + """, s AS (SELECT a.s, b.o AS region, a.o AS nation FROM t a JOIN t b ON b.s = a.o AND b.p = 'in' WHERE a.p = 'in' AND a.s LIKE 's%'), up AS (SELECT s_suppkey AS k, CAST(len(bin(s_suppkey)) - 1 AS BIGINT) AS above FROM supplier)
+SELECT 'far' AS shape, s AS focus, '{"sequence": ["in", "in"]}' AS path, 'in' AS "constraint", region AS value FROM s WHERE region NOT IN ('r0', 'r1') UNION ALL SELECT 'near', s, '{"one_or_more": "in"}', 'class', nation FROM s UNION ALL SELECT 'many', o, '{"inverse": "in"}', 'min_count', CAST(count(DISTINCT t.s) AS VARCHAR) FROM t WHERE p = 'in' AND o LIKE 'r%' GROUP BY o HAVING count(DISTINCT t.s) < 6
+UNION ALL SELECT 'either', s.s, NULL, 'or', s.s FROM s JOIN t ON t.s = s.s AND t.p = 'balance' WHERE TRY_CAST(t.o AS DOUBLE) < 5000 AND region <> 'r2' UNION ALL SELECT 'never', s, NULL, 'not', s FROM t WHERE p = 'name' AND s LIKE 's%' AND regexp_matches(o, '[05]$') UNION ALL SELECT 'chain', 's' || k, '{"zero_or_more": "knows"}', 'max_count', CAST(above + 1 AS VARCHAR) FROM up WHERE above + 1 > 5
+UNION ALL SELECT 'through', s.nation, 'name', 'pattern', t.o FROM (SELECT DISTINCT nation FROM s) s JOIN t ON t.s = s.nation AND t.p = 'name' WHERE NOT regexp_matches(t.o, '[1-9]') UNION ALL SELECT 'one', s.s, NULL, 'xone', s.s FROM s JOIN t ON t.s = s.s AND t.p = 'balance' WHERE (TRY_CAST(t.o AS DOUBLE) >= 0) = (region = 'r1')""")
+def shape_paths(spark, d):
+    of = {"target": {"class": "Supplier"}}
+    shapes = [
+        {"name": "far", **of, "path": {"sequence": ["in", "in"]}, "in": ["r0", "r1"]}, {"name": "near", **of, "path": {"one_or_more": "in"}, "class": "Region"}, {"name": "many", "target": {"class": "Region"}, "path": {"inverse": "in"}, "min_count": 6},
+        {"name": "either", **of, "or": [{"path": "balance", "min": 5000}, {"path": {"sequence": ["in", "in"]}, "has_value": "r2"}]}, {"name": "never", **of, "not": {"path": "name", "pattern": "[05]$"}}, {"name": "chain", **of, "path": {"zero_or_more": "knows"}, "max_count": 5},
+        {"name": "through", **of, "path": "in", "property": [{"path": "name", "pattern": "[1-9]"}]}, {"name": "one", **of, "xone": [{"path": "balance", "min": 0}, {"node": "second"}]}, {"name": "second", "path": {"sequence": ["in", "in"]}, "has_value": "r1"},
+    ]
+    return shacl.check(_suppliers(spark, d), shapes).select("shape", "focus", "path", "constraint", "value")
+
+
+@query(_SN + """ SELECT a.s AS supplier, b.o AS region, n.o AS name FROM t a JOIN t b ON b.s = a.o AND b.p = 'in' JOIN t n ON n.s = a.o AND n.p = 'name' JOIN t y ON y.s = a.s AND y.p = 'rdf:type' AND y.o = 'Supplier' WHERE a.p = 'in'""")
+def pattern_chain(spark, d):
+    return patterns.solve(_suppliers(spark, d), [("?supplier", "rdf:type", "Supplier"), ("?nation", "in", "?region"), ("?supplier", "in", "?nation"), ("?nation", "name", "?name")], select=["supplier", "region", "name"])
+
+
+@query(_SN + """ SELECT y.s AS x, k.o AS boss, n.o AS of FROM t y LEFT JOIN t k ON k.s = y.s AND k.p = 'knows' LEFT JOIN (SELECT s, o FROM t WHERE p = 'in' AND o IN (SELECT s FROM t WHERE p = 'in' AND o = 'r1')) n ON n.s = y.s WHERE y.p = 'rdf:type' AND y.o = 'Supplier'""")
+def pattern_optional(spark, d):
+    return patterns.solve(_suppliers(spark, d), [("?x", "rdf:type", "Supplier")], optional=[[("?x", "knows", "?boss")], [("?x", "in", "?of"), ("?of", "in", "r1")]])
+
+
+@query(_SN + """ SELECT x.s AS x, n.o AS name, m.v AS place FROM t x JOIN t n ON n.s = x.s AND n.p = 'name' JOIN (SELECT s, o AS v FROM t WHERE p = 'in' AND o = 'r2' UNION SELECT a.s, b.o FROM t a JOIN t b ON b.s = a.o AND b.p = 'in' WHERE a.p = 'in' AND b.o <> 'r2') m ON m.s = x.s WHERE x.p = 'rdf:type'""")
+def pattern_union(spark, d):
+    g = _suppliers(spark, d)
+    return patterns.solve(g, [("?x", "rdf:type", "?kind"), ("?x", "name", "?name")], union=[[("?x", "in", "?place"), ("?place", "rdf:type", "Region")], [("?x", "in", "?n"), ("?n", "in", "?place")]], having="place <> 'r2' and kind = 'Supplier' or place = 'r2' and kind = 'Nation'", select=["x", "name", "place"])
+
+
+@query(_SN + """ SELECT a.s AS x, TRY_CAST(b.o AS DOUBLE) AS balance FROM t a JOIN t b ON b.s = a.s AND b.p = 'balance' WHERE a.p = 'rdf:type' AND a.o = 'Supplier' AND TRY_CAST(b.o AS DOUBLE) > 1000 AND a.s NOT IN (SELECT o FROM t WHERE p = 'knows')""")
+def pattern_filter(spark, d):
+    found = patterns.solve(_suppliers(spark, d), [("?x", "rdf:type", "Supplier"), ("?x", "balance", "?b")], absent=[[("?y", "knows", "?x")]], having="cast(b as double) > 1000")
+    return found.select("x", F.col("b").cast("double").alias("balance"))
+
+
+@query(_SN + """ SELECT DISTINCT a.s AS x, b.s AS y FROM t a JOIN t k ON k.s = a.s AND k.p = 'knows' JOIN t b ON b.s = k.o AND b.p = 'in' AND b.o = a.o WHERE a.p = 'in'""")
+def pattern_cycle(spark, d):
+    """Two that know each other's place: the parts close a ring."""
+    return patterns.solve(_suppliers(spark, d), [("?x", "in", "?n"), ("?x", "knows", "?y"), ("?y", "in", "?n")], select=["x", "y"])
+
+
 @query(_G + " SELECT s, p, o, 'https://example.org/' AS base, CASE WHEN starts_with(p, 'rdf:') THEN 'http://www.w3.org/1999/02/22-rdf-syntax-ns#' || substr(p, 5) WHEN starts_with(p, 'docs:') THEN 'urn:docloom:' || substr(p, 6) ELSE 'http://purl.org/dc/terms/' || substr(p, 9) END AS iri, p AS again FROM t")
 def expand_compact(spark, d):
     iri = triples.expand(F.col("p"))
