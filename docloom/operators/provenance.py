@@ -34,7 +34,9 @@ def lives(edits: DataFrame, renames: DataFrame) -> DataFrame:
     born = cut(born.unionByName(to.select("path", "born")).distinct())
     own = born.select("path", F.col("born").alias("commit"), F.col("born").alias("life"))
     parent = asof_join(to.select(F.col("was").alias("path"), F.col("born").alias("commit"), F.col("path").alias("child")), own, ["path"], "commit", strict=True)
-    parent = parent.where("life is not null").select(F.col("child").alias("path"), F.col("commit").alias("born"), F.struct(F.col("path").alias("path"), F.col("life").alias("born")).alias("up"))
+    # a life that was renamed away before is over: what is renamed now came without lines, and begins a file
+    over = asof_join(parent.drop("right_commit"), away.withColumn("gone", F.col("commit")), ["path"], "commit", strict=True)
+    parent = over.where("life is not null and (gone is null or gone <= life)").select(F.col("child").alias("path"), F.col("commit").alias("born"), F.struct(F.col("path").alias("path"), F.col("life").alias("born")).alias("up"))
     me = F.struct(F.col("path").alias("path"), F.col("born").alias("born"))
     d = cut(born.join(parent, ["path", "born"], "left").select(me.alias("at"), F.coalesce("up", me).alias("up")))
     while True:
