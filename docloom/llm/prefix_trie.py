@@ -67,7 +67,7 @@ def number_turns(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     stay where they are but for those of tied turns. Rows without a conversation are left out.
     """
     text, role = F.coalesce(column(text_col).cast("string"), F.lit("")), F.coalesce(column(role_col).cast("string"), F.lit(""))
-    a, b = _digests(role, text)
+    a, b = _digests(F.col("role"), F.col("text"))
     base = turns.select(column(conv_col).cast("long").alias("conv"), column(turn_col).cast("long").alias("turn"), role.alias("role"), text.alias("text")).where("conv is not null")
     tied = materialize(base.groupBy("conv", "turn").count().where("count > 1").select(F.col("conv").alias("tied conv"), F.col("turn").alias("tied turn")))
     if tied.isEmpty():

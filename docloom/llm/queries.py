@@ -68,7 +68,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op11_fst_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = fst_codec.decode_documents(fst_codec.encode_documents(table(spark, sf_dir, "documents")))
+    d = fst_codec.encode_documents(table(spark, sf_dir, "documents"), decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return d.select("doc_id", "n_tokens", F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
@@ -128,5 +128,79 @@ FROM embeddings LEFT JOIN n ON n.a = vec_id JOIN c ON c.a = vec_id
 """
 
 
+#: crc32 of a text in DuckDB: the table of all bytes, and a step for each byte of the text.
+_CRC_TABLE = "(SELECT list_transform(range(256), lambda n: list_reduce(list_concat([n], range(8)), lambda c, i: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+_CRC = "xor(list_reduce(list_concat([4294967295], list_transform(range(strlen({0})), lambda i: CAST('0x' || substr(hex({0}), 2 * i + 1, 2) AS BIGINT))), lambda c, b: xor(c >> 8, t[xor(c % 256, b) + 1])), 4294967295)"
+
+_OP12 = f"""
+WITH own AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), cs AS (
+  SELECT c, n, {_CRC.format("CAST(c AS VARCHAR)")} % 9 AS h FROM (SELECT c, count(*) AS n FROM own GROUP BY c), {_CRC_TABLE}
+), rebuilt AS (
+  SELECT cs.c, o.pos AS d, o.role, o.text FROM cs JOIN own o ON o.c = cs.c - cs.c % 5 AND o.pos <= cs.h
+  UNION ALL
+  SELECT cs.c, o.pos - cs.h + least(cs.h, coalesce(l.n, 0)), o.role, o.text
+  FROM cs JOIN own o ON o.c = cs.c AND o.pos > cs.h LEFT JOIN cs l ON l.c = cs.c - cs.c % 5
+), members AS (
+  SELECT c, 0 AS d, '' AS text, '' AS k FROM cs
+  UNION ALL
+  SELECT c, d, text, string_agg(md5(length(role) || ':' || role || text), '') OVER (PARTITION BY c ORDER BY d) FROM rebuilt
+), nodes AS (
+  SELECT k, CAST(max(d) AS BIGINT) AS depth, min(c) AS conv_id, count(*) AS n_convs, max(strlen(text)) AS bytes FROM members GROUP BY k
+), children AS (
+  SELECT left(k, length(k) - 32) AS k, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1
+), own_sums AS (
+  SELECT n.k, n.depth, CASE WHEN c.n IS NULL THEN 1 ELSE 0 END AS leaf, (n.n_convs - 1) * n.bytes AS saved FROM nodes n LEFT JOIN children c ON c.k = n.k
+), sums AS (
+  SELECT left(k, 32 * above) AS k, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens
+  FROM (SELECT *, unnest(range(depth + 1)) AS above FROM own_sums) GROUP BY 1
+), ends AS (
+  SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS h FROM (SELECT c, arg_max(k, d) AS k FROM members GROUP BY c) GROUP BY k
+)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0) AS n_children, CAST(s.n_leaves AS BIGINT) AS n_leaves,
+  CAST(s.saved_tokens AS BIGINT) AS saved_tokens, coalesce(e.h, sha256('')) AS ends_sha256
+FROM nodes n JOIN sums s ON s.k = n.k LEFT JOIN children c ON c.k = n.k LEFT JOIN ends e ON e.k = n.k
+  LEFT JOIN nodes p ON n.depth > 0 AND p.k = left(n.k, length(n.k) - 32)
+"""
+
+_OP13 = f"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS r FROM documents)
+), told AS (
+  SELECT w, m, {_CRC.format("told")} AS h
+  FROM (SELECT w, count(*) AS m, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || w AS told FROM runs WHERE length(w) >= 7 GROUP BY doc_id, w), {_CRC_TABLE}
+), words AS (
+  SELECT w, CAST(sum(m) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN h % 31 = 0 THEN left(w, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS w, m FROM told)
+  WHERE length(w) >= 7 GROUP BY w HAVING sum(m) >= 2
+), cut AS (
+  SELECT w, n, unnest(range(length(w))) AS i FROM words
+), holes AS (
+  SELECT w, n, i, left(w, i) AS a, substr(w, i + 2) AS b FROM cut
+), near AS (
+  SELECT x.w, y.w AS o, y.n AS o_n FROM holes x JOIN holes y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.w <> y.w
+  UNION
+  SELECT h.w, words.w, words.n FROM holes h JOIN words ON words.w = h.a || h.b
+  UNION
+  SELECT words.w, h.w, h.n FROM holes h JOIN words ON words.w = h.a || h.b
+), best AS (
+  SELECT w, count(*) AS n_near, max(o_n) AS most FROM near GROUP BY w
+), formed AS (
+  SELECT words.w, words.n, coalesce(b.n_near, 0) AS n_near, CASE WHEN b.most >= 10 * words.n THEN b.most END AS form_n,
+    CASE WHEN b.most >= 10 * words.n THEN (SELECT min(o) FROM near WHERE near.w = words.w AND near.o_n = b.most) END AS form
+  FROM words LEFT JOIN best b ON b.w = words.w
+), follow AS (
+  SELECT w, w AS here, 0 AS step FROM formed
+  UNION ALL
+  SELECT follow.w, formed.form, step + 1 FROM follow JOIN formed ON formed.w = follow.here WHERE formed.form IS NOT NULL
+)
+SELECT f.w AS word, f.form, r.root, f.n, f.n_near, f.form_n FROM formed f JOIN (SELECT w, arg_max(here, step) AS root FROM follow GROUP BY w) r ON r.w = f.w
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": _OP1, "op7_embedding_dedup": _OP7}
+    return {"op1_line_dedup": _OP1, "op7_embedding_dedup": _OP7, "op12_prefix_trie": _OP12, "op13_spelling_variants": _OP13}
