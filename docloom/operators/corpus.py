@@ -40,13 +40,12 @@ def build_docs(records: DataFrame, keys: dict[str, str] | list[str] | None = Non
     docs_long holds the same cells as rows.
     """
     if keys is None:
-        found = docs_long(records).where("type <> 'VOID'").select("key", "type").distinct().limit(6 * MAX_KEYS + 1).collect()  # six types at most
-        if len({x["key"] for x in found}) > MAX_KEYS:
-            raise ValueError(f"more than {MAX_KEYS} keys; use docs_long")
-        every = records.select(F.explode(F.json_object_keys("_data")).alias("k")).distinct().collect() if len(found) <= MAX_KEYS else []
-        types: dict[str, set] = {x["k"]: set() for x in every if x["k"] and x["k"] not in SYSTEM}
+        found = docs_long(records).select("key", "type").distinct().limit(7 * MAX_KEYS + 1).collect()  # seven types at most
+        types: dict[str, set] = {}
         for x in found:
-            types.setdefault(x["key"], set()).add(x["type"])
+            types.setdefault(x["key"], set()).update({x["type"]} - {"VOID"})
+        if len(types) > MAX_KEYS:
+            raise ValueError(f"more than {MAX_KEYS} keys; use docs_long")
         keys = {k: "long" if t == {"BIGINT"} else "double" if t and t <= {"BIGINT", "DOUBLE"} else "int" if t == {"BOOLEAN"} else "string" for k, t in types.items()}
     elif not isinstance(keys, dict):
         keys = dict.fromkeys(keys, "string")

@@ -122,33 +122,30 @@ def check_content(nodes: DataFrame, aligned: DataFrame, templates: dict[str, dic
     """(path, section, rule, message): counts (at least 1 where neither min nor max is given) and tests of the nodes in each aligned section.
 
     Kinds: paragraph, code, list, table, admonition, image, blockquote, deflist, element. A code rule's "language" with
-    "narrow" counts only blocks of that language. One scan: every rule is a conditional aggregate of its section.
+    "narrow" counts only blocks of that language. Nodes are joined once with the sections of all
+    templates; every rule is a conditional aggregate of its section.
     """
-    d = in_sections(nodes)
-    found = []
-    for name, template in templates.items():
-        for i, r in enumerate(template.get("sections", [])):
-            own = aligned.where((F.col("template") == name) & (F.col("rule") == i) & F.col("section").isNotNull()).select("path", "section")
-            rules = r.get("content", [])
-            if not rules:
-                continue
-            j = own.join(d, ["path", "section"], "left")
-            rows = []
-            for k, c in enumerate(rules):
-                here, tests = F.coalesce(F.col("kind") == c["kind"], F.lit(False)), _tests(c)
-                if c.get("narrow") or c["kind"] in ("image", "element", "admonition"):  # the tests say which nodes count
-                    here, tests = reduce(Column.__and__, tests.values(), here), {}
-                n = F.count_if(here)
-                least = c.get("min", 0 if "max" in c else 1)
-                rows.append(F.when(n < least, F.struct(F.lit(f"{c['kind']} {k}").alias("rule"), F.concat(F.lit(f"at least {least}, found "), n).alias("message"))))
-                if "max" in c:
-                    rows.append(F.when(n > c["max"], F.struct(F.lit(f"{c['kind']} {k}").alias("rule"), F.concat(F.lit(f"at most {c['max']}, found "), n).alias("message"))))
-                for test, ok in tests.items():
-                    bad = F.count_if(here & ~F.coalesce(ok, F.lit(False)))
-                    rows.append(F.when(bad > 0, F.struct(F.lit(f"{c['kind']} {k}").alias("rule"), F.concat(F.lit(f"{test}: "), bad, F.lit(" fail")).alias("message"))))
-            g = j.groupBy("path", "section").agg(F.array_compact(F.array(*rows)).alias("x"))
-            found.append(g.select("path", "section", F.explode("x").alias("x")).select("path", "section", "x.*"))
-    return reduce(DataFrame.unionByName, found) if found else d.select("path", "section", F.lit("").alias("rule"), F.lit("").alias("message")).where("false")
+    rules = [(name, i, c, f"{c['kind']} {k}") for name, t in templates.items() for i, r in enumerate(t.get("sections", [])) for k, c in enumerate(r.get("content", []))]
+    own = aligned.where("section is not null").select("path", "section", "template", "rule")
+    rows = []
+    for name, i, c, label in rules:
+        mine = (F.col("template") == name) & (F.col("rule") == i)
+        here, tests = F.coalesce(F.col("kind") == c["kind"], F.lit(False)), _tests(c)
+        if c.get("narrow") or c["kind"] in ("image", "element", "admonition"):  # the tests say which nodes count
+            here, tests = reduce(Column.__and__, tests.values(), here), {}
+        here = mine & here
+        say = lambda broken, *words: rows.append(F.when(broken, F.struct(F.lit(label).alias("rule"), F.concat(*words).alias("message"))))  # noqa: B023, E731
+        n, least = F.count_if(here), c.get("min", 0 if "max" in c else 1)
+        say(mine & (n < least), F.lit(f"at least {least}, found "), n)
+        if "max" in c:
+            say(mine & (n > c["max"]), F.lit(f"at most {c['max']}, found "), n)
+        for test, ok in tests.items():
+            bad = F.count_if(here & ~F.coalesce(ok, F.lit(False)))
+            say(mine & (bad > 0), F.lit(f"{test}: "), bad, F.lit(" fail"))
+    if not rows:
+        return own.select("path", "section", F.lit("").alias("rule"), F.lit("").alias("message")).where("false")
+    g = own.join(in_sections(nodes), ["path", "section"], "left").groupBy("path", "section", "template", "rule").agg(F.array_compact(F.array(*rows)).alias("x"))
+    return g.select("path", "section", F.explode("x").alias("x")).select("path", "section", "x.*")
 
 
 def check_sequence(nodes: DataFrame, kinds: list[str], contains: bool = False) -> DataFrame:

@@ -57,35 +57,29 @@ def _triples(d: DataFrame, s: Column | str, p: str, o: Column | str, kind: str =
     return d.select(col(s).alias("s"), F.lit(p).alias("p"), col(o).cast("string").alias("o"), F.lit(kind).alias("kind"), (F.lit(None).cast("string") if lang is None else lang).alias("lang")).where("s is not null and o is not null")
 
 
+def _each(d: DataFrame, *rules: tuple) -> DataFrame:
+    """The triples of several rules (s, p, o, kind, lang) for each row, by one pass over the table; those without an object are left out."""
+    none = F.lit(None).cast("string")
+    made = [F.struct(s.alias("s"), F.lit(p).alias("p"), o.cast("string").alias("o"), F.lit(more[0] if more else "iri").alias("kind"), (more[1] if len(more) > 1 else none).alias("lang")) for s, p, o, *more in rules]
+    return d.select(F.explode(F.array(*made)).alias("t")).select("t.*").where("s is not null and o is not null")
+
+
 def derive(pages: DataFrame, sections: DataFrame | None = None, links: DataFrame | None = None, concepts: DataFrame | None = None, base: str = "https://example.org/") -> DataFrame:
     """Triples of pages (path, title, lang), sections (path, section, level, title, slug, parent), links (path, target, kind, page, broken) and concepts (path, id)."""
-    page = page_iri(base, F.col("path"))
-    lang = F.col("lang")
+    page, lang = page_iri(base, F.col("path")), F.col("lang")
+    literal = "literal"
     rules = [
-        _triples(pages, page, "rdf:type", F.lit("docs:Document")),
-        _triples(pages, page, "docs:path", "path", "literal"),
-        _triples(pages.where("title <> ''"), page, "dcterms:title", "title", "literal", lang),
-        _triples(pages.where("lang <> ''"), page, "dcterms:language", "lang", "literal"),
+        _each(pages, (page, "rdf:type", F.lit("docs:Document")), (page, "docs:path", F.col("path"), literal), (page, "dcterms:title", F.when(F.col("title") != "", F.col("title")), literal, lang), (page, "dcterms:language", F.when(F.col("lang") != "", F.col("lang")), literal)),
     ]
     if sections is not None:
         own = section_iri(page, F.col("slug"))
         up = sections.select(F.col("path").alias("upath"), F.col("section").alias("usection"), F.col("slug").alias("uslug"))
         nested = sections.join(up, (F.col("path") == F.col("upath")) & (F.col("parent") == F.col("usection")), "left")
         holder = F.coalesce(section_iri(page, F.col("uslug")), page)
-        rules += [
-            _triples(sections, own, "rdf:type", F.lit("docs:Section")),
-            _triples(sections, own, "dcterms:title", "title", "literal"),
-            _triples(sections, own, "docs:level", "level", "literal"),
-            _triples(sections, own, "docs:order", "section", "literal"),
-            _triples(nested, holder, "dcterms:hasPart", own),
-        ]
+        rules.append(_each(nested, (own, "rdf:type", F.lit("docs:Section")), (own, "dcterms:title", F.col("title"), literal), (own, "docs:level", F.col("level"), literal), (own, "docs:order", F.col("section"), literal), (holder, "dcterms:hasPart", own)))
     if links is not None:
-        hit = links.where("page is not null and page <> path")
-        rules += [
-            _triples(hit, page, "dcterms:references", page_iri(base, F.col("page"))),
-            _triples(links.where("kind = 'external'"), page, "rdfs:seeAlso", "target"),
-            _triples(links.where("broken"), page, "docs:brokenLink", "target", "literal"),
-        ]
+        to = F.when(F.col("page").isNotNull() & (F.col("page") != F.col("path")), page_iri(base, F.col("page")))
+        rules.append(_each(links, (page, "dcterms:references", to), (page, "rdfs:seeAlso", F.when(F.col("kind") == "external", F.col("target"))), (page, "docs:brokenLink", F.when(F.col("broken"), F.col("target")), literal)))
     if concepts is not None:
         rules.append(_triples(concepts, page, "dcterms:subject", concept_iri(F.col("id"), base)))
     return reduce(DataFrame.unionByName, rules).distinct()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from docloom.operators import context, glossary, links, ordered, patterns, pins, provenance, shacl, strategy, templates, traces, triples, validation, writeback
 from docloom.plans.glossary import TERMS, terms_of
+from docloom.plans.lineage import cut
 from docloom.plans.toolkit import query, table
 from docloom.sources import formats, structure
 
@@ -92,8 +93,9 @@ _SLUG = "regexp_replace(regexp_replace(lower({}), '[^\\p{{L}}\\p{{N}}]+', '-', '
 
 def _page_triples(spark, d):
     p = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("path"), F.regexp_extract("html", '<html[^>]* lang="([^"]*)"', 1).alias("lang"), F.lit("").alias("title"))
-    s = structure.sections(_nodes(spark, d)).where("slug <> ''")
-    l = _nodes(spark, d).where("kind = 'link'").select("path", "target")  # noqa: E741
+    n = cut(_nodes(spark, d))  # parsed once
+    s = structure.sections(n).where("slug <> ''")
+    l = n.where("kind = 'link'").select("path", "target")  # noqa: E741
     known = table(spark, d, "pages").where("page_id % 2 = 0").select(F.concat(F.regexp_extract("html", 'href="/([^"]*)"', 1), F.lit(".md")).alias("path")).distinct()
     return triples.derive(p, s, links.classify(l, known))
 
@@ -485,7 +487,7 @@ def availability_replay(spark, d):
 @query("""WITH n AS (SELECT CAST(page_id AS VARCHAR) AS path, len(regexp_extract_all(html, '<ul>')) AS lists, CAST(len(regexp_extract_all(regexp_replace(html, '^.*?</h1>', ''), '<p>')) AS BIGINT) AS p FROM (SELECT page_id, regexp_replace(html, '<script>.*?</script>', '', 'g') AS html FROM pages))
 SELECT path, 'paragraph 0' AS rule, 'at most 9, found ' || p AS message FROM n WHERE p > 9 UNION ALL SELECT path, 'code 1', 'at least 1, found 0' FROM n""")
 def template_counts(spark, d):
-    n = _nodes(spark, d)
+    n = cut(_nodes(spark, d))
     t = {"page": {"sections": [{"pattern": ".", "content": [{"kind": "paragraph", "max": 9}, {"kind": "code"}]}]}}
     own = structure.sections(n).where("section = 1").select("path", F.lit("page").alias("template"), F.lit(0).alias("rule"), "section")
     return templates.check_content(n, own, t).select("path", "rule", "message")

@@ -211,18 +211,26 @@ def sections(found: DataFrame) -> DataFrame:
     return h.select("path", "section", "level", "title", F.concat("base", F.when(F.col("nth") > 1, F.concat(F.lit("-"), F.col("nth") - 1)).otherwise("")).alias("slug"), "line", "last", parent.alias("parent"))
 
 
-def split_body(docs: DataFrame, most: int = 12_000, path: str = "path", text: str = "text") -> DataFrame:
-    """(path, part, text): a text cut at line ends into parts of at most ``most`` characters; a longer line is a part of its own.
+def cut_lines(text: str, most: int) -> list[str]:
+    """A text cut at line ends into parts of at most so many characters; a longer line is a part of its own."""
+    out, now, size = [], [], -1
+    for line in text.split("\n"):
+        if now and size + 1 + len(line) > most:
+            out.append("\n".join(now))
+            now, size = [], -1
+        now.append(line)
+        size += 1 + len(line)
+    out.append("\n".join(now))
+    return out
+
 
-    Lines fold into parts by one aggregate on the JVM; parts joined by line feeds give the text again.
-    """
-    line_by = F.transform(F.split(F.col(text), "\n"), lambda x: x)
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now"))
+def split_body(docs: DataFrame, most: int = 12_000, path: str = "path", text: str = "text") -> DataFrame:
+    """(path, part, text): cut_lines() of each text, in time that grows with its length. Parts joined by line feeds give the text again; null texts have none."""
 
-    def step(acc: Column, x: Column) -> Column:
-        fits = F.char_length(acc["now"]) + 1 + F.char_length(x) <= most
-        full = acc["now"].isNotNull() & ~fits
-        return F.struct(F.when(full, F.array_append(acc["done"], acc["now"])).otherwise(acc["done"]).alias("done"), F.when(full | acc["now"].isNull(), x).otherwise(F.concat(acc["now"], F.lit("\n"), x)).alias("now"))
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            parts = [cut_lines(t, most) for t in b["text"]]
+            yield pd.DataFrame([(p, i, x) for p, xs in zip(b["path"], parts, strict=True) for i, x in enumerate(xs)], columns=["path", "part", "text"]).astype({"part": "int32"})
 
-    parts = F.aggregate(line_by, start, step, lambda acc: F.array_append(acc["done"], acc["now"]))
-    return docs.where(F.col(text).isNotNull()).select(F.col(path).alias("path"), F.posexplode(parts).alias("part", "text"))
+    kind = docs.select(F.col(path)).schema[0].dataType.simpleString()
+    return docs.where(F.col(text).isNotNull()).select(F.col(path).alias("path"), F.col(text).alias("text")).mapInPandas(run, f"path {kind}, part int, text string")
