@@ -24,9 +24,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import connected_components, materialize, roots, sized_join
+from docloom.llm.common import column, connected_components, materialize, roots, sized_join
 
-LEAF = 32
+LEAF = 128
+AT_ONCE = 2048
 MOST_PIVOTS = 4096
 
 
@@ -62,13 +63,15 @@ class CoverTree:
     def _net(self, points: np.ndarray, first: int, r: float) -> list[tuple[int, np.ndarray]]:
         """Centres further than r from each other, the node's own first, each with the points nearest to it."""
         x = self.x[points]
-        near, owner, centres = distance(x, self.x[first][None])[:, 0], np.zeros(len(points), int), [first]
+        every = distance(x, x) if len(points) <= AT_ONCE else None  # all distances by one product where they fit
+        row = lambda k: distance(x, x[k][None])[:, 0] if every is None else every[k]
+        near, owner, centres = row(int(np.flatnonzero(points == first)[0])).copy(), np.zeros(len(points), int), [first]
         while True:
             far = int(near.argmax())
             if near[far] <= r:
                 break
             centres.append(int(points[far]))
-            d = distance(x, x[far][None])[:, 0]
+            d = row(far)
             closer = d < near
             near[closer], owner[closer] = d[closer], len(centres) - 1
         return [(c, points[owner == k]) for k, c in enumerate(centres)]
@@ -137,17 +140,27 @@ def _placed(big: DataFrame, block: int, reach: float, tasks: int) -> DataFrame:
         return pd.DataFrame({"label": out["label"], "dim": out["dim"], "rep": out["rep"], "copies": out["copies"], "v": out["v"], "home": number[at].astype(np.int32), "d": d0, "near": near})
 
     rows = p.unionByName(m).repartition(tasks, "label", "dim", "chunk")
-    return rows.groupBy("label", "dim", "chunk").applyInPandas(run, "label string, dim int, rep long, copies long, v array<double>, home int, d double, near array<struct<j: int, d: double>>")
+    return rows.groupBy("label", "dim", "chunk").applyInPandas(run, "label string, dim int, rep long, copies long, v array<double>, home int, d double, near array<struct<j: int, d: double>>".replace("array<double>", big.schema["v"].dataType.simpleString()))
 
 
 def dedup_embeddings(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", block: int = 1024) -> DataFrame:
-    """(vec_id, n_links, component_id, kept): a row for each vector."""
-    v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    norm = F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)
+    """(vec_id, n_links, component_id, kept): a row for each vector.
+
+    Equal vectors are told by a label and two 64-bit hashes, so that whole vectors travel only to where they are compared,
+    and as they came, floats as floats.
+    """
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    kind = "array<float>" if kind == "array<float>" else "array<double>"
+    v = vectors.select(column(id_col).cast("long").alias("vec_id"), column(label_col).cast("string").alias("label"), column(vector_col).cast(kind).alias("v"))
+    wide = F.col("v").cast("array<double>")
+    bad = F.exists(wide, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    norm = F.aggregate(wide, F.lit(0.0), lambda s, x: s + x * x)
     good = F.coalesce(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & (F.size("v") > 0) & ~bad & (norm > 0), F.lit(False))
-    v = v.withColumn("v", F.when(good, F.col("v")))
-    classes = materialize(v.where("v is not null").groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    plain = F.transform("v", lambda x: x + F.lit(0).cast("float" if kind == "array<float>" else "double"))  # zeros have one sign
+    v = v.select("vec_id", "label", F.when(good, plain).alias("v"))
+    v = v.select("vec_id", "label", "v", *(F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(s), "label", "v")).alias(h) for s, h in ((1, "h1"), (2, "h2"))))
+    used = v.where("v is not null")
+    classes = materialize(used.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("v").alias("v")))
     sizes = classes.groupBy(F.col("label").alias("l"), F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"))
     c = sized_join(classes, materialize(sizes), (F.col("label") == F.col("l")) & (F.size("v") == F.col("dim")))
     reach = float(np.sqrt(max(0.0, 2.0 - 2.0 * least))) + 1e-7
@@ -196,8 +209,8 @@ def dedup_embeddings(vectors: DataFrame, least: float = 0.93, id_col: str = "vec
     found = materialize(j.repartition(tasks, "group").groupBy("group").applyInPandas(run, "rep long, links long, other long"))
     comps = connected_components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    per_class = sized_join(sized_join(classes, links.withColumnRenamed("rep", "lrep"), F.col("rep") == F.col("lrep"), "left"), comps, F.col("rep") == F.col("node"), "left")
-    per_class = materialize(per_class.select(F.col("label").alias("cl"), F.col("v").alias("cv"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("comp")))
-    out = v.join(per_class, (F.col("label") == F.col("cl")) & (F.col("v") == F.col("cv")), "left")
+    per_class = sized_join(sized_join(classes.select("h1", "h2", "rep", "copies"), links.withColumnRenamed("rep", "lrep"), F.col("rep") == F.col("lrep"), "left"), comps, F.col("rep") == F.col("node"), "left")
+    per_class = materialize(per_class.select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("comp")))
+    out = sized_join(v.select("vec_id", "h1", "h2"), per_class, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
     comp = F.coalesce("comp", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), F.coalesce(comp == F.col("vec_id"), F.lit(False)).alias("kept"))

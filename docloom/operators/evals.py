@@ -20,9 +20,9 @@ def last_turn(events: DataFrame, session: str, order: str, is_prompt: Column) ->
 
 
 def tool_order(events: DataFrame, session: str, order: str, kind: str, first: str, then: str) -> DataFrame:
-    """(session, pass): the first event of one kind comes before the last of another; null if either is missing."""
+    """(session, pass): the first event of one kind comes before the last of another; neither of them is in order, one alone isn't."""
     g = events.groupBy(session).agg(F.min(F.when(F.col(kind) == first, F.col(order))).alias("a"), F.max(F.when(F.col(kind) == then, F.col(order))).alias("b"))
-    return g.select(session, (F.col("a") < F.col("b")).alias("pass"))
+    return g.select(session, F.coalesce(F.col("a") < F.col("b"), F.col("a").isNull() & F.col("b").isNull()).alias("pass"))
 
 
 def intervals(events: DataFrame, key: list[str], order: str, state: str) -> DataFrame:

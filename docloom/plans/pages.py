@@ -322,6 +322,30 @@ def validate_nested(spark, d):
     return validation.validate(o.select(key.cast("string").alias("_path"), data.alias("_data")), {"order": NESTED}).select("path", "pointer", "keyword")
 
 
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS path, CASE WHEN o_orderkey % 8 = 0 THEN '' ELSE '/priority' END AS pointer, CASE WHEN o_orderkey % 8 = 0 THEN 'required' ELSE 'enum' END AS keyword FROM orders WHERE o_orderkey % 8 = 0 OR o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW')")
+def required_fields(spark, d):
+    key = F.col("o_orderkey")
+    data = F.to_json(F.struct(F.when(key % 8 != 0, F.col("o_orderpriority")).alias("priority")))
+    schema = {"required": ["priority"], "properties": {"priority": {"enum": ["1-URGENT", "2-HIGH", "3-MEDIUM", "5-LOW"]}}}
+    return validation.validate(table(spark, d, "orders").select(key.cast("string").alias("_path"), data.alias("_data")), {"order": schema}).select("path", "pointer", "keyword")
+
+
+@query("SELECT o_orderkey, CASE WHEN d IS NULL THEN 'unknown' WHEN a IS NULL THEN 'unset' WHEN a = d THEN 'current' ELSE 'stale' END AS state FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN ['F', 'O'] ELSE [o_orderstatus] END END AS a, m.d FROM orders LEFT JOIN (SELECT l_orderkey, list_sort(list(DISTINCT l_linestatus)) AS d FROM lineitem GROUP BY l_orderkey) m ON m.l_orderkey = o_orderkey)")
+def staleness(spark, d):
+    derived = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_linestatus").alias("derived"))
+    asserted = F.when(F.col("o_orderkey") % 5 != 0, F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("O"), F.lit("F"))).otherwise(F.array("o_orderstatus")))
+    v = table(spark, d, "orders").join(derived, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", asserted.alias("asserted"), "derived")
+    return validation.staleness(v).select("o_orderkey", "state")
+
+
+@query("WITH b AS (SELECT user_id, max(value) AS confidence FROM events WHERE value >= 0.7 GROUP BY user_id), x AS (SELECT e.user_id, b.confidence, max('\"' || event_type || '\"') AS value FROM events e JOIN b ON b.user_id = e.user_id AND b.confidence = e.value GROUP BY 1, 2) SELECT user_id AS path, 'type' AS key, value, confidence FROM x WHERE value IN ('\"view\"', '\"click\"', '\"error\"')")
+def fill_gate(spark, d):
+    e = table(spark, d, "events")
+    p = e.select(F.col("user_id").alias("path"), F.lit("type").alias("key"), F.concat(F.lit('"'), "event_type", F.lit('"')).alias("value"), F.col("value").alias("confidence"))
+    more = e.select(F.col("user_id").alias("path"), F.lit("undeclared").alias("key"), F.lit("1").alias("value"), F.lit(1.0).alias("confidence"))
+    return validation.fill(p.union(more), {"properties": {"type": {"enum": ["view", "click", "error"]}}})
+
+
 # ---- histories --------------------------------------------------------------------------------------------------
 
 _EDITS = """WITH RECURSIVE e AS (SELECT user_id AS u, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS c, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CASE event_type WHEN 'view' THEN 3 WHEN 'click' THEN 1 WHEN 'error' THEN 0 ELSE 2 END AS n, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 2 ELSE 1 END AS o FROM events),
@@ -481,6 +505,67 @@ def availability_replay(spark, d):
     return traces.availability(c)
 
 
+@query("SELECT user_id AS session, CASE WHEN n BETWEEN 2 AND 20 THEN 'pass' ELSE 'fail' END AS outcome, CAST(n AS VARCHAR) AS detail FROM (SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS n FROM events GROUP BY user_id)")
+def tool_usage(spark, d):
+    return traces.grade(_events(spark, d), {"uses": {"kind": "tool-usage", "tool": "click", "min": 2, "max": 20}}).drop("grader")
+
+
+@query(_E + ", g AS (SELECT session, count(*) FILTER (WHERE tool = 'click' AND regexp_matches(props, '\"k\": ?[1-4]')) AS a, count(*) FILTER (WHERE tool = 'purchase') AS b, min(i) FILTER (WHERE tool = 'click' AND regexp_matches(props, '\"k\": ?[1-4]')) AS x, max(i) FILTER (WHERE tool = 'purchase') AS y, count(*) FILTER (WHERE kind = 'prompt') AS p, bool_or(kind = 'text' AND regexp_matches(props, '77')) AS w FROM e GROUP BY session) SELECT session, unnest(['never', 'order', 'armed', 'turns']) AS grader, unnest([CASE WHEN b = 0 THEN 'pass' ELSE 'fail' END, CASE WHEN x IS NULL AND y IS NULL OR x <= y THEN 'pass' ELSE 'fail' END, CASE WHEN b = 0 THEN 'skipped' WHEN a >= 3 THEN 'pass' ELSE 'fail' END, CASE WHEN p BETWEEN 5 AND 15 THEN 'pass' ELSE 'fail' END]) AS outcome FROM g")
+def grader_options(spark, d):
+    """Inputs that match, tools that mustn't be used, conditions that arm a grader, and counts of turns."""
+    k = '"file_path":"src/[1-4]'
+    graders = {"never": {"kind": "tool-usage", "tool": "purchase", "expect": "not-used"}, "order": {"kind": "tool-order", "first": "click", "firstInputMatch": k, "then": "purchase"}, "armed": {"kind": "tool-usage", "tool": "click", "inputMatch": k, "min": 3, "when": {"tool_used": "purchase"}}, "turns": {"kind": "turn-count", "min": 5, "max": 15}}
+    return traces.grade(_events(spark, d), graders).select("session", "grader", "outcome")
+
+
+def _talks(spark, d):
+    no = F.lit(False)
+    kind = F.when(F.col("role") == "user", "prompt").otherwise("text")
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("session"), F.col("turn").alias("index"), kind.alias("kind"), F.lit(None).cast("string").alias("tool"), F.lit(None).cast("string").alias("input"), "text", no.alias("sidechain"), no.alias("meta"), no.alias("compact"), F.lit("human").alias("origin"))
+
+
+@query("SELECT conv_id AS session, count(*) FILTER (WHERE role = 'user') > 2 AND coalesce(bool_or(role = 'user' AND regexp_matches(text, '(?i)the')), false) AS triggered FROM conversations GROUP BY conv_id")
+def trigger_conditions(spark, d):
+    return traces.triggered(_talks(spark, d), {"turn_count_above": 2, "prompt_matches": "(?i)the"})
+
+
+@query("SELECT user_id, count(*) AS runs, round(count(*) FILTER (WHERE event_type = 'view') / CAST(count(*) AS DOUBLE), 6) AS share, CASE WHEN count(*) FILTER (WHERE event_type = 'view') / CAST(count(*) AS DOUBLE) >= 0.25 THEN 'pass' WHEN count(*) FILTER (WHERE event_type = 'view') / CAST(count(*) AS DOUBLE) >= 0.15 THEN 'review' ELSE 'fail' END AS zone FROM events GROUP BY user_id")
+def consensus_zone(spark, d):
+    return traces.consensus(table(spark, d, "events").select("user_id", (F.col("event_type") == "view").alias("pass")), "user_id", 0.25, 0.15)
+
+
+_TWO = """WITH l AS (SELECT doc_id AS k, CASE WHEN ls[len(ls)] = '' THEN ls[1:len(ls) - 1] ELSE ls END AS ls FROM (SELECT doc_id, string_split(replace(text, chr(13) || chr(10), chr(10)), chr(10)) AS ls FROM documents)),
+c AS (SELECT k, ls[len(ls) - 1] || chr(10) || ls[len(ls)] AS t, len(ls) - 1 AS f, CASE WHEN k % 2 = 0 THEN list_concat(ls, ['end'], ls) ELSE list_concat(['start'], ls) END AS now FROM l WHERE len(ls) >= 2),
+w AS (SELECT k, f, t, unnest(range(1, len(now))) AS n, now FROM c), m AS (SELECT k, f, n FROM w WHERE now[n] || chr(10) || now[n + 1] = t)"""
+
+
+def _last_two(spark, d):
+    """Each document's two last lines are cited; its text is now there twice, or after another line."""
+    doc = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.col("doc_id").cast("string").alias("path"), "text", pins.lines_of(F.col("text")).alias("ls"))
+    n = F.size("ls")
+    c = doc.where(n >= 2).select("id", "path", (n - 1).alias("first"), n.alias("last"), pins.pin(F.col("ls"), n - 1, n).alias("pin"), F.array_join(F.slice("ls", n - 1, F.lit(2)), "\n").alias("original"))
+    own = F.array_join("ls", "\n")
+    return c, doc.select("path", F.when(F.col("id") % 2 == 0, F.concat(own, F.lit("\nend\n"), own, F.lit("\n"))).otherwise(F.concat(F.lit("start\n"), own, F.lit("\n"))).alias("text"))
+
+
+@query(_TWO + " SELECT k AS id, n AS at FROM m")
+def moved_window(spark, d):
+    return pins.find_moved(*_last_two(spark, d)).select("id", "at")
+
+
+@query(_TWO + " SELECT c.k AS id, CASE WHEN now[c.f] || chr(10) || now[c.f + 1] = t THEN 'current' WHEN p = 1 THEN 'moved' WHEN p > 1 THEN 'moved-ambiguous' ELSE 'changed' END AS status, CASE WHEN now[c.f] || chr(10) || now[c.f + 1] <> t AND p = 1 THEN q END AS \"at\" FROM c LEFT JOIN (SELECT k, count(*) AS p, min(n) AS q FROM m GROUP BY k) m ON m.k = c.k")
+def classify_sources(spark, d):
+    c, now = _last_two(spark, d)
+    return pins.classify(c.drop("original"), now).select("id", "status", "at")
+
+
+@query("WITH w AS (SELECT c_nationkey AS id, CAST(c_custkey % 900 AS INT) AS a, CASE WHEN c_custkey % 7 <> 0 THEN CAST(c_custkey % 900 + c_custkey % 40 AS INT) END AS b FROM customer), r AS (SELECT DISTINCT CAST(s_suppkey * 9 AS INT) AS c FROM supplier) SELECT id, count(*) AS windows, count(*) FILTER (WHERE b IS NULL) AS open, CAST(coalesce(sum(b - a), 0) AS BIGINT) AS commits, CAST(sum((SELECT count(*) FROM r WHERE r.c >= w.a AND r.c < coalesce(w.b, 2147483647))) AS BIGINT) AS crossed FROM w GROUP BY id")
+def history_metrics(spark, d):
+    c = F.col("c_custkey")
+    w = table(spark, d, "customer").select(F.col("c_nationkey").alias("id"), (c % 900).cast("int").alias("opened"), F.when(c % 7 != 0, (c % 900 + c % 40).cast("int")).alias("closed"))
+    return pins.history_metrics(w, table(spark, d, "supplier").select((F.col("s_suppkey") * 9).alias("commit")))
+
+
 # ---- templates --------------------------------------------------------------------------------------------------
 
 

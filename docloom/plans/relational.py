@@ -78,10 +78,7 @@ QUERIES: dict[str, tuple[str, str | None]] = {
     "scalar_math": ("SELECT o_orderkey, round(o_totalprice, 1) AS r, CAST(floor(o_totalprice / 1000) AS BIGINT) AS k, least(o_orderkey, o_custkey) AS lo, greatest(o_orderkey, o_custkey) AS hi, abs(o_custkey - o_orderkey) AS d FROM orders", None),
     # checks, inference, precedence
     "corpus_check_unique": ("SELECT CAST(d.doc_id AS STRING) AS path, 'text' AS key, concat('n=', CAST(g.n AS STRING)) AS message FROM documents d JOIN (SELECT md5(text) AS k, count(*) AS n FROM documents GROUP BY md5(text) HAVING count(*) > 1) g ON md5(d.text) = g.k", None),
-    "required_fields": ("SELECT CAST(o_orderkey AS STRING) AS path, 'o_orderpriority' AS key, 'required' AS keyword FROM orders WHERE o_orderpriority IS NULL OR o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW')", None),
     "resolve_precedence": ("SELECT doc_id, coalesce(a, b, c) AS value, CASE WHEN a IS NOT NULL THEN 'asserted' WHEN b IS NOT NULL THEN 'derived' ELSE 'default' END AS origin FROM (SELECT d.doc_id, CASE WHEN l.quality = 1 THEN 'label' END AS a, CASE WHEN d.n_chars > 2000 THEN d.lang END AS b, d.source AS c FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)", None),
-    "staleness": ("SELECT o_orderkey, CASE WHEN d IS NULL THEN 'unknown' WHEN a IS NULL THEN 'unset' WHEN a = d THEN 'current' ELSE 'stale' END AS state FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus END AS a, m.d FROM orders LEFT JOIN (SELECT l_orderkey, max(l_linestatus) AS d FROM lineitem GROUP BY l_orderkey) m ON m.l_orderkey = o_orderkey)", None),
-    "fill_gate": ("SELECT user_id, value, confidence FROM (SELECT user_id, event_type AS value, value AS confidence, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rn FROM events WHERE value >= 0.7) WHERE rn = 1", None),
     "record_refs": ("SELECT c.c_custkey, n.n_nationkey FROM (SELECT c_custkey, upper(concat('N', CAST(c_nationkey AS STRING))) AS ref FROM customer) c JOIN (SELECT n_nationkey, lower(concat('n', CAST(n_nationkey AS STRING))) AS id FROM nation) n ON lower(c.ref) = n.id", None),
     # graph aggregates
     "coverage": ("SELECT d.lang, round(CAST(100 AS DOUBLE) * count(l.doc_id) / count(*), 1) AS labelled, count(*) AS n FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON l.doc_id = d.doc_id GROUP BY d.lang", None),

@@ -367,22 +367,11 @@ def last_turn(spark, d):
     return evals.last_turn(table(spark, d, "conversations"), "conv_id", "turn", F.col("role") == "user").select("conv_id", "turn")
 
 
-@query("SELECT user_id, min(event_id) FILTER (WHERE event_type = 'view') < max(event_id) FILTER (WHERE event_type = 'purchase') AS pass FROM events GROUP BY user_id")
+@query("SELECT user_id, coalesce(min(event_id) FILTER (WHERE event_type = 'view') < max(event_id) FILTER (WHERE event_type = 'purchase'), count(*) FILTER (WHERE event_type IN ('view', 'purchase')) = 0) AS pass FROM events GROUP BY user_id")
 def tool_order(spark, d):
     return evals.tool_order(table(spark, d, "events"), "user_id", "event_id", "event_type", "view", "purchase")
 
 
-@query("SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS uses, count(*) FILTER (WHERE event_type = 'click') BETWEEN 2 AND 20 AS pass FROM events GROUP BY user_id")
-def tool_usage(spark, d):
-    n = F.count_if(F.col("event_type") == "click")
-    return table(spark, d, "events").groupBy("user_id").agg(n.alias("uses"), n.between(2, 20).alias("pass"))
-
-
-@query("SELECT conv_id, count(*) > 4 AS long, coalesce(bool_or(role = 'user' AND text ILIKE '%the%'), false) AS matches FROM conversations GROUP BY conv_id")
-def trigger_conditions(spark, d):
-    return table(spark, d, "conversations").groupBy("conv_id").agg((F.count(F.lit(1)) > 4).alias("long"), F.coalesce(F.bool_or((F.col("role") == "user") & F.col("text").ilike("%the%")), F.lit(False)).alias("matches"))
-
-
 _ISLANDS = """WITH l AS (SELECT user_id, event_id, value > 50 AS stale, lag(value > 50) OVER w AS b, lag(event_id) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 i AS (SELECT *, sum(CASE WHEN p IS NULL OR stale IS DISTINCT FROM b THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM l), a AS (SELECT user_id, g, stale, min(event_id) AS opened, count(*) AS n FROM i GROUP BY 1, 2, 3),
 c AS (SELECT *, lead(opened) OVER (PARTITION BY user_id ORDER BY g) AS closed FROM a)"""
@@ -477,12 +466,6 @@ def regex_grader(spark, d):
     return table(spark, d, "documents").select("doc_id", F.col("text").rlike("[0-9a-f]{16}").alias("pass"))
 
 
-@query("SELECT user_id, CASE WHEN s >= 0.25 THEN 'pass' WHEN s >= 0.15 THEN 'review' ELSE 'fail' END AS zone FROM (SELECT user_id, count(*) FILTER (WHERE event_type = 'view') / CAST(count(*) AS DOUBLE) AS s FROM events GROUP BY user_id)")
-def consensus_zone(spark, d):
-    s = table(spark, d, "events").groupBy("user_id").agg((F.count_if(F.col("event_type") == "view") / F.count(F.lit(1))).alias("s"))
-    return s.select("user_id", F.when(F.col("s") >= 0.25, "pass").when(F.col("s") >= 0.15, "review").otherwise("fail").alias("zone"))
-
-
 @query("SELECT user_id, round(sum(exp(-date_diff('day', CAST(ts AS DATE), DATE '2024-01-31') / CAST(30 AS DOUBLE))), 6) AS rate FROM events GROUP BY user_id")
 def decayed_rate(spark, d):
     age = F.datediff(F.lit("2024-01-31").cast("date"), F.to_date("ts"))
@@ -513,31 +496,6 @@ def pin_hash(spark, d):
     return table(spark, d, "documents").select("doc_id", F.contains("text", F.lit("\n")).alias("lines"), T.pin_hash(F.col("text"), F.lit(1), F.lit(2)).alias("pin"))
 
 
-_MOVED = """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
-w AS (SELECT doc_id, n, md5(t || chr(10) || lead(t) OVER (PARTITION BY doc_id ORDER BY n)) AS h FROM l), p AS (SELECT doc_id, h FROM w WHERE n = 1 AND h IS NOT NULL),
-f AS (SELECT p.doc_id, count(*) AS places, count(*) FILTER (WHERE w.doc_id = p.doc_id AND w.n = 1) AS here FROM p JOIN w ON w.h = p.h GROUP BY 1)"""
-
-
-def _moved(spark, d):
-    """For the two first lines of each document, the places where these stand: windows of two lines, joined on their hash."""
-    line = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("n", "t"))
-    after = F.lead("t").over(Window.partitionBy("doc_id").orderBy("n"))
-    w = line.select("doc_id", "n", F.md5(F.concat("t", F.lit("\n"), after)).alias("h")).where("h is not null")
-    p = w.where("n = 0").select(F.col("doc_id").alias("pin"), "h")
-    # places of one hash are counted before the join, so that a common window isn't multiplied
-    return p.join(w.groupBy("h").agg(F.count(F.lit(1)).alias("places")), "h").select(F.col("pin").alias("doc_id"), "places")
-
-
-@query(_MOVED + " SELECT doc_id, places FROM f")
-def moved_window(spark, d):
-    return _moved(spark, d)
-
-
-@query(_MOVED + " SELECT doc_id, CASE WHEN places = 1 THEN 'current' ELSE 'moved-ambiguous' END AS state FROM f")
-def classify_sources(spark, d):
-    return _moved(spark, d).select("doc_id", F.when(F.col("places") == 1, "current").otherwise("moved-ambiguous").alias("state"))
-
-
 @query("SELECT doc_id, regexp_replace(text, '(^|[^0-9A-Za-z_])(AKIA|ASIA|AROA|AIDA)[0-9A-Z]{16}([^0-9A-Za-z_]|$)', '\\1[redacted:aws-access-key-id]\\3', 'g') = text AS clean FROM documents")
 def redact_aws(spark, d):
     return table(spark, d, "documents").select("doc_id", (F.regexp_replace("text", F.lit(T.REDACTIONS[2][0]), F.lit(T.REDACTIONS[2][1])) == F.col("text")).alias("clean"))
