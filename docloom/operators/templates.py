@@ -1,8 +1,8 @@
 """Pages against templates: which template, how sections align, and the rules of each kind of node.
 
 nodes and sections come from docloom.sources.structure. A template is {"sections": [rule, ..]}; a rule has "name" (the
-heading it wants, or None for any), "pattern" (of the heading), "required", "repeat", and "content": rules for nodes of a
-kind with "min", "max" and tests. Findings are (path, section, rule, message).
+heading it wants, or None for any), "pattern" (of the heading), "required", "repeat", "sections" (rules for the sections
+inside), and "content": rules for nodes of a kind with "min", "max" and tests. Findings are (path, section, rule, message).
 """
 
 from __future__ import annotations
@@ -34,7 +34,7 @@ def resolve(docs: DataFrame, index: dict[str, str], config: list[tuple[str, str]
 def align_titles(titles: list[str], rules: list[dict]) -> list[tuple[int | None, int | None]]:
     """(rule, title) pairs of least cost: a match 0, a rule on a heading it rejects 1, a required rule without a heading or a heading without a rule 2. A repeating rule takes several; ties go to a match, then to the earlier rule."""
     n, m = len(rules), len(titles)
-    fits = [[r.get("name") is None and not r.get("pattern") or (r.get("name") or "").lower() == t.lower() and r.get("name") is not None or bool(r.get("pattern") and re.search(r["pattern"], t)) for t in titles] for r in rules]
+    fits = [[_fits(r, t) for t in titles] for r in rules]
     best: dict[tuple[int, int], tuple] = {(n, m): (0, 0, None)}
     for i in range(n, -1, -1):
         for j in range(m, -1, -1):
@@ -61,27 +61,65 @@ def align_titles(titles: list[str], rules: list[dict]) -> list[tuple[int | None,
     return out
 
 
+def _fits(rule: dict, title: str) -> bool:
+    name, pattern = rule.get("name"), rule.get("pattern")
+    return name is None and not pattern or name is not None and name.lower() == title.lower() or bool(pattern and re.search(pattern, title))
+
+
+def align_tree(rules: list[dict], tops: list[int], titles: dict[int, str], below: dict[int, list[int]], prefix: str = "") -> list[tuple[str | None, int | None, str]]:
+    """(rule, section, status) of sections and, below each that a rule takes, of its own sections by the rule's own rules; a rule is named by the places of its holders and its own, as 0/2."""
+    out = []
+    for i, j in align_titles([titles[x] for x in tops], rules):
+        r, at = None if i is None else rules[i], None if j is None else tops[j]
+        if at is None and not r.get("required", True):
+            continue
+        status = "unexpected" if r is None else "missing" if at is None else "match" if _fits(r, titles[at]) else "coerced"
+        name = None if i is None else f"{prefix}{i}"
+        out.append((name, at, status))
+        if r is not None and at is not None and "sections" in r:
+            out += align_tree(r["sections"], below.get(at, []), titles, below, f"{name}/")
+    return out
+
+
 def align(sections: DataFrame, assigned: DataFrame, templates: dict[str, dict], level: int = 2) -> DataFrame:
-    """(path, template, rule, section, title, status) of each page's sections of a level: match, coerced, missing or unexpected. Each page is aligned in one group: a page's headings are few."""
-    s = sections.where(F.col("level") == level).select("path", "section", "title")
+    """(path, template, rule, section, title, status) of each page's sections from a level on, by rules and the rules inside them: match, coerced, missing or unexpected.
+
+    Sections below a missing or unexpected one aren't looked at. Each page is aligned in one group: its headings are few.
+    """
+    s = sections.where(F.col("level") >= level).select("path", "section", "title", "level", "parent")
     d = assigned.select("path", "template").join(s, "path", "left")
 
     def run(key, g: pd.DataFrame) -> pd.DataFrame:
-        rules = templates.get(key[1], {}).get("sections", [])
         g = g.dropna(subset=["section"]).sort_values("section")
-        titles, out = g["title"].fillna("").tolist(), []
-        for i, j in align_titles(titles, rules):
-            r = None if i is None else rules[i]
-            ok = r is not None and j is not None and (r.get("name") is None and not r.get("pattern") or (r.get("name") or "").lower() == titles[j].lower() or bool(r.get("pattern") and re.search(r["pattern"], titles[j])))
-            if j is None and not r.get("required", True):
-                continue
-            status = "unexpected" if r is None else "missing" if j is None else "match" if ok else "coerced"
-            out.append((key[0], key[1], i, None if j is None else int(g["section"].iloc[j]), None if j is None else titles[j], status))
+        at = g["section"].astype(int).tolist()
+        titles = dict(zip(at, g["title"].fillna("").tolist(), strict=True))
+        below: dict[int, list[int]] = {}
+        tops = []
+        for x, deep, parent in zip(at, g["level"].tolist(), g["parent"].tolist(), strict=True):
+            if deep == level:
+                tops.append(x)
+            elif not pd.isna(parent):
+                below.setdefault(int(parent), []).append(x)
+        out = [(key[0], key[1], r, x, titles.get(x), status) for r, x, status in align_tree(templates.get(key[1], {}).get("sections", []), tops, titles, below)]
         d = pd.DataFrame(out, columns=["path", "template", "rule", "section", "title", "status"])
-        d[["rule", "section"]] = d[["rule", "section"]].astype("Int32")
+        d["section"] = d["section"].astype("Int32")
         return d
 
-    return d.groupBy("path", "template").applyInPandas(run, "path string, template string, rule int, section int, title string, status string")
+    return d.groupBy("path", "template").applyInPandas(run, "path string, template string, rule string, section int, title string, status string")
+
+
+def rules_of(templates: dict[str, dict]) -> list[tuple[str, str, dict]]:
+    """(template, rule, the rule itself) of all rules, those inside others too."""
+    out: list[tuple[str, str, dict]] = []
+
+    def add(name: str, rules: list[dict], prefix: str) -> None:
+        for i, r in enumerate(rules):
+            out.append((name, f"{prefix}{i}", r))
+            add(name, r.get("sections", []), f"{prefix}{i}/")
+
+    for name, t in templates.items():
+        add(name, t.get("sections", []), "")
+    return out
 
 
 def in_sections(nodes: DataFrame) -> DataFrame:
@@ -125,8 +163,8 @@ def check_content(nodes: DataFrame, aligned: DataFrame, templates: dict[str, dic
     "narrow" counts only blocks of that language. Nodes are joined once with the sections of all
     templates; every rule is a conditional aggregate of its section.
     """
-    rules = [(name, i, c, f"{c['kind']} {k}") for name, t in templates.items() for i, r in enumerate(t.get("sections", [])) for k, c in enumerate(r.get("content", []))]
-    own = aligned.where("section is not null").select("path", "section", "template", "rule")
+    rules = [(name, i, c, f"{c['kind']} {k}") for name, i, r in rules_of(templates) for k, c in enumerate(r.get("content", []))]
+    own = aligned.where("section is not null").select("path", "section", "template", F.col("rule").cast("string").alias("rule"))
     rows = []
     for name, i, c, label in rules:
         mine = (F.col("template") == name) & (F.col("rule") == i)

@@ -578,6 +578,20 @@ def template_counts(spark, d):
     return templates.check_content(n, own, t).select("path", "rule", "message")
 
 
+@query("""WITH c AS (SELECT CAST(c_custkey AS VARCHAR) AS path, c_custkey AS k, c_mktsegment AS s FROM customer) SELECT path, '0/0' AS rule, 'coerced' AS status FROM c WHERE s <> 'BUILDING' UNION ALL SELECT path, '1/0', 'missing' FROM c WHERE k % 3 = 0 UNION ALL SELECT path, '1/0/0', 'missing' FROM (SELECT path, k, unnest(range(1, k % 3 + 1)) AS i FROM c) WHERE (k + i) % 4 <> 0
+UNION ALL SELECT path, '1/0/0', 'coerced' FROM (SELECT path, k, unnest(range(1, k % 3 + 1)) AS i FROM c) WHERE (k + i) % 4 = 0 AND k % 5 = 0 UNION ALL SELECT path, NULL, 'unexpected' FROM c WHERE k % 7 = 0""")
+def template_tree(spark, d):
+    """Sections three levels deep: segments, items that repeat, and a note in each."""
+    c = F.col("c_custkey")
+    note = F.when(c % 5 == 0, "#### Remark\n").otherwise("#### Note\n")
+    items = F.transform(F.when(c % 3 > 0, F.sequence(F.lit(1).cast("long"), c % 3)).otherwise(F.expr("cast(array() as array<bigint>)")), lambda i: F.concat(F.lit("### Item "), i.cast("string"), F.lit("\n"), F.when((c + i) % 4 == 0, note).otherwise("")))
+    text = F.concat(F.lit("# T\n## Intro\n### "), "c_mktsegment", F.lit("\n## Items\n"), F.array_join(items, ""), F.when(c % 7 == 0, "## Odd\n### Below\n").otherwise(""))
+    p = table(spark, d, "customer").select(c.cast("string").alias("path"), text.alias("text"), F.lit("md").alias("kind"))
+    t = {"t": {"sections": [{"name": "Intro", "sections": [{"name": "BUILDING"}]}, {"name": "Items", "sections": [{"pattern": "^Item", "repeat": True, "sections": [{"name": "Note"}]}]}]}}
+    a = templates.align(structure.sections(structure.nodes(p, "path", "text", "kind")), p.select("path", F.lit("t").alias("template")), t)
+    return a.where("status <> 'match'").select("path", "rule", "status")
+
+
 @query("SELECT lower(key) AS key, v AS value FROM (SELECT unnest(['a~1b', 'm~0n']) AS key, unnest(['1', '[2,3]']) AS v)")
 def json_pointer(spark, d):
     data = F.lit('{"a/b":1,"m~n":[2,3]}')

@@ -419,6 +419,11 @@ def test_templates(spark):
     assert rows(aligned, "title", "status") == [("Intro", "match"), ("Odd", "coerced"), ("Steps", "match")]
     assert rows(templates.check_content(n, aligned, t), "rule", "message") == [("code 1", "language: 1 fail"), ("list 0", "min_items: 1 fail"), ("table 1", "at least 1, found 0")]
     assert rows(templates.check_sequence(n, ["paragraph", "code"]), "section") == [(3,)] and rows(templates.check_sequence(n, ["code"], contains=True), "section") == [(3,)]
+    deep = structure.nodes(spark.createDataFrame([("d.md", "## A\n### x\none\n### z\n## B\n### y\n")], "path string, text string"))
+    inner = {"t": {"sections": [{"name": "A", "sections": [{"name": "x", "content": [{"kind": "paragraph", "max": 0}, {"kind": "code"}]}, {"name": "y", "required": False}]}, {"name": "C", "sections": [{"name": "y"}]}, {"name": "D", "sections": [{"name": "q"}]}]}}
+    tree = templates.align(structure.sections(deep), spark.createDataFrame([("d.md", "t")], "path string, template string"), inner)
+    assert rows(tree, "rule", "title", "status") == sorted([("0", "A", "match"), ("0/0", "x", "match"), ("0/1", "z", "coerced"), ("1", "B", "coerced"), ("1/0", "y", "match"), ("2", None, "missing")], key=str)
+    assert rows(templates.check_content(deep, tree, inner), "rule", "message") == [("code 1", "at least 1, found 0"), ("paragraph 0", "at most 0, found 1")]
     more = structure.nodes(spark.createDataFrame([(f"{i}.md", text) for i in range(4)] + [("z.md", "## Intro\n")], "path string, text string"))
     assert rows(templates.infer(structure.sections(more)), "slug", "share", "required") == [("intro", 1.0, True), ("odd", 0.8, False), ("steps", 0.8, False)]
 
