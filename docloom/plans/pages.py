@@ -592,11 +592,12 @@ def template_tree(spark, d):
     return a.where("status <> 'match'").select("path", "rule", "status")
 
 
-@query("SELECT lower(key) AS key, v AS value FROM (SELECT unnest(['a~1b', 'm~0n']) AS key, unnest(['1', '[2,3]']) AS v)")
+@query("SELECT event_id, 'a~1b' AS key, json_extract_string(props, '$.k') AS inner, CASE WHEN event_id % 3 = 0 THEN '\"' || event_type || '\"' END AS item FROM events")
 def json_pointer(spark, d):
-    data = F.lit('{"a/b":1,"m~n":[2,3]}')
-    one = table(spark, d, "region").limit(1)
-    return one.select(F.explode(F.array(F.struct(formats.escape_pointer(F.lit("a/b")).alias("key"), formats.descend(data, "/a~1b").alias("value")), F.struct(formats.escape_pointer(F.lit("m~n")).alias("key"), formats.descend(data, "/m~0n").alias("value")))).alias("x")).select("x.*")
+    """Pointers into a document built from each event: keys with both escapes, and an item of an array that every third one has."""
+    k = F.get_json_object("props", "$.k")
+    data = F.concat(F.lit('{"a/b":{"m~n":'), k, F.lit('},"l":[0'), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit(',"'), "event_type", F.lit('"'))).otherwise(""), F.lit("]}"))
+    return table(spark, d, "events").select("event_id", formats.escape_pointer(F.lit("a/b")).alias("key"), formats.descend(data, "/a~1b/m~0n").alias("inner"), formats.descend(data, "/l/1").alias("item"))
 
 
 # ---- strategy, context, access ----------------------------------------------------------------------------------
