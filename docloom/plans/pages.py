@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.operators import context, glossary, links, ordered, patterns, pins, provenance, shacl, strategy, templates, traces, triples, validation, writeback
+from docloom.functions import tables
+from docloom.operators import context, glossary, links, ordered, patterns, pins, provenance, shacl, sqlguard, strategy, templates, traces, triples, validation, writeback
 from docloom.plans.glossary import TERMS, terms_of
 from docloom.plans.lineage import cut
 from docloom.plans.toolkit import query, table
@@ -48,6 +49,21 @@ def split_body_sizes(spark, d):
     return structure.split_body(doc, 0).groupBy("path").agg(F.max(n).alias("longest"), (F.sum(n) + F.count(F.lit(1)) - 1).alias("chars"))
 
 
+@query("""WITH l AS (SELECT CAST(doc_id AS VARCHAR) AS path, len(string_split(text, chr(10))) AS n FROM documents), s AS (SELECT path, n, unnest(range(1, n // 3 + 1)) AS section FROM l)
+SELECT path, CAST(section AS INTEGER) AS section, CAST(1 + section % 4 AS INTEGER) AS level, 'Section ' || section AS title, CAST(3 * section AS INTEGER) AS first, CAST(CASE WHEN section = n // 3 THEN n ELSE 3 * section + 2 END AS INTEGER) AS last FROM s""")
+def line_sections(spark, d):
+    """Sections by the table function, over lines of which every third is a heading."""
+    tables.register(spark)
+    n = F.col("p") + 1
+    each = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), F.posexplode(F.split("text", "\n")).alias("p", "line"))
+    head = F.concat(F.repeat(F.lit("#"), (1 + (n / 3).cast("int") % 4).cast("int")), F.lit(" Section "), (n / 3).cast("int").cast("string"))
+    each.select("path", n.alias("n"), F.when(n % 3 == 0, head).otherwise(F.concat(F.lit("- "), "line")).alias("line")).createOrReplaceTempView("docloom_lines")
+    try:
+        return sqlguard.run(spark, "select * from line_sections(table(docloom_lines))")
+    finally:
+        spark.catalog.dropTempView("docloom_lines")
+
+
 #: Pages that some links mean: by name, by other case, by slug and by folder.
 PATHS = """SELECT DISTINCT CASE length(w) % 4 WHEN 0 THEN concat(lower(w), '.md') WHEN 1 THEN concat(w, '/index.md') WHEN 2 THEN concat(w, '-.mdx') ELSE concat(w, '.html') END AS path FROM (SELECT regexp_replace(url, '^.*/', '') AS w FROM pages UNION ALL SELECT {} AS w FROM pages) x WHERE length(w) % 5 <> 0"""
 _WORD = "substr(regexp_extract(html, 'href=\"(/[^\"]*)\"', 1), 2)"

@@ -7,6 +7,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
+from docloom.functions import tables
 from docloom.functions import text as T
 from docloom.operators import context, corpus, glossary, graph, links, pins, search, sqlguard, strategy, templates, traces, triples, validation, writeback
 from docloom.sources import formats, frontmatter, sinks, structure, terms
@@ -156,6 +157,19 @@ def test_guards_walk_the_plan(spark, tmp_path):
     assert sqlguard.run(spark, "select max(id) as m from five having max(id) > (select min(id) from five)").first().m == 4
 
 
+def test_table_functions(spark):
+    tables.register(spark)
+    spark.createDataFrame([("a", 1, "x\ny\nlonger line\nz"), ("b", 2, None), ("c", 3, "")], "path string, k int, text string").createOrReplaceTempView("bodies")
+    got = sqlguard.run(spark, "select path, k, part, text from split_body(table(bodies), 4)")
+    assert rows(got, "path", "k", "part", "text") == [("a", 1, 0, "x\ny"), ("a", 1, 1, "longer line"), ("a", 1, 2, "z"), ("c", 3, 0, "")]
+    text = {"p": ["intro", "# One #", "```", "# not", "~~~", "```", "text", "### Two"], "q": ["none"], "r": ["## R"]}
+    spark.createDataFrame([(p, i + 1, x) for p, ls in text.items() for i, x in enumerate(ls)], "path string, n int, line string").repartition(3).createOrReplaceTempView("some_lines")
+    got = sqlguard.run(spark, "select * from line_sections(table(some_lines))")
+    assert rows(got, "path", "section", "level", "title", "first", "last") == [("p", 1, 1, "One", 2, 7), ("p", 2, 3, "Two", 8, 8), ("r", 1, 2, "R", 1, 1)]
+    with pytest.raises(Exception, match="no text"):
+        spark.sql("select * from split_body(table(some_lines))").collect()
+
+
 def test_suggestions_equal_all_comparisons(spark):
     def distance(a, b):
         d = list(range(len(b) + 1))
