@@ -33,7 +33,7 @@ def traverse(triples: DataFrame, seeds: DataFrame, depth: int = 1, predicates: l
         frontier = cut(step.withColumn("depth", F.lit(d)))
         if frontier.isEmpty():
             break
-        seen = cut(seen.union(frontier))
+        seen = seen.union(frontier)  # of written rounds; none is written again
     return seen if limit is None else seen.orderBy("depth", "node").limit(limit)
 
 

@@ -112,5 +112,5 @@ def frontier(start: DataFrame, links: DataFrame, scope: str, exclude: list[str]
         front = cut(e.join(front, e.a == front.url).select(F.col("b").alias("url")).distinct().join(seen, "url", "left_anti").withColumn("depth", F.lit(d)))
         if front.isEmpty():
             break
-        seen = cut(seen.union(front))
+        seen = seen.union(front)  # of written rounds; none is written again
     return seen if limit is None else seen.orderBy("depth", "url").limit(limit)
