@@ -48,33 +48,38 @@ class CoverTree:
                 if len(points) <= LEAF or self.radius[node] < 1e-6:
                     continue
                 r = min(r, self.radius[node])
-                for centre, own in self._net(points, self.centre[node], r / 2):
-                    child = self._node(centre, own)
+                net = self._net(points, self.centre[node], r / 2)
+                if 2 * len(net) > len(points):  # so far apart that smaller nodes would hold hardly more than a point each
+                    continue
+                for centre, own, radius in net:
+                    child = self._node(centre, own, radius)
                     self.children[node].append(child)
                     todo.append((child, r / 2))
 
-    def _node(self, centre: int, points: np.ndarray) -> int:
+    def _node(self, centre: int, points: np.ndarray, radius: float | None = None) -> int:
         self.centre.append(centre)
         self.points.append(points)
         self.children.append([])
-        self.radius.append(float(distance(self.x[points], self.x[centre][None]).max()))
+        self.radius.append(float(distance(self.x[points], self.x[centre][None]).max()) if radius is None else radius)
         return len(self.centre) - 1
 
-    def _net(self, points: np.ndarray, first: int, r: float) -> list[tuple[int, np.ndarray]]:
-        """Centres further than r from each other, the node's own first, each with the points nearest to it."""
+    def _net(self, points: np.ndarray, first: int, r: float) -> list[tuple[int, np.ndarray, float]]:
+        """Centres further than r from each other, the node's own first, each with the points nearest to it and its covering radius."""
         x = self.x[points]
         every = distance(x, x) if len(points) <= AT_ONCE else None  # all distances by one product where they fit
         row = lambda k: distance(x, x[k][None])[:, 0] if every is None else every[k]
         near, owner, centres = row(int(np.flatnonzero(points == first)[0])).copy(), np.zeros(len(points), int), [first]
         while True:
             far = int(near.argmax())
-            if near[far] <= r:
+            if near[far] <= r or 2 * len(centres) > len(points):
                 break
             centres.append(int(points[far]))
             d = row(far)
             closer = d < near
             near[closer], owner[closer] = d[closer], len(centres) - 1
-        return [(c, points[owner == k]) for k, c in enumerate(centres)]
+        order = np.argsort(owner, kind="stable")
+        at = np.searchsorted(owner[order], np.arange(len(centres) + 1))
+        return [(c, points[order[at[k] : at[k + 1]]], float(near[order[at[k] : at[k + 1]]].max())) for k, c in enumerate(centres)]
 
 
 def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
