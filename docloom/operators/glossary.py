@@ -208,10 +208,17 @@ def asymmetric_hierarchy(terms: DataFrame) -> DataFrame:
 
 def hierarchy(terms: DataFrame) -> DataFrame:
     """(child, parent) of broader and narrower links."""
-    e = edges(terms)
+    return _hierarchy(edges(terms))
+
+
+def _hierarchy(e: DataFrame) -> DataFrame:
     return e.where("field = 'broader'").select(F.col("a").alias("child"), F.col("b").alias("parent")).union(e.where("field = 'narrower'").select("b", "a")).distinct()
 
 
+def _related(e: DataFrame) -> DataFrame:
+    return e.where("field = 'related' and a <> b").select("a", "b")
+
+
 def elementary_cycles(up: DataFrame, most: int = MOST_HOPS) -> DataFrame:
     """(path) of each elementary cycle of (child, parent), once, from its lowest node.
 
@@ -242,39 +249,71 @@ def broader_cycle(terms: DataFrame) -> DataFrame:
     return _finding(_at_entry(c, terms, "start"), "broader-cycle")
 
 
-def above(pairs: DataFrame, up: DataFrame) -> DataFrame:
-    """pairs (a, b) of which b is above a, at any depth: the starts' ancestors are followed round by round, what was seen isn't followed again."""
-    pairs = cut(pairs.select("a", "b").distinct())
-    e = up.select(F.col("child").alias("node"), F.col("parent").alias("next"))
-    seen = front = cut(pairs.select("a").distinct().join(e, F.col("a") == F.col("node")).select("a", F.col("next").alias("node")).distinct())
-    while not front.isEmpty():
-        front = cut(front.join(e, "node").select("a", F.col("next").alias("node")).distinct().join(seen, ["a", "node"], "left_anti"))
-        seen = cut(seen.union(front))
-    return pairs.join(seen.select("a", F.col("node").alias("b")), ["a", "b"], "left_semi")
+def _leaps(e: DataFrame, most: int = 16, farthest: int = 8) -> tuple[DataFrame, int]:
+    """(node, next, hops) of all that lies up to so many hops above each node, and that number, from edges (node, next).
 
+    Hops double while the table stays below ``most`` times the edges, so that a walk takes few rounds.
+    """
+    h = cut(e.withColumn("hops", F.lit(1)))
+    n = size = h.count()
+    reach = 1
+    while reach < farthest:
+        out = h.groupBy(F.col("node").alias("next")).agg(F.count(F.lit(1)).alias("n"))
+        if size + (h.join(out, "next").agg(F.sum("n")).first()[0] or 0) > most * n:
+            break
+        then = h.select(F.col("node").alias("next"), F.col("next").alias("far"), F.col("hops").alias("more"))
+        step = h.join(then, "next").select("node", F.col("far").alias("next"), F.col("hops") + F.col("more"))
+        h = cut(h.union(step).groupBy("node", "next").agg(F.min("hops").alias("hops")))
+        reach, m = reach * 2, h.count()
+        if m == size:
+            break
+        size = m
+    return h, reach
 
-def _related(terms: DataFrame) -> DataFrame:
-    return edges(terms).where("field = 'related' and a <> b").select("a", "b")
 
+def above(pairs: DataFrame, up: DataFrame) -> DataFrame:
+    """pairs (a, b) of which b is above a, at any depth: the starts' ancestors are followed round by round, several hops in one; what was seen isn't followed again.
 
-def _both_ways(terms: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Related pairs, and those of them that the hierarchy relates already, with the direction."""
-    r, up = _related(terms), hierarchy(terms)
-    flip = r.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    higher = above(r, up).withColumn("how", F.lit("broader"))
-    lower = above(flip, up).select(F.col("b").alias("a"), F.col("a").alias("b")).join(higher, ["a", "b"], "left_anti").withColumn("how", F.lit("narrower"))
-    return r, higher.unionByName(lower)
+    Starts without a parent and targets without a child are left out beforehand. The rounds that were written are read
+    together; none is written again.
+    """
+    e = cut(up.select(F.col("child").alias("node"), F.col("parent").alias("next")).distinct())
+    pairs = pairs.select("a", "b").distinct().join(e.select(F.col("node").alias("a")), "a", "left_semi").join(e.select(F.col("next").alias("b")), "b", "left_semi")
+    pairs = cut(pairs.select("a", "b"))
+    h, reach = _leaps(e)
+    front, seen = pairs.select("a", F.col("a").alias("node")).distinct(), None
+    while True:
+        step = front.join(h, "node").groupBy("a", F.col("next").alias("node")).agg(F.min("hops").alias("hops"))
+        new = cut(step if seen is None else step.join(seen, ["a", "node"], "left_anti"))
+        seen = new.select("a", "node") if seen is None else seen.union(new.select("a", "node"))
+        front = new.where(F.col("hops") == reach).select("a", "node")  # a shortest way on leads over these
+        if front.isEmpty():
+            return pairs.join(seen.select("a", F.col("node").alias("b")), ["a", "b"], "left_semi")
+
+
+def _tied(r: DataFrame, up: DataFrame) -> DataFrame:
+    """Pairs (a, b) that the hierarchy relates, with the direction; both directions are looked for in one walk."""
+    flip = lambda d: d.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    found = cut(above(r.union(flip(r)), up))
+    higher = r.join(found, ["a", "b"], "left_semi").withColumn("how", F.lit("broader"))
+    lower = r.join(flip(found), ["a", "b"], "left_semi").join(found, ["a", "b"], "left_anti").withColumn("how", F.lit("narrower"))
+    return higher.unionByName(lower)
 
 
 def related_in_hierarchy(terms: DataFrame) -> DataFrame:
-    return _finding(_at_entry(_both_ways(terms)[1], terms, "a"), "related-in-hierarchy", "how", "b")
+    e = cut(edges(terms))
+    return _finding(_at_entry(_tied(_related(e), _hierarchy(e)), terms, "a"), "related-in-hierarchy", "how", "b")
 
 
 def related_siblings(terms: DataFrame) -> DataFrame:
-    """Once for each related pair that shares a direct parent, on the first entry that lists the other; value is the lowest parent."""
-    r, tied = _both_ways(terms)
-    up = hierarchy(terms)
-    p = r.join(tied, ["a", "b"], "left_anti").join(up.select(F.col("child").alias("a"), "parent"), "a").join(up.select(F.col("child").alias("b"), "parent"), ["b", "parent"])
+    """Once for each related pair that shares a direct parent, on the first entry that lists the other; value is the lowest parent.
+
+    Only pairs that share a parent are looked for in the hierarchy.
+    """
+    e = cut(edges(terms))
+    up = _hierarchy(e)
+    p = cut(_related(e).join(up.select(F.col("child").alias("a"), "parent"), "a").join(up.select(F.col("child").alias("b"), "parent"), ["b", "parent"]))
+    p = p.join(_tied(p.select("a", "b").distinct(), up), ["a", "b"], "left_anti")
     once = p.groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a"), F.min("parent").alias("value"))
     return _finding(_at_entry(once.withColumn("o", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo"))), terms, "a"), "related-siblings", "value", "o")
 
