@@ -114,11 +114,20 @@ def stale_windows(states: DataFrame) -> DataFrame:
 def history_metrics(windows: DataFrame, releases: DataFrame) -> DataFrame:
     """(id, windows, open, commits, crossed): the windows of a citation, those open, commits within closed ones, and releases (commit) that fell into any.
 
-    Releases are counted by their running number, not joined by range.
+    Releases are counted by their running number, not joined by range: they and the windows' ends, each value once, are
+    range-partitioned by commit; each partition adds up its own, after those of the partitions before it.
     """
-    edges = windows.select("id", "opened", F.explode(F.array(F.struct(F.col("opened").alias("at"), F.lit(-1).alias("sign")), F.struct(F.coalesce("closed", F.lit(2**31 - 1)).alias("at"), F.lit(1).alias("sign")))).alias("x")).select("id", "x.at", "x.sign")
-    n = releases.select(F.col("commit").cast("int").alias("commit")).distinct().agg(F.array_sort(F.collect_list("commit")).alias("rs"))  # one row: releases are few
-    crossed = edges.crossJoin(F.broadcast(n)).select("id", (F.col("sign") * F.size(F.filter("rs", lambda r: r < F.col("at")))).alias("c")).groupBy("id").agg(F.sum("c").cast("long").alias("crossed"))
+    at = F.coalesce(F.col("closed"), F.lit(2**31 - 1)).cast("long")
+    ends = windows.select("id", F.explode(F.array(F.struct(F.col("opened").cast("long").alias("at"), F.lit(-1).alias("sign")), F.struct(at.alias("at"), F.lit(1).alias("sign")))).alias("x"))
+    ends = ends.groupBy("id", "x.at").agg(F.sum("x.sign").alias("weight"))
+    r = releases.select(F.col("commit").cast("long").alias("at"), F.lit(1).alias("hit")).where("at is not null")
+    line = r.unionByName(ends.select("at", F.lit(0).alias("hit"))).groupBy("at").agg(F.max("hit").alias("hit"))
+    line = cut(line.repartitionByRange("at").withColumn("part", F.spark_partition_id()))  # the ranges are fixed from here on
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = line.groupBy("part").agg(F.sum("hit").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))  # one row for each partition
+    within = F.coalesce(F.sum("hit").over(Window.partitionBy("part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    below = line.withColumn("within", within).join(F.broadcast(parts), "part").select("at", (F.col("offset") + F.col("within")).alias("below"))
+    crossed = ends.join(below, "at").groupBy("id").agg(F.sum(F.col("weight") * F.col("below")).cast("long").alias("crossed"))
     d = windows.groupBy("id").agg(F.count(F.lit(1)).alias("windows"), F.count_if(F.col("closed").isNull()).alias("open"), F.coalesce(F.sum(F.col("closed") - F.col("opened")), F.lit(0)).cast("long").alias("commits"))
     return d.join(crossed, "id")
 

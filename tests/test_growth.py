@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from docloom.operators import glossary
+from docloom.operators import glossary, pins
 
 
 def rows(d, *cols):
@@ -24,3 +24,11 @@ def test_related_terms_by_hierarchy(spark):
     terms = spark.createDataFrame([(i, "f", 1, "abcd"[i], "en", "abcd"[i].upper() + "x", [], None, up, [], rel) for i, up, rel in t], cols)
     assert rows(glossary.related_in_hierarchy(terms), "id", "value", "other") == [("a", "narrower", "1"), ("b", "narrower", "2"), ("b", "narrower", "3"), ("c", "broader", "0")]
     assert rows(glossary.related_siblings(terms), "id", "value", "other") == [("c", "1", "3")]
+
+
+def test_releases_in_windows_by_running_number(spark):
+    w = spark.createDataFrame([("a", 5, 5), ("a", 3, 10), ("b", 0, None), ("b", 9, None), ("c", 11, 200), ("d", 4, 6)], "id string, opened int, closed int")
+    r = spark.createDataFrame([(x,) for x in (3, 9, 9, 10, 50, None)], "commit long")
+    d = pins.history_metrics(w, r)
+    assert rows(d, "id", "windows", "open", "commits", "crossed") == [("a", 2, 0, 7, 2), ("b", 2, 2, 0, 7), ("c", 1, 0, 189, 1), ("d", 1, 0, 2, 0)]
+    assert "filter(" not in d._jdf.queryExecution().optimizedPlan().toString().replace("Filter", "")  # no list of all releases for each window
