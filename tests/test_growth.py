@@ -1,8 +1,10 @@
 """Steps that must not grow faster than their input: rounds, rows and what a row costs."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from docloom.operators import glossary, pins
+from docloom.sources import batches, structure
 
 
 def rows(d, *cols):
@@ -32,3 +34,15 @@ def test_releases_in_windows_by_running_number(spark):
     d = pins.history_metrics(w, r)
     assert rows(d, "id", "windows", "open", "commits", "crossed") == [("a", 2, 0, 7, 2), ("b", 2, 2, 0, 7), ("c", 1, 0, 189, 1), ("d", 1, 0, 2, 0)]
     assert "filter(" not in d._jdf.queryExecution().optimizedPlan().toString().replace("Filter", "")  # no list of all releases for each window
+
+
+def test_references_without_semicolon_are_text(spark):
+    page = '<h1 id="x">A &amp;&amp &lt; &#x27;q&#39; &copy &nbsp;&amp;lt; \n b &amp</h1><p><a href="/x?a=1&copy=2&amp;b=3">t</a></p>'
+    d = structure.nodes(spark.createDataFrame([("p.html", page)], "path string, text string"))
+    assert [(r.kind, r.text, r.target) for r in d.orderBy("seq").collect()] == [("heading", "A &&amp < 'q' &copy  &lt; b &amp", None), ("paragraph", "t", None), ("link", "t", "/x?a=1&copy=2&b=3")]
+
+
+def test_python_holds_a_few_texts_at_once():
+    b = pa.RecordBatch.from_pydict({"text": ["x" * 40, None, "y" * 70, "", "z" * 500, "w"] + [None] * 1500})
+    got = [p.column("text").to_pylist() for p in batches.pieces(iter([b, b.slice(0, 0)]), "text", 100)]
+    assert [len(x) for x in got][:4] == [2, 2, 1, 1000] and sum(got, []) == b.column("text").to_pylist()
