@@ -8,12 +8,15 @@ inside), and "content": rules for nodes of a kind with "min", "max" and tests. F
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docloom.sources.batches import pieces, table
+
 MATCH, COERCE, MISS = 0, 1, 2
 
 
@@ -84,28 +87,30 @@ def align_tree(rules: list[dict], tops: list[int], titles: dict[int, str], below
 def align(sections: DataFrame, assigned: DataFrame, templates: dict[str, dict], level: int = 2) -> DataFrame:
     """(path, template, rule, section, title, status) of each page's sections from a level on, by rules and the rules inside them: match, coerced, missing or unexpected.
 
-    Sections below a missing or unexpected one aren't looked at. Each page is aligned in one group: its headings are few.
+    Sections below a missing or unexpected one aren't looked at. A page's headings are one row, as they are few, and a task
+    aligns the rows as they come.
     """
-    s = sections.where(F.col("level") >= level).select("path", "section", "title", "level", "parent")
-    d = assigned.select("path", "template").join(s, "path", "left")
-
-    def run(key, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.dropna(subset=["section"]).sort_values("section")
-        at = g["section"].astype(int).tolist()
-        titles = dict(zip(at, g["title"].fillna("").tolist(), strict=True))
-        below: dict[int, list[int]] = {}
-        tops = []
-        for x, deep, parent in zip(at, g["level"].tolist(), g["parent"].tolist(), strict=True):
-            if deep == level:
-                tops.append(x)
-            elif not pd.isna(parent):
-                below.setdefault(int(parent), []).append(x)
-        out = [(key[0], key[1], r, x, titles.get(x), status) for r, x, status in align_tree(templates.get(key[1], {}).get("sections", []), tops, titles, below)]
-        d = pd.DataFrame(out, columns=["path", "template", "rule", "section", "title", "status"])
-        d["section"] = d["section"].astype("Int32")
-        return d
-
-    return d.groupBy("path", "template").applyInPandas(run, "path string, template string, rule string, section int, title string, status string")
+    s = sections.where(F.col("level") >= level).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("section", "title", "level", "parent"))).alias("heads"))
+    d = assigned.select("path", "template").distinct().join(s, "path", "left")
+    d = d.select("path", "template", *(F.coalesce(F.col(f"heads.{c}"), F.array().cast(f"array<{t}>")).alias(c) for c, t in (("section", "int"), ("title", "string"), ("level", "int"), ("parent", "int"))))
+    names, text = ("path", "template", "rule", "section", "title", "status"), pa.string()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in pieces(batches, "path"):
+            out = []
+            for path, template, at, said, levels, parents in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                titles = {x: t or "" for x, t in zip(at, said, strict=True)}
+                below: dict[int, list[int]] = {}
+                tops = []
+                for x, deep, parent in zip(at, levels, parents, strict=True):
+                    if deep == level:
+                        tops.append(x)
+                    elif parent is not None:
+                        below.setdefault(parent, []).append(x)
+                out += [(path, template, r, x, titles.get(x), status) for r, x, status in align_tree(templates.get(template, {}).get("sections", []), tops, titles, below)]
+            yield table(out, names, (text, text, text, pa.int32(), text, text))
+
+    return d.mapInArrow(run, "path string, template string, rule string, section int, title string, status string")
 
 
 def rules_of(templates: dict[str, dict]) -> list[tuple[str, str, dict]]:

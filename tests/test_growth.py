@@ -3,7 +3,7 @@
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from docloom.operators import glossary, pins
+from docloom.operators import glossary, pins, templates
 from docloom.sources import batches, structure
 
 
@@ -46,3 +46,12 @@ def test_python_holds_a_few_texts_at_once():
     b = pa.RecordBatch.from_pydict({"text": ["x" * 40, None, "y" * 70, "", "z" * 500, "w"] + [None] * 1500})
     got = [p.column("text").to_pylist() for p in batches.pieces(iter([b, b.slice(0, 0)]), "text", 100)]
     assert [len(x) for x in got][:4] == [2, 2, 1, 1000] and sum(got, []) == b.column("text").to_pylist()
+
+
+def test_pages_align_without_a_group_each(spark):
+    s = spark.createDataFrame([("a", 1, 2, "In", None), ("a", 2, 3, None, 1), ("a", 3, 2, "Odd", None), ("b", 1, 1, "T", None)], "path string, section int, level int, title string, parent int")
+    t = {"t": {"sections": [{"name": "In", "sections": [{"name": "X"}]}]}}
+    d = templates.align(s, spark.createDataFrame([("a", "t"), ("b", "t"), ("c", "t"), ("d", "none")], "path string, template string"), t)
+    got = {tuple(r) for r in d.select("path", "rule", "section", "title", "status").collect()}
+    assert got == {("a", "0", 1, "In", "match"), ("a", "0/0", 2, "", "coerced"), ("a", None, 3, "Odd", "unexpected"), ("b", "0", None, None, "missing"), ("c", "0", None, None, "missing")}
+    assert "FlatMapGroupsInPandas" not in d._jdf.queryExecution().optimizedPlan().toString()
