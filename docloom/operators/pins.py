@@ -43,31 +43,38 @@ def find_moved(citations: DataFrame, sources: DataFrame) -> DataFrame:
 
     Where the citation has its original lines, only places that begin with the first of them are hashed. Of the others,
     windows of each cited length are hashed once for each source, for the lengths that its citations ask for, and only
-    hashes are joined.
+    hashes that one of them has leave the source's row. Texts meet tables of citations unsorted.
     """
     size = (F.col("last") - F.col("first") + 1).alias("size")
-    s = sources.where("text is not null").select("path", lines_of(F.col("text")).alias("ls"))
+    s = sources.where("text is not null").select("path", "text")
+    own = lines_of(F.col("text")).alias("ls")
     hashed = lambda i: F.sha2(F.array_join(F.slice("ls", i, F.col("size")), "\n"), 256)
     starts = F.sequence(F.lit(1), F.size("ls") - F.col("size") + 1)
     blind, out = citations, []
     if "original" in citations.columns:
         seen = citations.where("original is not null").select("id", "path", size, "pin", F.split("original", "\n")[0].alias("head"))
-        seen = seen.join(s, "path").where((F.col("size") >= 1) & (F.size("ls") >= F.col("size")))
+        seen = s.join(seen.where("size >= 1").hint("shuffle_hash"), "path").select("id", "path", "size", "pin", "head", own).where(F.size("ls") >= F.col("size"))
         hits = F.filter(starts, lambda i: (F.element_at("ls", i) == F.col("head")) & (hashed(i) == F.col("pin")))
         out.append(seen.select("id", "path", F.explode(hits).alias("at")))
         blind = citations.where("original is null")
-    sizes = blind.select("path", size).distinct()
-    w = s.join(sizes, "path").where((F.col("size") >= 1) & (F.size("ls") >= F.col("size")))
-    w = w.select("path", "size", F.explode(F.transform(starts, lambda i: F.struct(i.alias("at"), hashed(i).alias("pin")))).alias("x")).select("path", "size", "x.*")
+    sizes = blind.select("path", size, "pin").where("size >= 1 and pin is not null").groupBy("path", "size").agg(F.collect_set("pin").alias("pins"))
+    w = s.join(sizes.hint("shuffle_hash"), "path").select("path", "size", "pins", own).where(F.size("ls") >= F.col("size"))
+    found = F.filter(F.transform(starts, lambda i: F.struct(i.alias("at"), hashed(i).alias("pin"))), lambda x: F.array_contains("pins", x["pin"]))
+    w = w.select("path", "size", F.explode(found).alias("x")).select("path", "size", "x.*")
     out.append(blind.select("id", "path", size, "pin").join(w, ["path", "size", "pin"]).select("id", "path", "at"))
     return reduce(DataFrame.union, out)
 
 
 def classify(citations: DataFrame, sources: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """(id, path, status, at), at for moved ones: current; moved; moved-ambiguous (several places); missing (no source); changed; or never-true, where ``before``, the source as cited, hasn't the pin either."""
-    s = sources.select(F.col("path").alias("spath"), lines_of(F.col("text")).alias("ls"))
-    d = citations.join(s, F.col("path") == F.col("spath"), "left").withColumn("now", pin(F.col("ls"), F.col("first"), F.col("last")))
-    d = d.select("id", "path", F.col("spath").isNull().alias("lost"), F.col("now").eqNullSafe(F.col("pin")).alias("same"))
+    key = [F.col(c).alias(f"c{i}") for i, c in enumerate(("id", "path", "first", "last", "pin"))]
+    citations = cut(citations)  # they may be told from texts
+    s = sources.select(F.col("path").alias("spath"), "text")
+    at = citations.select(*key).distinct()
+    at = s.join(at.hint("shuffle_hash"), F.col("spath") == F.col("c1")).withColumn("now", pin(lines_of(F.col("text")), F.col("c2"), F.col("c3")))
+    at = at.select("c0", "c1", "c2", "c3", "c4", F.col("now").eqNullSafe(F.col("c4")).alias("same"))
+    met = reduce(Column.__and__, (F.col(c).eqNullSafe(F.col(f"c{i}")) for i, c in enumerate(("id", "path", "first", "last", "pin"))))
+    d = citations.join(at, met, "left").select("id", "path", F.col("same").isNull().alias("lost"), "same")
     moved = find_moved(citations, sources).groupBy("id").agg(F.count(F.lit(1)).alias("places"), F.min("at").alias("at"))
     d = d.join(moved, "id", "left")
     never = F.lit(False)

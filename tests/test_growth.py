@@ -1,5 +1,7 @@
 """Steps that must not grow faster than their input: rounds, rows and what a row costs."""
 
+import hashlib
+
 import pyarrow as pa
 from pyspark.sql import functions as F
 
@@ -55,3 +57,14 @@ def test_pages_align_without_a_group_each(spark):
     got = {tuple(r) for r in d.select("path", "rule", "section", "title", "status").collect()}
     assert got == {("a", "0", 1, "In", "match"), ("a", "0/0", 2, "", "coerced"), ("a", None, 3, "Odd", "unexpected"), ("b", "0", None, None, "missing"), ("c", "0", None, None, "missing")}
     assert "FlatMapGroupsInPandas" not in d._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_only_cited_hashes_leave_a_source(spark):
+    text = "\n".join(f"l{i}" for i in range(400)) + "\nl7\n"
+    h = lambda *x: hashlib.sha256("\n".join(x).encode()).hexdigest()
+    cols = "id int, path string, first int, last int, pin string"
+    c = spark.createDataFrame([(1, "a", 1, 1, h("l5")), (2, "a", 1, 1, h("l7")), (3, "a", 2, 3, h("l1", "l2")), (4, "a", 1, 1, h("no")), (5, "z", 1, 1, h("l5")), (6, "a", 0, 0, None), (7, None, 1, 1, h("l5")), (8, "n", 1, 1, h("l5")), (9, "a", 900, 901, None)], cols)
+    s = spark.createDataFrame([("a", text), ("n", None)], "path string, text string")
+    assert rows(pins.classify(c, s), "id", "status", "at") == [(1, "moved", 6), (2, "moved-ambiguous", None), (3, "current", None), (4, "changed", None), (5, "missing", None), (6, "current", None), (7, "missing", None), (8, "changed", None), (9, "current", None)]
+    plan = pins.classify(c, s)._jdf.queryExecution().executedPlan().toString()
+    assert "array_contains(pins" in plan
