@@ -5,7 +5,8 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from docloom.operators import glossary, pins, templates
+from docloom.operators import glossary, links, pins, templates
+from docloom.plans import lineage, toolkit
 from docloom.sources import batches, structure
 
 
@@ -68,3 +69,12 @@ def test_only_cited_hashes_leave_a_source(spark):
     assert rows(pins.classify(c, s), "id", "status", "at") == [(1, "moved", 6), (2, "moved-ambiguous", None), (3, "current", None), (4, "changed", None), (5, "missing", None), (6, "current", None), (7, "missing", None), (8, "changed", None), (9, "current", None)]
     plan = pins.classify(c, s)._jdf.queryExecution().executedPlan().toString()
     assert "array_contains(pins" in plan
+
+
+def test_labels_are_counted_before_their_join(spark, tmp_path):
+    li = [(1, "A"), (1, "B"), (2, "A"), (2, "A"), (2, None), (3, None), (4, "A")]
+    spark.createDataFrame(li, "l_orderkey long, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1,), (2,), (2,), (3,), (9,)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    d = toolkit.label_join(spark, str(tmp_path))
+    assert rows(d, "l_orderkey", "ambiguous", "n") == [(1, True, 2), (2, False, 6), (3, False, 1)]
+    assert "SortMergeJoin" not in d._jdf.queryExecution().executedPlan().toString() and d._jdf.queryExecution().optimizedPlan().toString().startswith("Project")
