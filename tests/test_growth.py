@@ -78,3 +78,12 @@ def test_labels_are_counted_before_their_join(spark, tmp_path):
     d = toolkit.label_join(spark, str(tmp_path))
     assert rows(d, "l_orderkey", "ambiguous", "n") == [(1, True, 2), (2, False, 6), (3, False, 1)]
     assert "SortMergeJoin" not in d._jdf.queryExecution().executedPlan().toString() and d._jdf.queryExecution().optimizedPlan().toString().startswith("Project")
+
+
+def test_repeated_links_are_parsed_once(spark, monkeypatch):
+    seen, real = [], lineage.cut
+    monkeypatch.setattr(lineage, "cut", lambda d: seen.append(d._jdf.queryExecution().optimizedPlan().toString()) or real(d))
+    e = spark.createDataFrame([("http://a/", "http://a/p#x")] * 5 + [("http://a/p/", "http://a/q")], "url string, href string")
+    got = links.frontier(spark.createDataFrame([("http://a/",)], "url string"), e, "http://a")
+    assert rows(got, "url", "depth") == [("http://a/", 0), ("http://a/p", 1), ("http://a/q", 2)]
+    assert seen[0].startswith("Aggregate") and "regexp" not in seen[0] and "regexp" in seen[1]
