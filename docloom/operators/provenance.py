@@ -84,9 +84,9 @@ def replay(pieces: list[tuple[int, int, int]], hunks: list[tuple[int, int, int,
         take(old_count, False)
         if new_count:
             out.append((new_count, commit, new_first))
-    while i < len(pieces):
+    if i < len(pieces):
         take(pieces[i][0] - used, True)
-    return out
+    return out + pieces[i:]  # untouched, in one go
 
 
 def blame(edits: DataFrame, renames: DataFrame) -> DataFrame:
@@ -103,7 +103,7 @@ def blame(edits: DataFrame, renames: DataFrame) -> DataFrame:
         file, path, commit, pieces, hunks = None, None, None, [], []
 
         def told() -> pa.RecordBatch:
-            rows = [(file, path, sum(x[0] for x in pieces[:i]) + j + 1, c, o + j) for i, (n, c, o) in enumerate(pieces) for j in range(n)]
+            rows = [(file, path, i, c, o) for i, (c, o) in enumerate(((c, o + j) for n, c, o in pieces for j in range(n)), 1)]
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["file", "path", "line", "commit", "origin"])
 
         for b in batches:

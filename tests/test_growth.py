@@ -5,7 +5,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from docloom.operators import glossary, links, pins, templates
+from docloom.operators import glossary, links, pins, provenance, templates
 from docloom.plans import lineage, toolkit
 from docloom.sources import batches, structure
 
@@ -87,3 +87,16 @@ def test_repeated_links_are_parsed_once(spark, monkeypatch):
     got = links.frontier(spark.createDataFrame([("http://a/",)], "url string"), e, "http://a")
     assert rows(got, "url", "depth") == [("http://a/", 0), ("http://a/p", 1), ("http://a/q", 2)]
     assert seen[0].startswith("Aggregate") and "regexp" not in seen[0] and "regexp" in seen[1]
+
+
+def test_a_commit_touches_only_pieces_near_its_hunks():
+    class Counted(list):
+        n = 0
+
+        def __getitem__(self, i):
+            Counted.n += isinstance(i, int)
+            return super().__getitem__(i)
+
+    old = [(2, c, 5) for c in range(3000)]
+    got = provenance.replay(Counted(old), [(2, 1, 2, 3)], 9000)
+    assert got == [(1, 0, 5), (3, 9000, 2), *old[1:]] and Counted.n < 10
