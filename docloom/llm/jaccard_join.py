@@ -30,7 +30,7 @@ with the links of all of them; a row with a null doc_id links with nothing. Othe
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +43,8 @@ LEAF, SIG_LEAF, BUCKETS = 256, 128, 64
 PIVOTS, LEAST_PIVOTS = 512, 64
 #: Members and shingles of a block. A task holds the sets of two.
 BLOCK, MOST_BLOCK, ELEMENTS = 256, 1024, 1_000_000
+#: Parts of the names of regions that are counted apart.
+SLICES = 4
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -425,6 +427,22 @@ def _big_cells(ids: DataFrame, sets: DataFrame, num: int, den: int) -> list[Data
         ids = materialize(ids)
 
 
+def _shared(each: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Written (s, k), the regions of each (.., rep, sig) that hold several sets and their rows, and each's rows in them.
+
+    Nearly all names occur once, so that a task's table of counts holds as many as it reads: one part of the names follows
+    the other, and reads its rows anew.
+    """
+    names, rows = [], []
+    for i in range(SLICES):
+        own = each.where(F.pmod("sig", F.lit(SLICES)) == i)
+        n = own.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
+        names.append(materialize(n.select(F.col("sig").alias("s"), "k")))
+        # most regions hold one set only: they go before anything else is joined; one long a row is broadcast
+        rows.append(materialize(sized_join(own, names[-1].select("s"), F.col("sig") == F.col("s"), "left_semi", BROADCAST_ROWS)))
+    return reduce(DataFrame.union, names), reduce(DataFrame.union, rows)
+
+
 def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row: documents hang together by links of similarity num/den or more."""
     if not 0 < num <= den:
@@ -439,10 +457,7 @@ def jaccard_components(docs: DataFrame, num: int = 80, den: int = 100, width: in
     mine_only = sized_join(full.where("n > 0 and doc is not null"), classes.select(F.col("rep"), F.struct("h1", "h2", "n").alias("c")), (F.col("doc") == F.col("rep")) & (mine == F.col("c")))
     reps = materialize(mine_only.select("rep", "n", "vec").distinct())
     each = mine_only.select("rep", F.posexplode("steps").alias("step", "x")).select("rep", "step", "x.spare", F.explode("x.sigs").alias("sig"))
-    shared = each.groupBy("sig").agg(F.count(F.lit(1)).alias("k"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
-    shared = materialize(shared.select(F.col("sig").alias("s"), "k"))
-    # most regions hold one set only: they go before anything else is joined; one long a row is broadcast
-    each = materialize(sized_join(each, shared.select("s"), F.col("sig") == F.col("s"), "left_semi", 2 * BROADCAST_ROWS))
+    shared, each = _shared(each)
     discard(full)  # nothing that follows reads it
     # of each step's regions the commonest go, as many as its spare; those that were of one set came first in the order
     rank = F.row_number().over(Window.partitionBy("rep", "step").orderBy(F.desc("k"), F.desc("sig")))

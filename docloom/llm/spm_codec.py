@@ -120,6 +120,13 @@ class Codec:
     def pack(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def forget(self) -> None:
+        """Empties the caches: a worker outlives its task, and other stages run beside what it keeps."""
+        self.pairs.clear()
+        for x in (self.marked, self.plain):
+            x.clear()
+            x.old = {}
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers, with begin and end ids."""
         if not text:
@@ -175,5 +182,6 @@ def encode_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             if place_col:
                 cols, names = [*cols, b.column(2)], [*names, "position"]
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        c.forget()
 
     return d.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary, decoded string" * with_ids + ", position long" * bool(place_col))

@@ -5,6 +5,7 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from docloom.llm import jaccard_join, spm_codec
 from docloom.operators import glossary, links, pins, provenance, templates
 from docloom.plans import lineage, toolkit
 from docloom.sources import batches, structure
@@ -100,3 +101,22 @@ def test_a_commit_touches_only_pieces_near_its_hunks():
     old = [(2, c, 5) for c in range(3000)]
     got = provenance.replay(Counted(old), [(2, 1, 2, 3)], 9000)
     assert got == [(1, 0, 5), (3, 9000, 2), *old[1:]] and Counted.n < 10
+
+
+def test_region_names_are_counted_in_parts(spark, monkeypatch):
+    plans, real = [], jaccard_join.materialize
+    monkeypatch.setattr(jaccard_join, "materialize", lambda d: plans.append(d._jdf.queryExecution().optimizedPlan().toString()) or real(d))
+    each = spark.createDataFrame([(r, x) for x in range(-9, 9) for r in range(abs(x) % 3 + 1)] + [(5, 100), (5, 100)], "rep long, sig long")
+    shared, kept = jaccard_join._shared(each)
+    want = [(x, abs(x) % 3 + 1) for x in range(-9, 9) if x % 3]
+    assert rows(shared, "s", "k") == want
+    assert rows(kept, "sig", "rep") == [(x, r) for x, k in want for r in range(k)]
+    assert len(plans) == 2 * jaccard_join.SLICES and all("pmod" in p for p in plans)
+
+
+def test_a_worker_keeps_no_encoded_units():
+    c = spm_codec.codec()
+    was = c.encode("one two one")
+    assert c.marked or c.plain
+    c.forget()
+    assert not (c.marked or c.plain or c.marked.old or c.plain.old or c.pairs) and c.encode("one two one") == was
